@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from profilebook.registry import oracle_search
+from profilebook.registry import oracle_columns, oracle_search
 
 ORACLE: dict[str, str] = {}
 ORACLE.update(oracle_search.oracle())
+ORACLE.update(oracle_columns.oracle())

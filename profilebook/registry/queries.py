@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from profilebook.plans import search
+from profilebook.plans import catalog as catplan
+from profilebook.plans import columns, search
 from profilebook.sources.catalog import Catalog
 
 _catalogs: dict[tuple[str, str], Catalog] = {}
@@ -32,4 +33,28 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_search_by_core": _q(lambda c: search.search_profiles(c, core_id="C00000007")),
     "profile_search_by_customer": _q(lambda c: search.search_profiles(c, customer_no=47110000000)),
     "search_recent": _q(lambda c: search.search_recent(c)),
+    # catalogue, risk and expiry
+    "risk_list": _q(lambda c: catplan.risk_list(c)),
+    "mode_update": _q(lambda c: catplan.apply_risk_updates(c.profile(), c.table("wf_risk_request")).select(
+        "ID_SOLICITUD", "CUSTOMER_NO", "PROJECT_FINANCE", "PROBABILITY_DEFAULT", "LOSS_GIVEN_DEFAULT")),
+    "affected_rows": _q(lambda c: catplan.affected_rows(c.profile(), c.table("wf_risk_request"))),
+    "month_catalog": _q(lambda c: columns.month_names(c)),
+    "month_catalog_filter": _q(lambda c: columns.month_names(c, "MA")),
+    "expiry_date": _q(lambda c: catplan.expiry_dates(c)),
+    # column-function reports
+    "text_ops": _q(columns.text_ops),
+    "split_rating": _q(columns.split_rating),
+    "truncate_default": _q(columns.truncate_default),
+    "pad_month": _q(columns.pad_month),
+    "date_formats": _q(columns.date_formats),
+    "date_parse": _q(columns.date_parse),
+    "date_parts": _q(columns.date_parts),
+    "add_months_sticky": _q(columns.add_months_sticky),
+    "flag_codings": _q(columns.flag_codings),
+    "type_derivation": _q(columns.type_derivation),
+    "agency_derivation": _q(columns.agency_derivation),
+    "aml_effective": _q(columns.aml_effective),
+    "bank_type_codes": _q(columns.bank_type_codes),
+    "relation_by_purpose": _q(columns.relation_by_purpose),
+    "main_reference": _q(columns.main_reference),
 }

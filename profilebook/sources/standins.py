@@ -606,3 +606,14 @@ class StandinBuilder:
             frames = {d: self.get(d) for d in dependencies(name)}
             self._cache[name] = self.spark.sql(_spark_text(STANDINS[name]), **frames)
         return self._cache[name]
+
+# PD/LGD change requests (one call of the update routine per row): mode 1
+# sets project finance, 2 the PD, 3 the LGD; mode 4 is unknown (no change).
+STANDINS["wf_risk_request"] = f"""
+SELECT o_orderkey AS REQ_ID, CAST(1 + o_orderkey % 4 AS INT) AS MODO, o_orderkey AS ID_SOLICITUD,
+  CASE WHEN o_orderkey % 9 = 5 THEN o_orderkey * {PARTY_STRIDE} + 1 ELSE o_orderkey * {PARTY_STRIDE} END AS CUSTOMER_ID,
+  CASE WHEN o_totalprice > 100000 THEN '1' ELSE NULL END AS PF,
+  CAST(o_totalprice / 20000000 AS DECIMAL(38,10)) AS PD,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(0.4 AS DECIMAL(38,10)) END AS LGD
+FROM {{orders}} WHERE o_orderstatus = 'O'
+"""
