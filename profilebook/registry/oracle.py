@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from profilebook.registry import oracle_columns, oracle_search
+from profilebook.registry import oracle_columns, oracle_creation, oracle_search
 
 ORACLE: dict[str, str] = {}
 ORACLE.update(oracle_search.oracle())
 ORACLE.update(oracle_columns.oracle())
+ORACLE.update(oracle_creation.oracle())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from profilebook.plans import catalog as catplan
-from profilebook.plans import columns, search
+from profilebook.plans import columns, creation, search
 from profilebook.sources.catalog import Catalog
 
 _catalogs: dict[tuple[str, str], Catalog] = {}
@@ -57,4 +57,13 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bank_type_codes": _q(columns.bank_type_codes),
     "relation_by_purpose": _q(columns.relation_by_purpose),
     "main_reference": _q(columns.main_reference),
+    # creation manager checks (D8, D13-D16, D18, D24; A1-A7, J16, J17, U1)
+    "flag_zero_when_any": _q(creation.any_creation_error),
+    "flag_one_when_any": _q(creation.any_pending_creation),
+    "count_correlated": _q(creation.completion_check),
+    "counts_expected_actual": _q(creation.approval_check),
+    "group_approval_list": _q(creation.group_approval_list),
+    "existing_auth_check": _q(creation.existing_authorisation_check),
+    "union_distinct": _q(creation.created_parties),
+    "notice_text": _q(creation.notice_text),
 }
