@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from profilebook.session import ensure_checkpoint_dir
+
 
 def assign_keys(df: DataFrame, order: list[str], base: Column, out: str,
                 partitions: int | None = None) -> DataFrame:
@@ -21,6 +23,12 @@ def assign_keys(df: DataFrame, order: list[str], base: Column, out: str,
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     pos = ranged.withColumn("__pid", F.spark_partition_id()).withColumn(
         "__local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    # The range partitioner samples with a seed tied to the RDD id, so two
+    # recomputations of the exchange may cut the data differently.  Both the
+    # partition counts and the rows must see one cut: materialise it once in
+    # the shared checkpoint folder (reliable, survives executor loss).
+    ensure_checkpoint_dir(spark)
+    pos = pos.checkpoint(eager=True)
     counts = pos.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
@@ -33,3 +41,30 @@ def with_base(df: DataFrame, existing: DataFrame, col: str, out: str = "__base")
     """Attach ``max(existing.col)`` (0 if none) to every row: a one-row broadcast."""
     one = existing.agg(F.coalesce(F.max(col), F.lit(0)).cast("long").alias(out))
     return df.crossJoin(F.broadcast(one))
+
+
+def rank_within(df: DataFrame, group: list[str], order: list[str], out: str = "RN") -> DataFrame:
+    """1-based position of each row inside its group, in ``order`` (row_number).
+
+    No group is ever gathered in one task: rows are numbered globally in
+    (group, order) sequence by :func:`assign_keys` (a range shuffle that cuts
+    a hot group across partitions), and each row subtracts its group's first
+    global number, found by a partial-aggregated ``min``.  Rows identical in
+    every ordering column get consecutive numbers in arbitrary order; they
+    are indistinguishable in the output.
+    """
+    numbered = assign_keys(df, group + order, F.lit(0).cast("long"), "__gpos")
+    first = numbered.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(
+        F.min("__gpos").alias("__gfirst"))
+    cond = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
+    joined = numbered.join(first, cond).drop(*[f"__g{i}" for i in range(len(group))])
+    return joined.withColumn(out, F.col("__gpos") - F.col("__gfirst") + F.lit(1)).drop("__gpos", "__gfirst")
+
+
+def top_n_pivot(df: DataFrame, group: list[str], order: list[str], value, n: int, prefix: str) -> DataFrame:
+    """First ``n`` values per group as columns ``prefix1..prefixN`` (bounded pivot)."""
+    ranked = rank_within(df.select(*group, *order, value.alias("__val") if not isinstance(value, str)
+                                   else F.col(value).alias("__val")), group, order)
+    ranked = ranked.filter(F.col("RN") <= n)
+    return ranked.groupBy(*group).agg(*[F.max(F.when(F.col("RN") == i, F.col("__val"))).alias(f"{prefix}{i}")
+                                        for i in range(1, n + 1)])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from profilebook.registry import oracle_columns, oracle_creation, oracle_search
+from profilebook.registry import oracle_columns, oracle_creation, oracle_master, oracle_search
 
 ORACLE: dict[str, str] = {}
 ORACLE.update(oracle_search.oracle())
 ORACLE.update(oracle_columns.oracle())
 ORACLE.update(oracle_creation.oracle())
+ORACLE.update(oracle_master.oracle())

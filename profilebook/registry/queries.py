@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from profilebook.plans import catalog as catplan
-from profilebook.plans import columns, creation, search
+from profilebook.plans import columns, creation, master, search
 from profilebook.sources.catalog import Catalog
 
 _catalogs: dict[tuple[str, str], Catalog] = {}
@@ -66,4 +66,12 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "existing_auth_check": _q(creation.existing_authorisation_check),
     "union_distinct": _q(creation.created_parties),
     "notice_text": _q(creation.notice_text),
+    # core-banking master views (D17, D19-D23, D25; J24, J9-J12)
+    "field_catalogue": _q(master.field_catalogue),
+    "master_profile": _q(master.master_profile),
+    "master_profile_any": _q(master.master_profile_any),
+    "profile_diff": _q(master.change_comparison_set),
+    "directors_sorted": _q(master.directors_sorted),
+    "master_directors": _q(master.master_directors),
+    "shareholder_list": _q(master.shareholder_list),
 }

@@ -46,12 +46,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     The cluster's setting always wins.  Only when it is unset (local tests) a
     fresh scratch folder is created and registered.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     if current:
         return current
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        sc.setCheckpointDir(configured)
+        return configured
     path = tempfile.mkdtemp(prefix="profilebook-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
