@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from profilebook.plans import catalog as catplan
-from profilebook.plans import columns, creation, master, search
+from profilebook.plans import columns, creation, master, search, upsert
 from profilebook.sources.catalog import Catalog
+from pyspark.sql import functions as F
+
+AS_OF = "2024-02-01 00:00:00"   # fixed run time of the registered change jobs
 
 _catalogs: dict[tuple[str, str], Catalog] = {}
 
@@ -74,4 +77,33 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "directors_sorted": _q(master.directors_sorted),
     "master_directors": _q(master.master_directors),
     "shareholder_list": _q(master.shareholder_list),
+    # table changes
+    "upsert_profiles": _q(lambda c: _upsert(c).results),
+    "upsert_null_preserving": _q(lambda c: _upsert(c).touched),
+    "either_key_match": _q(lambda c: _upsert(c).matches),
+    "exists_flag": _q(lambda c: upsert.existence(upsert.with_parameter_defaults(c.table("wf_profile_changes")),
+                                                 c.master()).select("REQ_ID", "IN_CUSTOMER_NO_FCC",
+                                                                    F.col("__exists").alias("ID_EXISTE_FCC"))),
+    "assign_keys": _q(lambda c: _upsert(c).inserted),
+    "parameter_defaults": _q(lambda c: upsert.with_parameter_defaults(c.table("wf_profile_changes")).select(
+        "REQ_ID", *sorted(upsert.PARAMETER_DEFAULTS))),
+    "propagate_name": _q(lambda c: upsert.propagate_names(c.table("wf_lmt_customer"),
+                                                          upsert.with_parameter_defaults(c.table("wf_profile_changes")),
+                                                          _upsert(c).matches)),
+    "status_update": _q(lambda c: upsert.record_status(c.profile(), c.table("wf_status_events"))[1].select(
+        "ID_SOLICITUD", "CUSTOMER_NO", "ID_CUSTOMER_FCC", "ID_STATUS_FCC", "MSG_ERROR_FCC", "FECHA_CREACION_CLIENTE",
+        "INCEPTION_DATE")),
+    "copy_main_to_group": _q(lambda c: upsert.copy_main_to_group(c, c.profile()).filter(
+        F.col("LMT_CUSTOMER_TYPE") == "G").select("ID_SOLICITUD", "CUSTOMER_NO", "CUSTOMER_TYPE", "CUSTOMER_CATEGORY",
+                                                  "INDUSTRY", "FECHA_KYC")),
+    "fill_missing_ids": _q(lambda c: upsert.fill_missing_ids(c.profile(), passes=1).select(
+        "ID_SOLICITUD", "CUSTOMER_NO", "ID_CUSTOMER_FCC")),
+    "reissue_failed_ids": _q(lambda c: upsert.fill_missing_ids(c.profile(), passes=2).select(
+        "ID_SOLICITUD", "CUSTOMER_NO", "ID_CUSTOMER_FCC")),
 }
+
+
+def _upsert(c: Catalog):
+    return upsert.upsert_profiles(c.profile(), c.table("wf_profile_changes"), c.master(),
+                                  F.lit(AS_OF).cast("timestamp_ntz"))
+

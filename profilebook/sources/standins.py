@@ -617,3 +617,36 @@ SELECT o_orderkey AS REQ_ID, CAST(1 + o_orderkey % 4 AS INT) AS MODO, o_orderkey
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(0.4 AS DECIMAL(38,10)) END AS LGD
 FROM {{orders}} WHERE o_orderstatus = 'O'
 """
+
+# Profile form submissions (one call of the insert-or-update routine each).
+# Urgent open applications edit their main party by local number, high ones
+# by core id; medium ones add a new party (a group id that exists in the
+# master, or an id the master does not know).  Dates arrive as dd/mm/yyyy
+# text, some of them invalid.
+_DMY = ("lpad(CAST(dayofmonth(o.o_orderdate) AS STRING), 2, '0') || '/' || "
+        "lpad(CAST(month(o.o_orderdate) AS STRING), 2, '0') || '/' || CAST(year(o.o_orderdate) AS STRING)")
+STANDINS["wf_profile_changes"] = f"""
+SELECT o.o_orderkey AS REQ_ID, o.o_orderkey AS IN_ID_SOLICITUD,
+  CASE WHEN o.o_orderpriority = '1-URGENT' THEN o.o_orderkey * {PARTY_STRIDE} ELSE NULL END AS IN_CUSTOMER_NO,
+  CASE o.o_orderpriority WHEN '1-URGENT' THEN NULL WHEN '2-HIGH' THEN {_core('C', 'o.o_custkey')}
+       ELSE CASE WHEN o.o_custkey % 2 = 0 THEN {_core('G', 'c.c_nationkey')} ELSE {_core('X', 'o.o_orderkey')} END END
+    AS IN_CUSTOMER_NO_FCC,
+  lower(c.c_name) || ' ltd' AS IN_CUSTOMER_NAME1, c.c_name || ' holding' AS IN_FULLNAME,
+  CASE WHEN o.o_custkey % 2 = 0 THEN NULL ELSE 'short ' || CAST(o.o_custkey AS STRING) END AS IN_SHORT_NAME,
+  CASE WHEN o.o_custkey % 3 = 0 THEN NULL ELSE 'LIAB-' || CAST(o.o_custkey AS STRING) END AS IN_LIAB_ID,
+  CASE WHEN o.o_custkey % 5 = 0 THEN 'seg-new' ELSE NULL END AS IN_SUB_ECOGR_CD,
+  CAST(1 + o.o_custkey % 7 AS BIGINT) AS IN_CUSTOMER_TYPE,
+  'cat ' || substr(c.c_mktsegment, 1, 3) AS IN_CUSTOMER_CATEGORY,
+  'new rep ' || c.c_name AS IN_LEGALREPRESENTATIVE, 'new info' AS IN_LEGALREPRESENTATIVE_INFO,
+  'tel ' || CAST(o.o_custkey AS STRING) AS IN_TELEPHONENUMBER, 'line3 ' || c.c_mktsegment AS IN_PHYSICALALINE3,
+  'agent ' || CAST(o.o_custkey AS STRING) AS IN_USA_PROCESS_AGENT, 'loc_' || CAST(c.c_nationkey AS STRING) AS IN_LOCATIONID,
+  CASE WHEN o.o_orderkey % 4 = 0 THEN '31/02/' || CAST(year(o.o_orderdate) AS STRING) ELSE {_DMY} END AS IN_INCORP_DATE,
+  {_DMY} AS IN_FECHA_KYC,
+  CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) AS STRING) AS IN_NETWORTH, 'NYR-' || c.c_mktsegment AS IN_AML_RATINGID_NY,
+  CASE WHEN o.o_custkey % 2 = 0 THEN '1' ELSE '0' END AS IN_NY_AGENCY,
+  CAST(CASE WHEN o.o_orderpriority = '3-MEDIUM' THEN 0 ELSE NULL END AS BIGINT) AS IN_MAIN_CUSTOMER,
+  CAST(1 AS BIGINT) AS IN_CHK_CREATE_FCC, 'TC' || CAST(c.c_nationkey % 5 AS STRING) AS IN_TIPO_DE_CLIENTE,
+  CAST(o.o_orderkey % 13 AS BIGINT) AS IN_GROUP_EXPIRATION_MONTH
+FROM {{orders}} o JOIN {{customer}} c ON c.c_custkey = o.o_custkey
+WHERE o.o_orderstatus = 'O' AND o.o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
+"""
