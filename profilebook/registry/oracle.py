@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from profilebook.registry import oracle_columns, oracle_creation, oracle_master, oracle_search, oracle_upsert
+from profilebook.registry import oracle_columns, oracle_creation, oracle_master, oracle_refresh, oracle_search, oracle_upsert
 
 ORACLE: dict[str, str] = {}
 ORACLE.update(oracle_search.oracle())
@@ -10,3 +10,4 @@ ORACLE.update(oracle_columns.oracle())
 ORACLE.update(oracle_creation.oracle())
 ORACLE.update(oracle_master.oracle())
 ORACLE.update(oracle_upsert.oracle())
+ORACLE.update(oracle_refresh.oracle())

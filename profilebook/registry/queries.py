@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from profilebook.plans import catalog as catplan
-from profilebook.plans import columns, creation, master, search, upsert
+from profilebook.plans import columns, creation, master, refresh, search, upsert
 from profilebook.sources.catalog import Catalog
 from pyspark.sql import functions as F
 
@@ -100,8 +100,42 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "ID_SOLICITUD", "CUSTOMER_NO", "ID_CUSTOMER_FCC")),
     "reissue_failed_ids": _q(lambda c: upsert.fill_missing_ids(c.profile(), passes=2).select(
         "ID_SOLICITUD", "CUSTOMER_NO", "ID_CUSTOMER_FCC")),
+    # application refresh (D27, D32-D34, D44; M9-M13, J20-J22, J25, A9, A11, S5-S7)
+    "group_expand": _q(lambda c: _refresh(c).expansion.filter(F.col("MODE") == "G").select(*_CAND)),
+    "one_expand": _q(lambda c: _refresh(c).expansion.filter(F.col("MODE") == "S").select(*_CAND)),
+    "previous_row": _q(lambda c: _refresh(c).previous.select("ID_SOLICITUD", "CORE_ID", "NEW_NO", "PREV_SOLICITUD",
+                                                            "PREV_CUSTOMER_NO")),
+    "latest_application": _q(lambda c: search.latest_application(c).select("CUSTOMER_NO_FCC", "ID_SOLICITUD",
+                                                                          "CUSTOMER_NO", "FECHA")),
+    "refresh_single": _q(lambda c: _refresh(c).rows.filter(F.col("REFRESH_MODE") == "S")),
+    "refresh_group": _q(lambda c: _refresh(c).rows.filter(F.col("REFRESH_MODE") == "G")),
+    "carry_forward": _q(lambda c: _carried(c)),
+    "slice_delete": _q(lambda c: _refresh(c).slice),
+    "child_copy_recode": _q(lambda c: _refresh(c).children),
+    "values_to_text": _q(lambda c: _refresh(c).rows.join(
+        _refresh(c).previous.select(F.col("ID_SOLICITUD").alias("__a"), F.col("CORE_ID").alias("__c")),
+        (F.col("ID_SOLICITUD") == F.col("__a")) & (F.col("CUSTOMER_NO_FCC") == F.col("__c")), "left_semi").select(
+        "ID_SOLICITUD", "CUSTOMER_NO", "COUNTRIES_WHERE_OFFERS")),
+    "append_rows": _q(lambda c: _refresh(c).snapshot_apps.select("ID_SOLICITUD", "CUSTOMER_NO", "CUSTOMER_NO_FCC", "MODE")),
+    "audit_rows": _q(lambda c: _refresh(c).audit),
+    "conditional_child_address": _q(refresh.master_addresses),
 }
 
+_CAND = ["ID_SOLICITUD", "CORE_ID", "LIABILITY_NO", "GROUP_CODE", "MAIN_ID", "NEW_NO"]
+
+
+def _refresh(c: Catalog):
+    return refresh.refresh(c, c.table("wf_refresh_request"), F.lit(AS_OF).cast("timestamp_ntz"))
+
+
+def _carried(c: Catalog):
+    from profilebook.plans import refresh_rules as R
+    cols = sorted(set(dict(R.carry_rules(False))) | set(dict(R.carry_rules(True))))
+    r = _refresh(c)
+    keys = r.previous.select(F.col("ID_SOLICITUD").alias("__a"), F.col("CORE_ID").alias("__c"))
+    return r.rows.join(keys, (F.col("ID_SOLICITUD") == F.col("__a")) & (F.col("CUSTOMER_NO_FCC") == F.col("__c")),
+                       "left_semi").select("ID_SOLICITUD", "CUSTOMER_NO", *cols)
+
 
 def _upsert(c: Catalog):
     return upsert.upsert_profiles(c.profile(), c.table("wf_profile_changes"), c.master(),
