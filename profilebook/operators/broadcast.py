@@ -23,3 +23,21 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFr
     if key not in _decisions:
         _decisions[key] = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if _decisions[key] else df
+
+
+_unique: dict[tuple[int, int], tuple[bool, bool]] = {}
+
+
+def bounded_profile(df: DataFrame, keys: list[str], max_rows: int = DEFAULT_MAX_ROWS) -> tuple[bool, bool]:
+    """(small, unique-on-keys) for a dimension, from one bounded job.
+
+    Reads at most ``max_rows + 1`` rows; ``unique`` is only claimed for a
+    small dimension (then the counts are exact).
+    """
+    key = (df.semanticHash(), max_rows)
+    if key not in _unique:
+        r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                       F.count_distinct(F.struct(*[F.col(k) for k in keys])).alias("d")).collect()[0]
+        small = r["n"] <= max_rows
+        _unique[key] = (small, small and r["n"] == r["d"])
+    return _unique[key]

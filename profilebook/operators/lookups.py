@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilebook.operators.broadcast import bounded_broadcast
+from profilebook.operators.broadcast import bounded_broadcast, bounded_profile
 
 _seq = itertools.count()
 
@@ -49,13 +49,16 @@ def reduce_dim(spec: Lookup, tag: str) -> tuple[DataFrame, list[str], list[str]]
     d = d.select(*[_as_col(k).alias(kc) for k, kc in zip(spec.dim_keys, kcols)],
                  *[_as_col(v).alias(n) for n, v in spec.values.items()])
     d = d.filter(functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in kcols]))
-    if vnames:
-        picked = F.min(F.struct(*[F.col(v) for v in vnames])).alias("__v")
-        d = d.groupBy(*kcols).agg(picked).select(*kcols, *[F.col(f"__v.{v}").alias(v) for v in vnames])
-    else:
-        d = d.select(*kcols).distinct()
-    if spec.small:
-        d = bounded_broadcast(d)
+    small, unique = bounded_profile(d, kcols) if spec.small else (False, False)
+    if not unique:
+        # one row per key (the first in value order): a lookup never multiplies rows
+        if vnames:
+            picked = F.min(F.struct(*[F.col(v) for v in vnames])).alias("__v")
+            d = d.groupBy(*kcols).agg(picked).select(*kcols, *[F.col(f"__v.{v}").alias(v) for v in vnames])
+        else:
+            d = d.select(*kcols).distinct()
+    if small:
+        d = F.broadcast(d)   # size proven by bounded_profile
     return d, kcols, vnames
 
 
@@ -73,6 +76,22 @@ def lookups(fact: DataFrame, specs: list[Lookup]) -> DataFrame:
     return fact
 
 
+def narrow_lookups(fact: DataFrame, specs: list[Lookup], key: list[str], needed: list[str]) -> DataFrame:
+    """Run the lookups on a narrow projection (row key + lookup keys) and join
+    the results back once on ``key``.
+
+    A wide row then crosses one join instead of one per lookup, and only
+    the narrow rows travel through the chain of broadcast joins.  ``key``
+    must identify a row of ``fact``.
+    """
+    cols = list(dict.fromkeys(key + needed))
+    narrow = lookups(fact.select(*cols), specs)
+    outs = [c for c in narrow.columns if c not in cols]
+    renamed = narrow.select(*[F.col(k).alias(f"__nk_{k}") for k in key], *outs)
+    cond = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__nk_{k}")) for k in key])
+    return fact.join(renamed, cond, "left").drop(*[f"__nk_{k}" for k in key])
+
+
 def exists_flag(fact: DataFrame, dim: DataFrame, fact_key: str | Column, dim_key: str,
                 out: str, yes="1", no="0") -> DataFrame:
     """Flag '1' when the key exists in ``dim`` (semi-join as a column)."""

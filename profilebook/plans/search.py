@@ -77,11 +77,16 @@ def bank_type_by_core(cat: Catalog, key: str = "prefix") -> DataFrame:
                                 where=F.col("FIELD_NAME") == "BANK_TYPE")]).drop("__bt_code")
 
 
-def _narrow_enrichment(cat: Catalog, rows: DataFrame, bank_key: str = "prefix") -> DataFrame:
-    """Everything that needs a master-sized or per-application table."""
+def _narrow_enrichment(cat: Catalog, rows: DataFrame, bank_key: str = "prefix", full: bool = True) -> DataFrame:
+    """Every lookup, run on a narrow projection of the rows (key + lookup keys).
+
+    Master-sized and per-application tables join by shuffle on their keys;
+    code lists by checked broadcast.  Only these narrow rows cross the joins;
+    the caller joins the result back to the wide rows once.
+    """
     profile = cat.profile()
-    narrow = rows.select("ID_SOLICITUD", "CUSTOMER_NO", "CUSTOMER_NO_FCC", "CO_DEUDOR_PRINCIPAL",
-                         "CHK_SAMESHOLDERS_MAINCUST", "ID_SOLICITUD_LM")
+    narrow = rows.select(*dict.fromkeys(["ID_SOLICITUD", "CUSTOMER_NO", "CUSTOMER_NO_FCC", "CO_DEUDOR_PRINCIPAL",
+                                         "CHK_SAMESHOLDERS_MAINCUST", "ID_SOLICITUD_LM"] + _LOOKUP_KEYS))
     mp = main_party(profile).select("ID_SOLICITUD", "MAIN_NO")
     n = narrow.join(mp, "ID_SOLICITUD", "left")
     party = F.when(F.col("CHK_SAMESHOLDERS_MAINCUST") == "1", F.coalesce(F.col("MAIN_NO"), F.lit(0))).otherwise(
@@ -101,8 +106,10 @@ def _narrow_enrichment(cat: Catalog, rows: DataFrame, bank_key: str = "prefix")
     debtor = cat.master().select(F.col("CUSTOMER_NO").alias("__dp_no"), F.col("CUSTOMER_NAME1").alias("__dp_name"))
     debtor = debtor.groupBy("__dp_no").agg(F.min("__dp_name").alias("__dp_name"))
     n = n.join(debtor, F.col("CO_DEUDOR_PRINCIPAL") == F.col("__dp_no"), "left")
-    return n.select("ID_SOLICITUD", "CUSTOMER_NO", "BOARDOFDIRECTORS", "TOPMANAGEMENT", "SHAREHOLDERS",
-                    "ES_DE_LIMITE", "BANKTYPE_DESC", F.col("__dp_name").alias("DEUDOR_PRINCIPAL_DESC"),
+    n = lookups(n, _code_lookups(cat, full))
+    outs = [c for c in n.columns if c not in set(narrow.columns) | {"MAIN_NO", "__party", "__lm_app", "__lm_cust",
+                                                                     "__lm_n", "__bt_core", "__dp_no", "__dp_name"}]
+    return n.select("ID_SOLICITUD", "CUSTOMER_NO", *outs, F.col("__dp_name").alias("DEUDOR_PRINCIPAL_DESC"),
                     F.col("__dp_no").alias("DEUDOR_PRINCIPAL_CODE"))
 
 
@@ -154,6 +161,13 @@ def _code_lookups(cat: Catalog, full: bool = True) -> list[Lookup]:
     ]
 
 
+_KEY = ["ID_SOLICITUD", "CUSTOMER_NO"]
+_LOOKUP_KEYS = ["INDUSTRY", "CUSTOMER_TYPE", "DEFAULT_MEDIA", "RELATIONTYPE", "CUSTOMER_CATEGORY", "LMT_CUSTOMER_TYPE",
+                "ACCOUNT_OFFICERID", "LOCATIONID", "AML_RATINGID", "SBP_CATEGORYID", "RESIDENCECOUNTRY", "NATIONALITYID",
+                "EXPOSURE_COUNTRYID", "INCORP_COUNTRYID", "RESIDENCELOCATIONID", "LANGUAGEID", "AML_RATINGID_NY",
+                "TIPO_DE_CLIENTE", "INTERNAL_CONTROL", "CO_COVENANTS", "CINU", "CO_OFICINA_GESTION"]
+
+
 def _c(name: str) -> Column:
     return F.col(name)
 
@@ -216,9 +230,8 @@ def _search_columns(full: bool) -> list[Column]:
 
 def enrich(cat: Catalog, rows: DataFrame, full: bool = True, ordered: bool = True,
            bank_key: str = "prefix") -> DataFrame:
-    extra = _narrow_enrichment(cat, rows, bank_key)
-    wide = rows.join(extra, ["ID_SOLICITUD", "CUSTOMER_NO"], "left")
-    wide = lookups(wide, _code_lookups(cat, full))
+    extra = _narrow_enrichment(cat, rows, bank_key, full)
+    wide = rows.join(extra, _KEY, "left")
     out = wide.select(*_search_columns(full))
     if ordered:
         # O1: main party first (Oracle DESC puts NULLs first); the key columns

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from profilebook.plans import catalog as catplan
-from profilebook.plans import columns, creation, master, refresh, search, upsert
+from profilebook.plans import basics, columns, creation, export, master, refresh, search, upsert
 from profilebook.sources.catalog import Catalog
 from pyspark.sql import functions as F
 
@@ -119,6 +119,43 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "append_rows": _q(lambda c: _refresh(c).snapshot_apps.select("ID_SOLICITUD", "CUSTOMER_NO", "CUSTOMER_NO_FCC", "MODE")),
     "audit_rows": _q(lambda c: _refresh(c).audit),
     "conditional_child_address": _q(refresh.master_addresses),
+    # generic operators
+    "project_rename": _q(basics.project_rename),
+    "constant_null_columns": _q(basics.constant_null_columns),
+    "filter_equality": _q(basics.filter_equality),
+    "filter_not_equal": _q(basics.filter_not_equal),
+    "filter_ne_or_null": _q(basics.filter_ne_or_null),
+    "filter_null_default": _q(basics.filter_null_default),
+    "filter_in_list": _q(basics.filter_in_list),
+    "filter_like": _q(basics.filter_like),
+    "filter_null_tests": _q(basics.filter_null_tests),
+    "filter_sentinel_date": _q(basics.filter_sentinel_date),
+    "filter_status_set": _q(basics.filter_status_set),
+    "lookup_filtered_role": _q(basics.lookup_filtered_role),
+    "lookup_prefix_key": _q(basics.lookup_prefix_key),
+    "lookup_concat_key": _q(basics.lookup_concat_key),
+    "lookup_trim_key": _q(basics.lookup_trim_key),
+    "lookup_chain": _q(basics.lookup_chain),
+    "lookup_prefer": _q(basics.lookup_prefer),
+    "lookup_scalar": _q(basics.lookup_scalar),
+    "lookup_fallback": _q(basics.lookup_fallback),
+    "join_inner_multi": _q(basics.join_inner_multi),
+    "join_inlist_stage": _q(basics.join_inlist_stage),
+    "anti_not_in": _q(basics.anti_not_in),
+    "anti_not_in_null": _q(basics.anti_not_in_null),
+    "main_row_values": _q(basics.main_row_values),
+    "distinct_groups": _q(basics.distinct_groups),
+    "sort_main_first": _q(basics.sort_main_first),
+    "first_of_many": _q(basics.first_of_many),
+    "add_columns": _q(basics.add_columns),
+    "param_broadcast": _q(columns.relation_by_purpose),
+    "sort_multi": _q(master.directors_sorted),
+    # streams (T1, T2)
+    "stream_status": _q(lambda c: _stream(c).latest()),
+    "stream_completeness": _q(lambda c: _stream(c).counts()),
+    # export record sets
+    "export_customers": _q(lambda c: export.export_customers(c, F.lit(AS_OF).cast("timestamp_ntz"))),
+    "export_groups": _q(lambda c: export.export_groups(c, F.lit(AS_OF).cast("timestamp_ntz"))),
 }
 
 _CAND = ["ID_SOLICITUD", "CORE_ID", "LIABILITY_NO", "GROUP_CODE", "MAIN_ID", "NEW_NO"]
@@ -141,3 +178,16 @@ def _upsert(c: Catalog):
     return upsert.upsert_profiles(c.profile(), c.table("wf_profile_changes"), c.master(),
                                   F.lit(AS_OF).cast("timestamp_ntz"))
 
+
+
+def _stream(c: Catalog):
+    """Run T1 + T2 over the status events delivered as files (out of order, with re-sends)."""
+    import uuid
+    from profilebook.streaming.delivery import deliver
+    from profilebook.streaming.status import StatusStream
+    base = f"{c.land_dir}/stream-{uuid.uuid4().hex[:8]}"
+    events = c.table("wf_status_events")
+    deliver(events, f"{base}/source", "EVENT_ID")
+    s = StatusStream(c.spark, c.profile(), base)
+    s.run(f"{base}/source", events.schema)
+    return s

@@ -564,6 +564,10 @@ def _spark_text(text: str) -> str:
     return text.replace("TIMESTAMP_NTZ_T", "TIMESTAMP_NTZ")
 
 
+def spark_text(name: str) -> str:
+    return _spark_text(STANDINS[name])
+
+
 def closure(names: list[str]) -> list[str]:
     """Stand-ins needed for ``names``, in dependency order."""
     order: list[str] = []
