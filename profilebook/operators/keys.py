@@ -62,9 +62,16 @@ def rank_within(df: DataFrame, group: list[str], order: list[str], out: str = "R
 
 
 def top_n_pivot(df: DataFrame, group: list[str], order: list[str], value, n: int, prefix: str) -> DataFrame:
-    """First ``n`` values per group as columns ``prefix1..prefixN`` (bounded pivot)."""
-    ranked = rank_within(df.select(*group, *order, value.alias("__val") if not isinstance(value, str)
-                                   else F.col(value).alias("__val")), group, order)
+    """First ``n`` values per group as columns ``prefix1..prefixN`` (bounded pivot).
+
+    ``row_number() <= n`` over a group window: Spark plans a partial
+    WindowGroupLimit before the shuffle, so each map task forwards at most
+    ``n`` rows per group and a hot group never reaches one task whole.
+    ``value`` must be determined by ``group`` + ``order`` (ties then agree).
+    """
+    val = value if not isinstance(value, str) else F.col(value)
+    w = Window.partitionBy(*group).orderBy(*order)
+    ranked = df.select(*group, *order, val.alias("__val")).withColumn("RN", F.row_number().over(w))
     ranked = ranked.filter(F.col("RN") <= n)
     return ranked.groupBy(*group).agg(*[F.max(F.when(F.col("RN") == i, F.col("__val"))).alias(f"{prefix}{i}")
                                         for i in range(1, n + 1)])

@@ -163,11 +163,20 @@ def refresh(cat: Catalog, requests: DataFrame, as_of: Column) -> RefreshResult:
     single_cols = {c: t for c, t in R.LOAD_COMMON + R.LOAD_SINGLE_ONLY}
     group_cols = {c: t for c, t in R.LOAD_COMMON + R.LOAD_GROUP_ONLY}
 
-    def project(cols: dict) -> list[Column]:
-        return [(_term(cols[f.name], f.dataType) if f.name in cols else F.lit(None).cast(f.dataType)).alias(f.name)
-                for f in schema.fields]
-    loaded = (j.filter(F.col("MODE") == "S").select(*project(single_cols), "MODE")
-              .unionByName(j.filter(F.col("MODE") == "G").select(*project(group_cols), "MODE")))
+    # one projection for both modes (a union of two would compute the star twice)
+    def column(f) -> Column:
+        s_t, g_t = single_cols.get(f.name), group_cols.get(f.name)
+        single, group = F.col("MODE") == "S", F.col("MODE") == "G"
+        if s_t is not None and s_t == g_t:
+            return _term(s_t, f.dataType)
+        if s_t is not None and g_t is not None:
+            return F.when(single, _term(s_t, f.dataType)).otherwise(_term(g_t, f.dataType))
+        if s_t is not None:
+            return F.when(single, _term(s_t, f.dataType))
+        if g_t is not None:
+            return F.when(group, _term(g_t, f.dataType))
+        return F.lit(None).cast(f.dataType)
+    loaded = j.select(*[column(f).alias(f.name) for f in schema.fields], "MODE")
 
     # slice delete (M10): group refreshes whose purpose is set and is not 1
     req_apps = requests.select(F.col("ID_SOLICITUD").alias("__app"), "ID_PURPOSE")

@@ -33,9 +33,14 @@ def main_party(profile: DataFrame) -> DataFrame:
                                              F.count(F.lit(1)).alias("MAIN_COUNT"))
 
 
-def people_texts(cat: Catalog) -> DataFrame:
+def _only(df: DataFrame, apps: DataFrame | None) -> DataFrame:
+    """Restrict a per-application table to ``apps`` (semi join) when given."""
+    return df if apps is None else df.join(apps, "ID_SOLICITUD", "left_semi")
+
+
+def people_texts(cat: Catalog, apps: DataFrame | None = None) -> DataFrame:
     """Directors (type 1) and managers (type 2) text per (application, party)."""
-    d = cat.table("wf_directors").filter(F.col("TYPE").isin(DIRECTORS, MANAGERS))
+    d = _only(cat.table("wf_directors"), apps).filter(F.col("TYPE").isin(DIRECTORS, MANAGERS))
     item = ncat(F.col("NAME"), " (", F.col("POSITION"), ")")
     t = bounded_listagg(d.filter(F.col("NAME").isNotNull()), ["ID_SOLICITUD", "CUSTOMER_NO", "TYPE"], item,
                         [F.col("NAME"), F.col("POSITION")], ", ", SQL_TEXT_LIMIT, "TXT")
@@ -44,17 +49,17 @@ def people_texts(cat: Catalog) -> DataFrame:
         F.max(F.when(F.col("TYPE") == MANAGERS, F.col("TXT"))).alias("TOPMANAGEMENT"))
 
 
-def holder_texts(cat: Catalog) -> DataFrame:
-    s = cat.table("wf_shareholders")
+def holder_texts(cat: Catalog, apps: DataFrame | None = None) -> DataFrame:
+    s = _only(cat.table("wf_shareholders"), apps)
     item = F.concat(F.col("NAME"), F.lit(" "), F.col("PERCENTAGE").cast("string"), F.lit("%"))
     t = bounded_listagg(s, ["ID_SOLICITUD", "CUSTOMER_NO"], item, [F.col("NAME"), F.col("PERCENTAGE")],
                         ", ", SQL_TEXT_LIMIT, "SHAREHOLDERS")
     return t.select("ID_SOLICITUD", "CUSTOMER_NO", "SHAREHOLDERS")
 
 
-def limit_counts(cat: Catalog) -> DataFrame:
+def limit_counts(cat: Catalog, apps: DataFrame | None = None) -> DataFrame:
     """Rows of the limits table per (limit application, local customer)."""
-    lm = cat.table("wf_lmt_customer")
+    lm = _only(cat.table("wf_lmt_customer"), apps)
     return lm.groupBy(F.col("ID_SOLICITUD").alias("__lm_app"), F.col("CUSTOMER_ID").alias("__lm_cust")).agg(
         F.count(F.lit(1)).alias("__lm_n"))
 
@@ -77,7 +82,8 @@ def bank_type_by_core(cat: Catalog, key: str = "prefix") -> DataFrame:
                                 where=F.col("FIELD_NAME") == "BANK_TYPE")]).drop("__bt_code")
 
 
-def _narrow_enrichment(cat: Catalog, rows: DataFrame, bank_key: str = "prefix", full: bool = True) -> DataFrame:
+def _narrow_enrichment(cat: Catalog, rows: DataFrame, bank_key: str = "prefix", full: bool = True,
+                       selective: bool = False) -> DataFrame:
     """Every lookup, run on a narrow projection of the rows (key + lookup keys).
 
     Master-sized and per-application tables join by shuffle on their keys;
@@ -87,15 +93,19 @@ def _narrow_enrichment(cat: Catalog, rows: DataFrame, bank_key: str = "prefix",
     profile = cat.profile()
     narrow = rows.select(*dict.fromkeys(["ID_SOLICITUD", "CUSTOMER_NO", "CUSTOMER_NO_FCC", "CO_DEUDOR_PRINCIPAL",
                                          "CHK_SAMESHOLDERS_MAINCUST", "ID_SOLICITUD_LM"] + _LOOKUP_KEYS))
-    mp = main_party(profile).select("ID_SOLICITUD", "MAIN_NO")
+    # a selective search first narrows the per-application tables to the
+    # applications it returns (semi joins), instead of aggregating them all
+    apps = rows.select("ID_SOLICITUD").distinct() if selective else None
+    mp = main_party(_only(profile, apps)).select("ID_SOLICITUD", "MAIN_NO")
     n = narrow.join(mp, "ID_SOLICITUD", "left")
     party = F.when(F.col("CHK_SAMESHOLDERS_MAINCUST") == "1", F.coalesce(F.col("MAIN_NO"), F.lit(0))).otherwise(
         F.col("CUSTOMER_NO"))
     n = n.withColumn("__party", party)
-    people = people_texts(cat).withColumnRenamed("CUSTOMER_NO", "__party")
-    holders = holder_texts(cat).withColumnRenamed("CUSTOMER_NO", "__party")
+    people = people_texts(cat, apps).withColumnRenamed("CUSTOMER_NO", "__party")
+    holders = holder_texts(cat, apps).withColumnRenamed("CUSTOMER_NO", "__party")
     n = n.join(people, ["ID_SOLICITUD", "__party"], "left").join(holders, ["ID_SOLICITUD", "__party"], "left")
-    lm = limit_counts(cat)
+    lm = limit_counts(cat, rows.select(F.col("ID_SOLICITUD_LM").alias("ID_SOLICITUD")).distinct() if selective
+                      else None)
     n = n.join(lm, (F.col("ID_SOLICITUD_LM") == F.col("__lm_app")) & (F.col("CUSTOMER_NO") == F.col("__lm_cust")),
                "left")
     n = n.withColumn("ES_DE_LIMITE", F.coalesce(F.col("__lm_n"), F.lit(0)))
@@ -229,8 +239,8 @@ def _search_columns(full: bool) -> list[Column]:
 
 
 def enrich(cat: Catalog, rows: DataFrame, full: bool = True, ordered: bool = True,
-           bank_key: str = "prefix") -> DataFrame:
-    extra = _narrow_enrichment(cat, rows, bank_key, full)
+           bank_key: str = "prefix", selective: bool = False) -> DataFrame:
+    extra = _narrow_enrichment(cat, rows, bank_key, full, selective)
     wide = rows.join(extra, _KEY, "left")
     out = wide.select(*_search_columns(full))
     if ordered:
@@ -248,7 +258,8 @@ def search_profiles(cat: Catalog, customer_no=None, application=None, core_id=No
                     & opt_eq(F.col("ID_SOLICITUD"), application)
                     & (F.col("LMT_CUSTOMER_TYPE") != "G")
                     & opt_eq_null(F.col("CUSTOMER_NO_FCC"), core_id))
-    return enrich(cat, rows, full=True, ordered=ordered)
+    selective = customer_no is not None or application is not None or core_id is not None
+    return enrich(cat, rows, full=True, ordered=ordered, selective=selective)
 
 
 def latest_application(cat: Catalog) -> DataFrame:
@@ -271,4 +282,4 @@ def search_recent(cat: Catalog, core_id=None, ordered: bool = True) -> DataFrame
         latest = latest.filter(F.col("CUSTOMER_NO_FCC") == core_id)
     rows = cat.profile().filter(F.col("LMT_CUSTOMER_TYPE") != "G").join(
         latest.select("ID_SOLICITUD", "CUSTOMER_NO"), ["ID_SOLICITUD", "CUSTOMER_NO"], "left_semi")
-    return enrich(cat, rows, full=False, ordered=ordered, bank_key="concat")
+    return enrich(cat, rows, full=False, ordered=ordered, bank_key="concat", selective=True)

@@ -185,16 +185,19 @@ def record_status(profile: DataFrame, events: DataFrame) -> tuple[DataFrame, Dat
     return snap.drop("__hit"), touched
 
 
-def copy_main_to_group(cat: Catalog, profile: DataFrame) -> DataFrame:
+def copy_main_to_group(cat: Catalog, profile: DataFrame, mains_from: DataFrame | None = None) -> DataFrame:
     """M8 (action 4 pre-step): group rows take type code, category and industry
     of their application's main party and the KYC date 1990-01-01.
 
+    ``mains_from`` is where the main parties are looked up (default: the rows
+    being updated), so a caller may update only the group rows.
     The main party is the first main row (lowest number) whose type has a code
     row; an application without one leaves its group rows unchanged, as the
     reference's lookup falls into its no-data handler before updating.
     """
     ctype = cat.table("wf_customer_type").select(F.col("CUSTOMER_ID").alias("__ct"))
-    mains = profile.filter(F.col("MAIN_CUSTOMER") == 1).join(ctype, F.col("CUSTOMER_TYPE") == F.col("__ct"))
+    src = profile if mains_from is None else mains_from
+    mains = src.filter(F.col("MAIN_CUSTOMER") == 1).join(ctype, F.col("CUSTOMER_TYPE") == F.col("__ct"))
     first = latest_per_key(mains.withColumn("__neg", -F.col("CUSTOMER_NO")), ["ID_SOLICITUD"], ["__neg"],
                            ["CUSTOMER_TYPE", "CUSTOMER_CATEGORY", "INDUSTRY"])
     m = first.select(F.col("ID_SOLICITUD").alias("__app"), F.col("CUSTOMER_TYPE").alias("__t"),
@@ -218,37 +221,43 @@ def _counter(profile: DataFrame) -> DataFrame:
         F.coalesce(F.max("__n"), F.lit(0)).alias("__base"))
 
 
-def fill_missing_ids(profile: DataFrame, applications: DataFrame | None = None, passes: int = 2) -> DataFrame:
-    """W2 + W3 (actions 3/4 pre-steps), for the given applications (default all).
+def creation_ids(profile: DataFrame, applications: DataFrame | None = None, passes: int = 2) -> DataFrame:
+    """W2 + W3 on the narrow key projection: (ID_SOLICITUD, CUSTOMER_NO, NEW_ID)
+    for every row that receives a new creation id.
 
     (1) every row without a creation id gets the next number; (2) rows not in
     the master, not created and marked for creation get another new number
     (rows just filled included).  Numbers run in (application, customer)
-    order after the current counter.
+    order after the current counter; only the given applications (default
+    all) take part.
     """
-    p = profile
-    scope = F.lit(True)
+    keys = profile.select(*KEY, "ID_CUSTOMER_FCC", "ID_EXISTE_FCC", "ID_STATUS_FCC", "CHK_CREATE_FCC")
     if applications is not None:
-        p = p.join(applications.select(F.col("ID_SOLICITUD").alias("__scope")).distinct().withColumn("__in", F.lit(True)),
-                   F.col("ID_SOLICITUD") == F.col("__scope"), "left").drop("__scope")
-        scope = F.coalesce(F.col("__in"), F.lit(False))
-    else:
-        p = p.withColumn("__in", F.lit(True))
+        keys = keys.join(applications.select("ID_SOLICITUD").distinct(), "ID_SOLICITUD", "left_semi")
     base = _counter(profile)
-    need1 = p.filter(scope & F.col("ID_CUSTOMER_FCC").isNull()).select(*KEY)
-    n1 = assign_keys(need1.crossJoin(F.broadcast(base)), KEY, F.col("__base"), "__n1").select(
-        *[F.col(k).alias(f"__1{k}") for k in KEY], "__n1")
-    p = p.join(n1, (F.col("ID_SOLICITUD") == F.col("__1ID_SOLICITUD")) & (F.col("CUSTOMER_NO") == F.col("__1CUSTOMER_NO")),
-               "left").withColumn("ID_CUSTOMER_FCC", F.coalesce(_creation_id(F.col("__n1")), F.col("ID_CUSTOMER_FCC")))
+    need1 = keys.filter(F.col("ID_CUSTOMER_FCC").isNull()).select(*KEY)
+    n1 = assign_keys(need1.crossJoin(F.broadcast(base)), KEY, F.col("__base"), "__n1").select(*KEY, "__n1")
     if passes == 1:
-        return p.select(*profile.columns)
-    failed = (scope & (F.col("ID_EXISTE_FCC") == "0") & (F.coalesce(F.col("ID_STATUS_FCC"), F.lit(0)) == 0)
+        return n1.select(*KEY, _creation_id(F.col("__n1")).alias("NEW_ID"))
+    failed = ((F.col("ID_EXISTE_FCC") == "0") & (F.coalesce(F.col("ID_STATUS_FCC"), F.lit(0)) == 0)
               & (F.col("CHK_CREATE_FCC") == 1))
     base2 = n1.agg(F.max("__n1").alias("__m")).crossJoin(F.broadcast(base)).select(
         F.coalesce(F.col("__m"), F.col("__base")).alias("__base2"))
-    need2 = p.filter(failed).select(*KEY)
-    n2 = assign_keys(need2.crossJoin(F.broadcast(base2)), KEY, F.col("__base2"), "__n2").select(
-        *[F.col(k).alias(f"__2{k}") for k in KEY], "__n2")
-    p = p.join(n2, (F.col("ID_SOLICITUD") == F.col("__2ID_SOLICITUD")) & (F.col("CUSTOMER_NO") == F.col("__2CUSTOMER_NO")),
-               "left").withColumn("ID_CUSTOMER_FCC", F.coalesce(_creation_id(F.col("__n2")), F.col("ID_CUSTOMER_FCC")))
-    return p.select(*profile.columns)
+    need2 = keys.filter(failed).select(*KEY)
+    n2 = assign_keys(need2.crossJoin(F.broadcast(base2)), KEY, F.col("__base2"), "__n2").select(*KEY, "__n2")
+    both = n1.join(n2, KEY, "full")
+    return both.select(*KEY, F.coalesce(_creation_id(F.col("__n2")), _creation_id(F.col("__n1"))).alias("NEW_ID"))
+
+
+def with_creation_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Apply new creation ids to ``rows`` (any subset of profile rows)."""
+    m = ids.select(*[F.col(k).alias(f"__i_{k}") for k in KEY], "NEW_ID")
+    j = rows.join(m, (F.col("ID_SOLICITUD") == F.col("__i_ID_SOLICITUD"))
+                  & (F.col("CUSTOMER_NO") == F.col("__i_CUSTOMER_NO")), "left")
+    return j.withColumn("ID_CUSTOMER_FCC", F.coalesce(F.col("NEW_ID"), F.col("ID_CUSTOMER_FCC"))).drop(
+        "NEW_ID", "__i_ID_SOLICITUD", "__i_CUSTOMER_NO")
+
+
+def fill_missing_ids(profile: DataFrame, applications: DataFrame | None = None, passes: int = 2) -> DataFrame:
+    """The profile after W2 (+ W3 when ``passes`` = 2) for the given applications."""
+    return with_creation_ids(profile, creation_ids(profile, applications, passes)).select(*profile.columns)

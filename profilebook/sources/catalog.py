@@ -10,9 +10,22 @@ from profilebook.functions.nulls import normalise_empty
 from profilebook.session import ensure_checkpoint_dir
 from profilebook.sources import standins
 
-# Tables landed with rows clustered by application, so application filters
-# prune row groups and per-application joins read co-located rows.
-_CLUSTER = {"wf_customer_info": ["ID_SOLICITUD", "CUSTOMER_NO"]}
+# Landing layout.  Tables keyed by application are range-partitioned on the
+# application id (each file holds a disjoint id range, so application filters
+# skip files and row groups); other large tables are spread evenly; code
+# lists stay in one file.  The driver's tables are single files, so without
+# this every scan of a derived table would run in one task.
+_BY_APPLICATION = {
+    "wf_customer_info": ["ID_SOLICITUD", "CUSTOMER_NO"], "wf_application": ["ID_SOLICITUD"],
+    "wf_directors": ["ID_SOLICITUD", "CUSTOMER_NO"], "wf_shareholders": ["ID_SOLICITUD", "CUSTOMER_NO"],
+    "wf_multi_values": ["ID_SOLICITUD", "CUSTOMER_NO"], "wf_lmt_customer": ["ID_SOLICITUD"],
+    "wf_lmt_customer_info": ["ID_SOLICITUD"], "wf_ec_rc_limits": ["ID_SOLICITUD"],
+    "wf_refresh_request": ["ID_SOLICITUD"], "wf_risk_request": ["ID_SOLICITUD"],
+    "wf_profile_changes": ["IN_ID_SOLICITUD"],
+}
+_SPREAD = {"fcc_parties", "fcc_customer", "fcc_corporate", "fcc_personal", "fcc_userdef", "fcc_mis_default",
+           "fcc_cust_address", "fcc_corp_directors", "fcc_shareholders", "wf_stage_history", "wf_contracts",
+           "wf_status_events", "wf_completion_cif"}
 
 
 class Catalog:
@@ -52,8 +65,14 @@ class Catalog:
             df = self.spark.sql(standins.spark_text(name), **frames)
             if self.land:
                 path = f"{self.land_dir}/{name}"
-                if name in _CLUSTER:
-                    df = df.sortWithinPartitions(*_CLUSTER[name])
+                n = self.spark.sparkContext.defaultParallelism * 2
+                if name in _BY_APPLICATION:
+                    keys = _BY_APPLICATION[name]
+                    df = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                elif name in _SPREAD:
+                    df = df.repartition(n)
+                else:
+                    df = df.coalesce(1)
                 df.write.mode("overwrite").parquet(path)
                 df = self.spark.read.parquet(path)
             self._raw[name] = df
