@@ -37,10 +37,15 @@ def assign_keys(df: DataFrame, order: list[str], base: Column, out: str,
         "__pid", "__local", "__off")
 
 
+def current_max(existing: DataFrame, col: str) -> Column:
+    """``max(existing.col)`` (0 if empty) as a scalar subquery: the current
+    value of a sequence whose numbers are the column's values."""
+    return existing.agg(F.coalesce(F.max(col), F.lit(0)).cast("long")).scalar()
+
+
 def with_base(df: DataFrame, existing: DataFrame, col: str, out: str = "__base") -> DataFrame:
-    """Attach ``max(existing.col)`` (0 if none) to every row: a one-row broadcast."""
-    one = existing.agg(F.coalesce(F.max(col), F.lit(0)).cast("long").alias(out))
-    return df.crossJoin(F.broadcast(one))
+    """Attach the current sequence value (see :func:`current_max`) to every row."""
+    return df.withColumn(out, current_max(existing, col))
 
 
 def rank_within(df: DataFrame, group: list[str], order: list[str], out: str = "RN") -> DataFrame:

@@ -42,7 +42,25 @@ def _as_col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+_reduced: dict[tuple, tuple] = {}
+
+
 def reduce_dim(spec: Lookup, tag: str) -> tuple[DataFrame, list[str], list[str]]:
+    """The dimension of one role, filtered, keyed and reduced to one row per key.
+
+    Memoised per (dimension object, role filter, keys, values): a code list
+    used in the same role by many queries is derived once per catalog.
+    """
+    sig = (id(spec.dim), repr(spec.where), repr(spec.dim_keys), repr(spec.values), spec.small)
+    hit = _reduced.get(sig)
+    if hit is not None and hit[0] is spec.dim:
+        return hit[1]
+    out = _reduce_dim(spec, tag)
+    _reduced[sig] = (spec.dim, out)
+    return out
+
+
+def _reduce_dim(spec: Lookup, tag: str) -> tuple[DataFrame, list[str], list[str]]:
     d = spec.dim if spec.where is None else spec.dim.filter(spec.where)
     kcols = [f"__{tag}_k{i}" for i in range(len(spec.dim_keys))]
     vnames = list(spec.values)

@@ -84,43 +84,56 @@ def bank_type_by_core(cat: Catalog, key: str = "prefix") -> DataFrame:
 
 def _narrow_enrichment(cat: Catalog, rows: DataFrame, bank_key: str = "prefix", full: bool = True,
                        selective: bool = False) -> DataFrame:
-    """Every lookup, run on a narrow projection of the rows (key + lookup keys).
-
-    Master-sized and per-application tables join by shuffle on their keys;
-    code lists by checked broadcast.  Only these narrow rows cross the joins;
-    the caller joins the result back to the wide rows once.
+    """Every lookup, run on narrow projections of the rows, one branch per key.
+
+    The director/holder texts (by application and party), the limit count
+    (by limit application and customer), the bank type (by core id) and the
+    debtor's name (by debtor id) are independent lookups: each runs as its
+    own branch and comes back keyed by the row key, so the branches shuffle
+    in parallel and every later join shares one partitioning on the row key
+    (including the caller's single join back to the wide rows).  Code lists
+    join by checked broadcast, without a shuffle.
     """
     profile = cat.profile()
-    narrow = rows.select(*dict.fromkeys(["ID_SOLICITUD", "CUSTOMER_NO", "CUSTOMER_NO_FCC", "CO_DEUDOR_PRINCIPAL",
-                                         "CHK_SAMESHOLDERS_MAINCUST", "ID_SOLICITUD_LM"] + _LOOKUP_KEYS))
+    narrow = rows.select(*dict.fromkeys(_KEY + ["CUSTOMER_NO_FCC", "CO_DEUDOR_PRINCIPAL", "CHK_SAMESHOLDERS_MAINCUST",
+                                                "ID_SOLICITUD_LM"] + _LOOKUP_KEYS))
     # a selective search first narrows the per-application tables to the
     # applications it returns (semi joins), instead of aggregating them all
     apps = rows.select("ID_SOLICITUD").distinct() if selective else None
+
+    # texts: the row's own party, or the application's main party when the
+    # row shares its holders with the main customer
     mp = main_party(_only(profile, apps)).select("ID_SOLICITUD", "MAIN_NO")
-    n = narrow.join(mp, "ID_SOLICITUD", "left")
+    t = narrow.select(*_KEY, "CHK_SAMESHOLDERS_MAINCUST").join(mp, "ID_SOLICITUD", "left")
     party = F.when(F.col("CHK_SAMESHOLDERS_MAINCUST") == "1", F.coalesce(F.col("MAIN_NO"), F.lit(0))).otherwise(
         F.col("CUSTOMER_NO"))
-    n = n.withColumn("__party", party)
+    t = t.withColumn("__party", party)
     people = people_texts(cat, apps).withColumnRenamed("CUSTOMER_NO", "__party")
     holders = holder_texts(cat, apps).withColumnRenamed("CUSTOMER_NO", "__party")
-    n = n.join(people, ["ID_SOLICITUD", "__party"], "left").join(holders, ["ID_SOLICITUD", "__party"], "left")
+    texts = t.join(people, ["ID_SOLICITUD", "__party"], "left").join(holders, ["ID_SOLICITUD", "__party"], "left") \
+        .select(*_KEY, "BOARDOFDIRECTORS", "TOPMANAGEMENT", "SHAREHOLDERS")
+
     lm = limit_counts(cat, rows.select(F.col("ID_SOLICITUD_LM").alias("ID_SOLICITUD")).distinct() if selective
                       else None)
-    n = n.join(lm, (F.col("ID_SOLICITUD_LM") == F.col("__lm_app")) & (F.col("CUSTOMER_NO") == F.col("__lm_cust")),
-               "left")
-    n = n.withColumn("ES_DE_LIMITE", F.coalesce(F.col("__lm_n"), F.lit(0)))
+    limits = narrow.select(*_KEY, "ID_SOLICITUD_LM").join(
+        lm, (F.col("ID_SOLICITUD_LM") == F.col("__lm_app")) & (F.col("CUSTOMER_NO") == F.col("__lm_cust"))) \
+        .select(*_KEY, F.col("__lm_n").alias("__lm_n"))
+
     bt = bank_type_by_core(cat, bank_key)
     bt_key = (F.col("CUSTOMER_NO_FCC") if bank_key == "prefix"
               else F.concat(F.col("CUSTOMER_NO").cast("string"), F.lit("~")))
-    n = n.join(bt, bt_key == F.col("__bt_core"), "left")
+    bank = narrow.select(*_KEY, "CUSTOMER_NO_FCC").join(bt, bt_key == F.col("__bt_core")).select(*_KEY, "BANKTYPE_DESC")
+
     debtor = cat.master().select(F.col("CUSTOMER_NO").alias("__dp_no"), F.col("CUSTOMER_NAME1").alias("__dp_name"))
     debtor = debtor.groupBy("__dp_no").agg(F.min("__dp_name").alias("__dp_name"))
-    n = n.join(debtor, F.col("CO_DEUDOR_PRINCIPAL") == F.col("__dp_no"), "left")
-    n = lookups(n, _code_lookups(cat, full))
-    outs = [c for c in n.columns if c not in set(narrow.columns) | {"MAIN_NO", "__party", "__lm_app", "__lm_cust",
-                                                                     "__lm_n", "__bt_core", "__dp_no", "__dp_name"}]
-    return n.select("ID_SOLICITUD", "CUSTOMER_NO", *outs, F.col("__dp_name").alias("DEUDOR_PRINCIPAL_DESC"),
-                    F.col("__dp_no").alias("DEUDOR_PRINCIPAL_CODE"))
+    debtors = narrow.select(*_KEY, "CO_DEUDOR_PRINCIPAL").join(
+        debtor, F.col("CO_DEUDOR_PRINCIPAL") == F.col("__dp_no")).select(
+        *_KEY, F.col("__dp_name").alias("DEUDOR_PRINCIPAL_DESC"), F.col("__dp_no").alias("DEUDOR_PRINCIPAL_CODE"))
+
+    coded = lookups(narrow.select(*_KEY, *_LOOKUP_KEYS), _code_lookups(cat, full)).drop(*_LOOKUP_KEYS)
+    out = coded.join(texts, _KEY, "left").join(limits, _KEY, "left").join(bank, _KEY, "left").join(
+        debtors, _KEY, "left")
+    return out.withColumn("ES_DE_LIMITE", F.coalesce(F.col("__lm_n"), F.lit(0))).drop("__lm_n")
 
 
 def _lov(cat: Catalog, field: str, key: str, values: dict) -> Lookup:

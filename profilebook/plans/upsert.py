@@ -214,11 +214,11 @@ def _creation_id(n: Column) -> Column:
     return F.concat(F.lit(CREATION_PREFIX), F.lpad(n.cast("string"), 13, "0"))
 
 
-def _counter(profile: DataFrame) -> DataFrame:
-    """Current value of the creation-id counter: the largest issued number."""
+def _counter(profile: DataFrame) -> Column:
+    """Current value of the creation-id counter (largest issued number), as a scalar subquery."""
     num = F.regexp_extract(F.col("ID_CUSTOMER_FCC"), r"^CUS(\d{13})$", 1)
     return profile.select(F.when(num != "", num.cast("long")).alias("__n")).agg(
-        F.coalesce(F.max("__n"), F.lit(0)).alias("__base"))
+        F.coalesce(F.max("__n"), F.lit(0))).scalar()
 
 
 def creation_ids(profile: DataFrame, applications: DataFrame | None = None, passes: int = 2) -> DataFrame:
@@ -236,15 +236,14 @@ def creation_ids(profile: DataFrame, applications: DataFrame | None = None, pass
         keys = keys.join(applications.select("ID_SOLICITUD").distinct(), "ID_SOLICITUD", "left_semi")
     base = _counter(profile)
     need1 = keys.filter(F.col("ID_CUSTOMER_FCC").isNull()).select(*KEY)
-    n1 = assign_keys(need1.crossJoin(F.broadcast(base)), KEY, F.col("__base"), "__n1").select(*KEY, "__n1")
+    n1 = assign_keys(need1, KEY, base, "__n1").select(*KEY, "__n1")
     if passes == 1:
         return n1.select(*KEY, _creation_id(F.col("__n1")).alias("NEW_ID"))
     failed = ((F.col("ID_EXISTE_FCC") == "0") & (F.coalesce(F.col("ID_STATUS_FCC"), F.lit(0)) == 0)
               & (F.col("CHK_CREATE_FCC") == 1))
-    base2 = n1.agg(F.max("__n1").alias("__m")).crossJoin(F.broadcast(base)).select(
-        F.coalesce(F.col("__m"), F.col("__base")).alias("__base2"))
+    base2 = F.coalesce(n1.agg(F.max("__n1")).scalar(), base)
     need2 = keys.filter(failed).select(*KEY)
-    n2 = assign_keys(need2.crossJoin(F.broadcast(base2)), KEY, F.col("__base2"), "__n2").select(*KEY, "__n2")
+    n2 = assign_keys(need2, KEY, base2, "__n2").select(*KEY, "__n2")
     both = n1.join(n2, KEY, "full")
     return both.select(*KEY, F.coalesce(_creation_id(F.col("__n2")), _creation_id(F.col("__n1"))).alias("NEW_ID"))
 

@@ -32,11 +32,13 @@ class Catalog:
     """Resolves table names for one data directory.
 
     ``base(name)`` reads a driver table.  ``table(name)`` returns a workflow
-    or master table: derived once from the driver tables, *landed* as parquet
-    in the shared checkpoint folder (as production lands these tables), read
-    back, and normalised on read ('' -> NULL).  Jobs therefore scan parquet
-    with pushed filters and pruned columns, exactly as they would the real
-    tables; nothing is cached in executor memory.
+    or master table: derived once from the driver tables, normalised to the
+    null model ('' -> NULL) and *landed* as parquet in the shared checkpoint
+    folder (as production lands these tables), then read back.  Normalising
+    at landing rather than on every read keeps string predicates plain, so
+    they reach the parquet scan as pushed filters; jobs scan with pruned
+    columns exactly as they would the real tables, and nothing is cached in
+    executor memory.
     """
 
     def __init__(self, spark: SparkSession, data_dir: str, land: bool = True):
@@ -64,6 +66,7 @@ class Catalog:
             frames = {d: self.raw(d) for d in standins.dependencies(name)}
             df = self.spark.sql(standins.spark_text(name), **frames)
             if self.land:
+                df = normalise_empty(df)
                 path = f"{self.land_dir}/{name}"
                 n = self.spark.sparkContext.defaultParallelism * 2
                 if name in _BY_APPLICATION:
@@ -80,7 +83,8 @@ class Catalog:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = normalise_empty(self.raw(name))
+            raw = self.raw(name)
+            self._tables[name] = raw if self.land else normalise_empty(raw)
         return self._tables[name]
 
     def land_all(self) -> None:
