@@ -31,3 +31,10 @@ def test_status_update_idempotent(cat):
     snap2, touched2 = upsert.record_status(snap, events.unionByName(events))
     cols = ["ID_SOLICITUD", "CUSTOMER_NO", "ID_STATUS_FCC", "MSG_ERROR_FCC"]
     assert touched.select(*cols).exceptAll(touched2.select(*cols)).count() == 0
+
+
+def test_action_dispatcher_covers_all_codes(cat):
+    from profilebook.plans.actions import ACTIONS, run_action
+    assert sorted(ACTIONS, key=int) == [str(i) for i in range(1, 18)]
+    assert set(run_action(cat, "2").columns) == {"ID_SOLICITUD", "RESULTADO"}
+    assert run_action(cat, 9).columns == ["FIELD_NAME"]
