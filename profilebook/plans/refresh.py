@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from profilebook.functions import codes, dates
 from profilebook.functions.nulls import ncat
 from profilebook.operators.aggregates import bounded_listagg, first_per_key
+from profilebook.operators.broadcast import bounded_broadcast
 from profilebook.operators.keys import assign_keys, with_base
 from profilebook.operators.lookups import Lookup, lookups
 from profilebook.plans import refresh_rules as R
@@ -183,7 +184,8 @@ def refresh(cat: Catalog, requests: DataFrame, as_of: Column) -> RefreshResult:
     delete = (~F.coalesce(F.col("ID_PURPOSE") == R.SINGLE_PURPOSE, F.lit(False))) & (
         F.col("ID_PURPOSE") != R.KEEP_SLICE_PURPOSE)
     app_flags = req_apps.groupBy("__app").agg(F.max(F.coalesce(delete, F.lit(False))).alias("__del"))
-    old = profile.join(app_flags, F.col("ID_SOLICITUD") == F.col("__app"))
+    # one row per requested application: broadcast when the batch is provably small
+    old = profile.join(bounded_broadcast(app_flags), F.col("ID_SOLICITUD") == F.col("__app"))
     kept = old.filter(~F.col("__del")).drop("__app", "__del", "ID_PURPOSE")
     slice_stats = old.groupBy(F.col("__app").alias("ID_SOLICITUD")).agg(
         F.count(F.when(F.col("__del"), 1)).alias("DELETED_ROWS"), F.count(F.when(~F.col("__del"), 1)).alias("KEPT_ROWS"))
@@ -195,16 +197,39 @@ def refresh(cat: Catalog, requests: DataFrame, as_of: Column) -> RefreshResult:
     cand_prev = cand.join(latest, F.col("CORE_ID") == F.col("__lcore"), "left").drop("__lcore")
     prev = cand_prev.filter(F.col("PREV_SOLICITUD").isNotNull())
 
-    # carry-forward (M9) on every row of the new application with that core id
-    base_rows = kept.withColumn("MODE", F.lit(None).cast("string")).unionByName(loaded)
-    pr = cand_prev.select(F.col("ID_SOLICITUD").alias("__p_app"), F.col("CORE_ID").alias("__p_core"),
+    # child rows (M12, M11, D44) and the country text (A11, M13), per candidate
+    mv = cat.table("wf_multi_values").filter(F.col("ID_TIPO_CAMPO") != R.DROPPED_CHILD_TYPE)
+    src = prev.select(F.col("ID_SOLICITUD").alias("__n_app"), F.col("NEW_NO").alias("__n_no"),
+                      F.col("PREV_SOLICITUD").alias("__o_app"), F.col("PREV_CUSTOMER_NO").alias("__o_no"))
+    ch = mv.join(src, (F.col("ID_SOLICITUD") == F.col("__o_app")) & (F.col("CUSTOMER_NO") == F.col("__o_no")))
+    country = cat.table("fcc_country")
+    ch = lookups(ch, [Lookup(country, ["DESCRIPCION1"], ["DESCRIPTION"], {"__code": "COUNTRY_CODE"})])
+    ch = ch.select("ID_CAMPO", "ID_TIPO_CAMPO", "DESCRIPCION1",
+                   F.when(F.col("ID_TIPO_CAMPO") == R.COUNTRY_LIST_TYPE, F.col("__code")).otherwise(
+                       F.col("DESCRIPCION2")).alias("DESCRIPCION2"),
+                   F.col("__n_no").alias("CUSTOMER_NO"), F.col("__n_app").alias("ID_SOLICITUD"))
+    children = ch.filter(~((F.col("ID_TIPO_CAMPO") == R.COUNTRY_LIST_TYPE) & F.col("DESCRIPCION2").isNull()))
+    text = bounded_listagg(children.filter(F.col("ID_TIPO_CAMPO") == R.COUNTRY_LIST_TYPE), KEY, F.col("DESCRIPCION1"),
+                           [F.col("DESCRIPCION1")], " ^ ", R.COUNTRY_TEXT_LIMIT - 3, "__countries")
+    text = text.select(F.col("ID_SOLICITUD").alias("__t_app"), F.col("CUSTOMER_NO").alias("__t_no"), "__countries")
+
+    # carry-forward (M9): the new values are first gathered per candidate on
+    # narrow frames (previous row, user fields, country text), then applied to
+    # every row of the new application with that core id in one join
+    single_carry = dict(R.carry_rules(group=False))
+    group_carry = dict(R.carry_rules(group=True))
+    carried_cols = [f for f in schema.fields if f.name in single_carry or f.name in group_carry]
+    prev_cols = sorted({c for c, t in list(single_carry.items()) + list(group_carry.items()) if t[0] == "prev"})
+    prev_rows = profile.select(F.col("ID_SOLICITUD").alias("__prev_app"), F.col("CUSTOMER_NO").alias("__prev_no"),
+                               *[F.col(c).alias(f"__prev_{c}") for c in prev_cols])
+    udf = cif_fields(cat).select("__udf_core", *[F.col(f"FIELD_VAL_{n}").alias(f"__cu_{n}")
+                                                 for n in (17, 20, 32, 39, 40, 42, 43, 45)])
+    ct = prev.select(F.col("ID_SOLICITUD").alias("__p_app"), F.col("CORE_ID").alias("__p_core"),
                      F.col("MODE").alias("__p_mode"), "PREV_SOLICITUD", "PREV_CUSTOMER_NO", F.col("NEW_NO").alias("__p_new"))
-    prev_rows = profile.select(*[F.col(c).alias(f"__prev_{c}") for c in profile.columns])
-    udf = cif_fields(cat).select("__udf_core", *[F.col(f"FIELD_VAL_{n}").alias(f"__cu_{n}") for n in (17, 20, 32, 39, 40, 42, 43, 45)])
-    x = base_rows.join(pr, (F.col("ID_SOLICITUD") == F.col("__p_app")) & (F.col("CUSTOMER_NO_FCC") == F.col("__p_core")), "left")
-    x = x.join(prev_rows, (F.col("PREV_SOLICITUD") == F.col("__prev_ID_SOLICITUD"))
-               & (F.col("PREV_CUSTOMER_NO") == F.col("__prev_CUSTOMER_NO")), "left")
-    x = x.join(udf, F.col("__p_core") == F.col("__udf_core"), "left")
+    ct = ct.join(prev_rows, (F.col("PREV_SOLICITUD") == F.col("__prev_app"))
+                 & (F.col("PREV_CUSTOMER_NO") == F.col("__prev_no")), "left")
+    ct = ct.join(udf, F.col("__p_core") == F.col("__udf_core"), "left")
+    ct = ct.join(text, (F.col("__p_app") == F.col("__t_app")) & (F.col("__p_new") == F.col("__t_no")), "left")
 
     def carry_term(col: str, t: tuple, dtype) -> Column:
         kind = t[0]
@@ -220,41 +245,37 @@ def refresh(cat: Catalog, requests: DataFrame, as_of: Column) -> RefreshResult:
             return F.col(f"__cu_{t[1]}").cast(dtype)
         raise ValueError(kind)
 
-    single_carry = dict(R.carry_rules(group=False))
-    group_carry = dict(R.carry_rules(group=True))
-    has_prev = F.col("PREV_SOLICITUD").isNotNull()
-    out_cols = []
+    is_s, is_g = F.col("__p_mode") == "S", F.col("__p_mode") == "G"
+    values = []
+    for f in carried_cols:
+        v = F.when(F.lit(False), F.lit(None).cast(f.dataType))
+        if f.name in single_carry:
+            v = v.when(is_s, carry_term(f.name, single_carry[f.name], f.dataType))
+        if f.name in group_carry:
+            v = v.when(is_g, carry_term(f.name, group_carry[f.name], f.dataType))
+        applies = (is_s if f.name in single_carry else F.lit(False)) | (is_g if f.name in group_carry else F.lit(False))
+        values += [v.alias(f"__cv_{f.name}"), applies.alias(f"__ca_{f.name}")]
+    ct = ct.select("__p_app", "__p_core", "__p_mode", "__p_new", *values, F.col("__countries").alias("__cv_countries"))
+    # rows without a previous application still need their mode and number
+    no_prev = cand_prev.filter(F.col("PREV_SOLICITUD").isNull()).select(
+        F.col("ID_SOLICITUD").alias("__p_app"), F.col("CORE_ID").alias("__p_core"), F.col("MODE").alias("__p_mode"),
+        F.col("NEW_NO").alias("__p_new"))
+    ct = ct.withColumn("__has_prev", F.lit(True)).unionByName(
+        no_prev.withColumn("__has_prev", F.lit(False)), allowMissingColumns=True)
+
+    base_rows = kept.withColumn("MODE", F.lit(None).cast("string")).unionByName(loaded)
+    x = base_rows.join(ct, (F.col("ID_SOLICITUD") == F.col("__p_app")) & (F.col("CUSTOMER_NO_FCC") == F.col("__p_core")),
+                       "left")
+    has_prev = F.coalesce(F.col("__has_prev"), F.lit(False))
+    out = []
     for f in schema.fields:
         c = F.col(f.name)
-        if f.name in single_carry or f.name in group_carry:
-            e = F.when(F.lit(False), c)
-            if f.name in single_carry:
-                e = e.when(has_prev & (F.col("__p_mode") == "S"), carry_term(f.name, single_carry[f.name], f.dataType))
-            if f.name in group_carry:
-                e = e.when(has_prev & (F.col("__p_mode") == "G"), carry_term(f.name, group_carry[f.name], f.dataType))
-            c = e.otherwise(c)
-        out_cols.append(c.alias(f.name))
-    carried = x.select(*out_cols, "MODE", "__p_new", "__p_mode", has_prev.alias("__has_prev"))
-
-    # child rows (M12, M11, D44) and the country text
-    mv = cat.table("wf_multi_values").filter(F.col("ID_TIPO_CAMPO") != R.DROPPED_CHILD_TYPE)
-    src = prev.select(F.col("ID_SOLICITUD").alias("__n_app"), F.col("NEW_NO").alias("__n_no"),
-                      F.col("PREV_SOLICITUD").alias("__o_app"), F.col("PREV_CUSTOMER_NO").alias("__o_no"))
-    ch = mv.join(src, (F.col("ID_SOLICITUD") == F.col("__o_app")) & (F.col("CUSTOMER_NO") == F.col("__o_no")))
-    country = cat.table("fcc_country")
-    ch = lookups(ch, [Lookup(country, ["DESCRIPCION1"], ["DESCRIPTION"], {"__code": "COUNTRY_CODE"})])
-    ch = ch.select("ID_CAMPO", "ID_TIPO_CAMPO", "DESCRIPCION1",
-                   F.when(F.col("ID_TIPO_CAMPO") == R.COUNTRY_LIST_TYPE, F.col("__code")).otherwise(
-                       F.col("DESCRIPCION2")).alias("DESCRIPCION2"),
-                   F.col("__n_no").alias("CUSTOMER_NO"), F.col("__n_app").alias("ID_SOLICITUD"))
-    children = ch.filter(~((F.col("ID_TIPO_CAMPO") == R.COUNTRY_LIST_TYPE) & F.col("DESCRIPCION2").isNull()))
-    text = bounded_listagg(children.filter(F.col("ID_TIPO_CAMPO") == R.COUNTRY_LIST_TYPE), KEY, F.col("DESCRIPCION1"),
-                           [F.col("DESCRIPCION1")], " ^ ", R.COUNTRY_TEXT_LIMIT - 3, "__countries")
-    text = text.select(F.col("ID_SOLICITUD").alias("__t_app"), F.col("CUSTOMER_NO").alias("__t_no"), "__countries")
-    fin = carried.join(text, (F.col("ID_SOLICITUD") == F.col("__t_app")) & (F.col("__p_new") == F.col("__t_no")), "left")
-    fin = fin.withColumn("COUNTRIES_WHERE_OFFERS", F.when(F.col("__has_prev"), F.col("__countries")).otherwise(
-        F.col("COUNTRIES_WHERE_OFFERS")))
-    snapshot_apps = fin.select(*profile.columns, "MODE", "__p_mode")
+        if f.name == "COUNTRIES_WHERE_OFFERS":
+            c = F.when(has_prev, F.col("__cv_countries")).otherwise(c)
+        elif f.name in single_carry or f.name in group_carry:
+            c = F.when(has_prev & F.col(f"__ca_{f.name}"), F.col(f"__cv_{f.name}")).otherwise(c)
+        out.append(c.alias(f.name))
+    snapshot_apps = x.select(*out, "MODE", "__p_mode")
     rows = snapshot_apps.filter(F.col("__p_mode").isNotNull()).withColumnRenamed("__p_mode", "REFRESH_MODE").drop("MODE")
 
     aud_req = requests.select(F.when(F.coalesce(F.col("ID_PURPOSE") == R.SINGLE_PURPOSE, F.lit(False)),
