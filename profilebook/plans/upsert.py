@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 
 from profilebook.functions import codes, dates
 from profilebook.operators.aggregates import latest_per_key
+from profilebook.operators.broadcast import bounded_broadcast
 from profilebook.operators.joins import either_key
 from profilebook.operators.keys import assign_keys, with_base
 from profilebook.operators.lookups import exists_flag
@@ -108,8 +109,10 @@ def upsert_profiles(profile: DataFrame, changes: DataFrame, master: DataFrame, a
     # updates: profile rows joined to their winning request
     upd_cols = {r[0]: r for r in UPDATE_RULES}
     old = profile.alias("o")
-    hit = old.join(per_row.withColumnRenamed("REQ_ID", "__req"), KEY).join(
-        c.withColumnRenamed("REQ_ID", "__req"), "__req")
+    # the rows a batch touches grow with the batch, not with the profile:
+    # broadcast them when provably small, so the wide profile is not shuffled
+    targets = bounded_broadcast(per_row.withColumnRenamed("REQ_ID", "__req"))
+    hit = old.join(targets, KEY).join(c.withColumnRenamed("REQ_ID", "__req"), "__req")
     updated = hit.select(*[
         (_rule_value(upd_cols[f.name], f.dataType, F.col(f"o.{f.name}"), as_of) if f.name in upd_cols
          else F.col(f"o.{f.name}")).alias(f.name) for f in schema.fields])
@@ -123,7 +126,7 @@ def upsert_profiles(profile: DataFrame, changes: DataFrame, master: DataFrame, a
         (_rule_value(ins_cols[f.name], f.dataType, None, as_of) if f.name in ins_cols
          else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields], "REQ_ID")
 
-    untouched = profile.join(per_row.select(*KEY), KEY, "left_anti")
+    untouched = profile.join(bounded_broadcast(per_row.select(*KEY)), KEY, "left_anti")
     touched = updated.unionByName(inserted.drop("REQ_ID"))
     snapshot = untouched.unionByName(touched)
 
@@ -170,7 +173,7 @@ def record_status(profile: DataFrame, events: DataFrame) -> tuple[DataFrame, Dat
                             ["ID_STATUS_FCC", "MSG_ERROR_FCC", "EVENT_TS"])
     ev = latest.select(F.col("ID_CUSTOMER_FCC").alias("__cid"), F.col("ID_STATUS_FCC").alias("__st"),
                        F.col("MSG_ERROR_FCC").alias("__msg"), F.col("EVENT_TS").alias("__ts"))
-    j = profile.join(ev, F.col("ID_CUSTOMER_FCC") == F.col("__cid"), "left")
+    j = profile.join(bounded_broadcast(ev), F.col("ID_CUSTOMER_FCC") == F.col("__cid"), "left")
     hit = F.col("__cid").isNotNull()
     schema = profile.schema
     sets = {
