@@ -16,6 +16,7 @@ from profilebook.functions import codes, dates
 from profilebook.functions.nulls import ncat, opt_eq, opt_eq_null
 from profilebook.operators.aggregates import bounded_listagg, latest_per_key
 from profilebook.operators.lookups import Lookup, lookups
+from profilebook.session import ensure_checkpoint_dir
 from profilebook.sources.catalog import Catalog
 
 SQL_TEXT_LIMIT = 4000   # a PL/SQL function result used in SQL holds at most 4,000 bytes
@@ -253,6 +254,17 @@ def _search_columns(full: bool) -> list[Column]:
 
 def enrich(cat: Catalog, rows: DataFrame, full: bool = True, ordered: bool = True,
            bank_key: str = "prefix", selective: bool = False) -> DataFrame:
+    """Attach every description to ``rows``.
+
+    A selective search (a parameter given, or the most-recent search)
+    materialises its selected rows once with a reliable checkpoint in the
+    shared folder: they feed several lookup branches, and recomputing the
+    selection (e.g. the latest-application aggregation) in each is the
+    larger cost.
+    """
+    if selective:
+        ensure_checkpoint_dir(rows.sparkSession)
+        rows = rows.checkpoint(eager=True)
     extra = _narrow_enrichment(cat, rows, bank_key, full, selective)
     wide = rows.join(extra, _KEY, "left")
     out = wide.select(*_search_columns(full))
