@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 # join (AQE may still convert it at runtime from measured shuffle sizes).
 DEFAULT_MAX_ROWS = 200_000
 
-_decisions: dict[tuple[int, int], bool] = {}
+_decisions: dict[tuple, bool] = {}
+
+
+def _plan_key(df: DataFrame, max_rows: int) -> tuple:
+    """Logical plan + the files it reads: a table rewritten in place (new
+    files) is checked again instead of reusing an earlier verdict."""
+    return df.semanticHash(), hash(tuple(sorted(df.inputFiles()))), max_rows
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
@@ -19,13 +25,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFr
     scan) and its answer is remembered per logical plan, so a code list used
     in several roles is checked once.
     """
-    key = (df.semanticHash(), max_rows)
+    key = _plan_key(df, max_rows)
     if key not in _decisions:
         _decisions[key] = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if _decisions[key] else df
 
 
-_unique: dict[tuple[int, int], tuple[bool, bool]] = {}
+_unique: dict[tuple, tuple[bool, bool]] = {}
 
 
 def bounded_profile(df: DataFrame, keys: list[str], max_rows: int = DEFAULT_MAX_ROWS) -> tuple[bool, bool]:
@@ -34,7 +40,7 @@ def bounded_profile(df: DataFrame, keys: list[str], max_rows: int = DEFAULT_MAX_
     Reads at most ``max_rows + 1`` rows; ``unique`` is only claimed for a
     small dimension (then the counts are exact).
     """
-    key = (df.semanticHash(), max_rows)
+    key = _plan_key(df, max_rows) + (tuple(keys),)
     if key not in _unique:
         r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
                                        F.count_distinct(F.struct(*[F.col(k) for k in keys])).alias("d")).collect()[0]

@@ -144,9 +144,13 @@ def master_profile_any(cat: Catalog, core_id: str | None = None) -> DataFrame:
     )
 
 
-def contacts(cat: Catalog, n: int = 3) -> DataFrame:
-    """Contacts 1..n of each (application, party), by name then position."""
-    d = cat.table("wf_directors").filter((F.col("TYPE") == CONTACT_TYPE) & F.col("NAME").isNotNull())
+def contacts(cat: Catalog, n: int = 3, apps: DataFrame | None = None) -> DataFrame:
+    """Contacts 1..n of each (application, party), by name then position
+    (only for ``apps`` when given)."""
+    d = cat.table("wf_directors")
+    if apps is not None:
+        d = d.join(apps, "ID_SOLICITUD", "left_semi")
+    d = d.filter((F.col("TYPE") == CONTACT_TYPE) & F.col("NAME").isNotNull())
     text = ncat(F.col("NAME"), " - ", F.col("POSITION"))
     return top_n_pivot(d, ["ID_SOLICITUD", "CUSTOMER_NO"], ["NAME", "POSITION"], text, n, "CONTACT_")
 
