@@ -58,8 +58,11 @@ def completeness_batch(profile: DataFrame, latest: DataFrame) -> DataFrame:
 class StatusStream:
     """Runs T1 + T2 over a directory of status-event files."""
 
-    def __init__(self, spark: SparkSession, profile: DataFrame, out_dir: str):
+    def __init__(self, spark: SparkSession, profile: DataFrame, out_dir: str, state_partitions: int | None = None):
         self.spark = spark
+        # state-store partitions are fixed in the query's checkpoint at its
+        # first start; size them to the cluster, not to a batch default
+        self.state_partitions = state_partitions or 2 * spark.sparkContext.defaultParallelism
         self.profile = profile.filter((F.col("CHK_CREATE_FCC") == 1) & (F.col("LMT_CUSTOMER_TYPE") != "G")).select(
             "ID_SOLICITUD", "ID_CUSTOMER_FCC")
         self.changelog = f"{out_dir}/changelog"
@@ -67,19 +70,23 @@ class StatusStream:
         self.checkpoint = f"{out_dir}/_checkpoint"
 
     def _previous(self, ids: DataFrame, epoch: int) -> DataFrame:
-        try:
-            log = self.spark.read.parquet(self.changelog).filter(F.col("epoch") < epoch)
-        except Exception:  # noqa: BLE001 - no batch committed yet
-            return ids.select("ID_CUSTOMER_FCC", F.lit(None).cast("int").alias("PREV_STATUS")).limit(0)
+        if epoch == 0:   # nothing committed before the first batch (also on its replay)
+            return ids.select("ID_CUSTOMER_FCC", F.lit(None).cast("int").alias("PREV_STATUS")).filter(F.lit(False))
+        log = self.spark.read.parquet(self.changelog).filter(F.col("epoch") < epoch)
         prev = latest_status(log).select("ID_CUSTOMER_FCC", F.col("ID_STATUS_FCC").alias("PREV_STATUS"))
         return prev.join(ids.select("ID_CUSTOMER_FCC"), "ID_CUSTOMER_FCC", "left_semi")
 
     def _apply(self, changed: DataFrame, epoch: int) -> None:
-        changed = changed.select("ID_CUSTOMER_FCC", "ID_STATUS_FCC", "MSG_ERROR_FCC", "EVENT_TS", "EVENT_ID")
-        # only committed epochs before this one are "previous"; a replayed
-        # epoch overwrites its own output below
-        prev = self._previous(changed, epoch)
-        j = changed.join(prev, "ID_CUSTOMER_FCC", "left")
+        # the batch's changed keys are written first and read back: the
+        # stateful plan behind ``changed`` then runs once, and the deltas are
+        # computed from a durable table (a replayed epoch rewrites both paths)
+        path = f"{self.changelog}/epoch={epoch}"
+        changed.select("ID_CUSTOMER_FCC", "ID_STATUS_FCC", "MSG_ERROR_FCC", "EVENT_TS", "EVENT_ID") \
+            .write.mode("overwrite").parquet(path)
+        batch = self.spark.read.parquet(path)
+        # only committed epochs before this one are "previous"
+        prev = self._previous(batch, epoch)
+        j = batch.join(prev, "ID_CUSTOMER_FCC", "left")
         new_c, new_f = _flags("ID_STATUS_FCC")
         old_c = F.when(F.col("PREV_STATUS").isin(*CREATED), 1).otherwise(0)
         old_f = F.when(F.col("PREV_STATUS").isin(*FAILED), 1).otherwise(0)
@@ -87,16 +94,21 @@ class StatusStream:
         d = d.join(self.profile, "ID_CUSTOMER_FCC").groupBy("ID_SOLICITUD").agg(
             F.sum("D_CREATED").cast("long").alias("D_CREATED"), F.sum("D_FAILED").cast("long").alias("D_FAILED"))
         d.write.mode("overwrite").parquet(f"{self.deltas}/epoch={epoch}")
-        changed.write.mode("overwrite").parquet(f"{self.changelog}/epoch={epoch}")
 
     def run(self, source_dir: str, schema: StructType, files_per_batch: int = 1) -> None:
         events = (self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
                   .parquet(source_dir))
-        q = (latest_status(events).writeStream.outputMode("update")
-             .option("checkpointLocation", self.checkpoint)
-             .foreachBatch(lambda df, epoch: self._apply(df, epoch))
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
+        conf = self.spark.conf
+        saved = conf.get("spark.sql.shuffle.partitions")
+        conf.set("spark.sql.shuffle.partitions", str(self.state_partitions))
+        try:
+            q = (latest_status(events).writeStream.outputMode("update")
+                 .option("checkpointLocation", self.checkpoint)
+                 .foreachBatch(lambda df, epoch: self._apply(df, epoch))
+                 .trigger(availableNow=True).start())
+            q.awaitTermination()
+        finally:
+            conf.set("spark.sql.shuffle.partitions", saved)
 
     def latest(self) -> DataFrame:
         """T1 result: latest status per creation id."""
