@@ -7,11 +7,12 @@
 3. The samples are also folded into an odd sketch: each (sample number, value) flips one of 512 bits.  The population
    count of the XOR of two sketches estimates a high similarity precisely; a pair far below the threshold is dropped
    there, all others are confirmed on their full shingle sets.
-4. First every member of a bucket is paired with the bucket's smallest class.  The links found give components; buckets
-   whose members all fell into one component are done.  In the others every pair of members of different components is
-   compared by sketch, in blocks of at most ``BLOCK`` members, so no bucket meets in one task and only pairs that pass
-   the sketch are emitted.  There is no cap on partners or buckets.
-5. Confirmed links, both rounds, give the components by smallest-label propagation.
+4. First every member of a bucket is paired with one leader of the bucket.  The links found give components; buckets
+   whose members all fell into one component are done.  In the others a new leader is drawn, ``ROUNDS`` times in all, and
+   paired with the members outside its component.  Buckets that still hold several components are compared in full:
+   every pair of members of different components by size and sketch, in blocks of at most ``BLOCK`` members, so no bucket
+   meets in one task and only pairs that pass are emitted.  There is no cap on partners or buckets.
+5. Confirmed links of all rounds give the components by smallest-label propagation.
 
 Defined results: a null text is the empty text; a text without words has no shingles, is linked with nothing and stays.
 A null doc_id counts as one that is smaller than all others.  Rows that share a doc_id are one document with several
@@ -31,6 +32,7 @@ from profilebook.llm.common import landed
 from profilebook.llm.components import components
 
 BANDS, ROWS = 40, 5
+ROUNDS = 4
 SKETCH_BITS = 512
 BLOCK = 256
 #: A pair whose sketches say less than this is not a link of similarity 0.8 (more than five standard errors).
@@ -163,7 +165,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, lower: bool, percen
     return both.filter((100 * common >= percent * union) & (common > 0)).select("u", "v").distinct()
 
 
-def rest_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+def star_pairs(buckets: DataFrame, labels: DataFrame | None, classes: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(u, v): a leader of each bucket, drawn anew in every turn, and its members outside the leader's component whose
+    sizes allow a link."""
+    named = buckets.withColumn("component", F.col("rep"))
+    if labels is not None:
+        named = buckets.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    draw = F.struct((F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("o"), F.col("rep").alias("r"), F.col("component").alias("c"))
+    leaders = named.groupBy("bucket").agg(F.min(draw).alias("leader"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    pairs = named.join(leaders.select("bucket", "leader"), "bucket").filter(F.col("component") != F.col("leader.c"))
+    pairs = pairs.select(F.least("rep", "leader.r").alias("u"), F.greatest("rep", "leader.r").alias("v")).distinct()
+    size = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"))
+    both = pairs.join(size("u"), "u").join(size("v"), "v")
+    return both.filter(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")).select("u", "v").distinct()
+
+
+def rest_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs in buckets that hold several components, of different components, whose sketches do not rule a link out.
 
     A bucket of n members is dealt to blocks of about BLOCK members; a task compares two blocks.
@@ -202,7 +219,7 @@ def rest_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> Dat
             left = begin + np.flatnonzero(block[begin:end] == lo[begin])
             right = begin + np.flatnonzero(block[begin:end] == hi[begin])
             for i in left:
-                ok = (component[right] != component[i]) & (np.minimum(items[right], items[i]) * 100 >= 60 * np.maximum(items[right], items[i]))
+                ok = (component[right] != component[i]) & (np.minimum(items[right], items[i]) * 100 >= percent * np.maximum(items[right], items[i]))
                 if lo[begin] == hi[begin]:
                     ok &= rep[right] > rep[i]
                 at = right[ok]
@@ -222,16 +239,25 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool
     classes = landed(signed.filter("n > 0").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     members = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("other")).filter("leader <> other")
-    buckets = landed(members.join(shared.select("bucket", "leader"), "bucket"), "buckets")
-    stars = buckets.filter("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct()
-    links = landed(confirmed(landed(near_by_sketch(stars, classes), "star-pairs"), docs, width, lower, percent), "links")
-    labels = components(links)
-    rest = landed(rest_pairs(buckets.select("bucket", "rep"), labels, classes), "rest-pairs")
+    shared = members.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("bucket")
+    buckets = landed(members.join(shared, "bucket"), "buckets")
+    links, labels, tried = None, None, None
+    for turn in range(ROUNDS):
+        pairs = landed(star_pairs(buckets, labels, classes, turn, percent), "star-pairs")
+        if tried is not None:
+            pairs = landed(pairs.join(tried, ["u", "v"], "left_anti"), "star-pairs")
+        if pairs.isEmpty():
+            labels = labels or components(pairs)
+            links = pairs if links is None else links
+            continue
+        tried = pairs if tried is None else tried.union(pairs)
+        found = landed(confirmed(landed(near_by_sketch(pairs, classes), "near-pairs"), docs, width, lower, percent), "links")
+        links = found if links is None else links.union(found)
+        labels = components(links)
+    rest = rest_pairs(buckets, labels, classes, percent)
+    rest = landed(rest if tried is None else rest.join(tried, ["u", "v"], "left_anti"), "rest-pairs")
     if not rest.isEmpty():
-        # Pairs that the first round compared are not compared again.
-        rest = rest.join(stars, ["u", "v"], "left_anti")
-        links = links.union(landed(confirmed(landed(rest, "rest-pairs"), docs, width, lower, percent), "links"))
+        links = links.union(landed(confirmed(rest, docs, width, lower, percent), "links"))
         labels = components(links)
     found = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
         F.col("d1").alias("c1"), F.col("d2").alias("c2"), "class_size", F.coalesce("component", "rep").alias("component"))
