@@ -10,13 +10,14 @@
 4. First every member of a bucket is paired with one leader of the bucket.  The links found give components; buckets
    whose members all fell into one component are done.  In the others a new leader is drawn, ``ROUNDS`` times in all, and
    paired with the members outside its component.  Buckets that still hold several components are compared in full:
-   every pair of members of different components by size and sketch, in blocks of at most ``BLOCK`` members, so no bucket
-   meets in one task and only pairs that pass are emitted.  There is no cap on partners or buckets.
+   every pair of members of different components by size, sketch and then full shingle sets, in blocks of about ``BLOCK``
+   members, so no bucket meets in one task and only confirmed links are emitted.  A pair that shares several buckets is
+   confirmed in the bucket of its first common band.  There is no cap on partners or buckets.
 5. Confirmed links of all rounds give the components by smallest-label propagation.
 
 Defined results: a null text is the empty text; a text without words has no shingles, is linked with nothing and stays.
-A null doc_id counts as one that is smaller than all others.  Rows that share a doc_id are one document with several
-texts: a link of any of them is a link of it.  Extra columns are kept, names may clash.  An empty table gives an empty
+A null doc_id counts as one that is smaller than all others.  Rows that share a doc_id are judged each by its own text;
+where two of them stand for their shingle sets, these sets count as linked.  Extra columns are kept, names may clash.  An empty table gives an empty
 result.
 """
 
@@ -32,7 +33,7 @@ from profilebook.llm.common import landed
 from profilebook.llm.components import components
 
 BANDS, ROWS = 40, 5
-ROUNDS = 4
+ROUNDS = 2
 SKETCH_BITS = 512
 BLOCK = 256
 #: A pair whose sketches say less than this is not a link of similarity 0.8 (more than five standard errors).
@@ -132,11 +133,17 @@ def shingle_sets(docs: DataFrame, width: int, lower: bool) -> DataFrame:
                 flat, counts = split_words(batch.column("text"), lower)
                 values, n = shingles(word_hashes(flat), counts, width)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(_signed(values, n)))], schema=arrow)
 
     return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, items array<long>")
 
 
+def _signed(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The hashes as signed numbers, ascending within each set again."""
+    out = values.view(np.int64)
+    return out[np.lexsort((out, np.repeat(np.arange(len(counts)), counts)))]
+
+
 def near_by_sketch(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (u, v) whose odd sketches do not rule a link out."""
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("sketch").alias(f"s_{c}"))
@@ -180,57 +187,71 @@ def star_pairs(buckets: DataFrame, labels: DataFrame | None, classes: DataFrame,
     return both.filter(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")).select("u", "v").distinct()
 
 
-def rest_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs in buckets that hold several components, of different components, whose sketches do not rule a link out.
+def rest_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, lower: bool, percent: int) -> DataFrame:
+    """Confirmed links between members of different components in buckets that hold several components.
 
     A bucket of n members is dealt to blocks of about BLOCK members; a task compares two blocks.
     """
     named = buckets.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     several = named.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    rows = named.join(several.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "bucket")
+    rows = landed(named.join(several.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "bucket"), "rest-rows")
+    ids = rows.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.select(key().alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+    sets = landed(shingle_sets(texts, width, lower), "shingle-sets").select(F.col("doc_id").alias("s_rep"), "items")
+    known = classes.select(F.col("rep").alias("c_rep"), "sketch", "bands").join(sets, F.col("c_rep") == F.col("s_rep"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))
     rows = rows.select("bucket", "rep", "component", "block", F.explode(own).alias("p")).select("bucket", "rep", "component", "block", "p.lo", "p.hi")
-    rows = rows.join(classes.select("rep", "sketch", F.col("n").alias("n_items")), "rep")
-
-    rows = rows.select("bucket", "lo", "hi", "block", "rep", "component", "n_items", "sketch")
+    rows = rows.join(known, F.col("rep") == F.col("c_rep")).select("bucket", "lo", "hi", "block", "rep", "component", "sketch", "bands", "items")
     arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def compare(batches):
         # The rows of a group (two blocks) come one after the other; the last group of a batch waits for the next batch.
-        held = None
+        held = []
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            ids = [table.column(c).to_numpy() for c in ("bucket", "lo", "hi")]
-            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
-            if not len(cuts):
-                held = table
-                continue
-            held = table.slice(cuts[-1])
-            yield from_groups(table.slice(0, cuts[-1]), np.concatenate([[0], cuts]))
-        if held is not None and held.num_rows:
-            yield from_groups(held, np.array([0, held.num_rows]))
-
-    def from_groups(table, cuts):
-        lo, hi, block, rep, component, items = (table.column(c).to_numpy() for c in ("lo", "hi", "block", "rep", "component", "n_items"))
+            ids = [batch.column(c).to_numpy() for c in ("bucket", "lo", "hi")]
+            cuts = (np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1).tolist()
+            for begin, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+                part = batch.slice(begin, end - begin)
+                same = [held[0].column(c)[0].as_py() == part.column(c)[0].as_py() for c in ("bucket", "lo", "hi")] if held and part.num_rows else [True]
+                if not all(same):
+                    yield from_group(pa.Table.from_batches(held))
+                    held = []
+                if part.num_rows:
+                    held.append(part)
+        if held:
+            yield from_group(pa.Table.from_batches(held))
+
+    def from_group(table):
+        table = table.combine_chunks()
+        bucket, lo, hi = (table.column(c)[0].as_py() for c in ("bucket", "lo", "hi"))
+        block, rep, component = (table.column(c).to_numpy() for c in ("block", "rep", "component"))
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1)
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for begin, end in zip(cuts[:-1], cuts[1:]):
-            left = begin + np.flatnonzero(block[begin:end] == lo[begin])
-            right = begin + np.flatnonzero(block[begin:end] == hi[begin])
-            for i in left:
-                ok = (component[right] != component[i]) & (np.minimum(items[right], items[i]) * 100 >= percent * np.maximum(items[right], items[i]))
-                if lo[begin] == hi[begin]:
-                    ok &= rep[right] > rep[i]
-                at = right[ok]
-                if len(at):
-                    at = at[estimate(_POP[bits[at] ^ bits[i]].sum(axis=1, dtype=np.int64)) >= SKETCH_FLOOR]
-                    us.append(np.minimum(rep[at], rep[i]))
-                    vs.append(np.maximum(rep[at], rep[i]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], schema=arrow)
-
-    sorted_rows = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return sorted_rows.mapInArrow(compare, "u long, v long").distinct()
+        bands = np.stack(table.column("bands").combine_chunks().to_numpy(zero_copy_only=False)) if table.num_rows else None
+        items = table.column("items").combine_chunks().to_numpy(zero_copy_only=False)
+        size = np.array([len(x) for x in items])
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        us, vs = [], []
+        for i in left:
+            ok = (component[right] != component[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))
+            if lo == hi:
+                ok &= rep[right] > rep[i]
+            at = right[ok]
+            if len(at):
+                at = at[estimate(_POP[bits[at] ^ bits[i]].sum(axis=1, dtype=np.int64)) >= SKETCH_FLOOR]
+            if len(at):
+                common = bands[at] == bands[i]
+                at = at[bands[i][common.argmax(axis=1)] == bucket]
+            for j in at:
+                small, large = (items[i], items[j]) if size[i] <= size[j] else (items[j], items[i])
+                where = np.searchsorted(large, small)
+                both = int((large[np.minimum(where, len(large) - 1)] == small).sum())
+                if 100 * both >= percent * (size[i] + size[j] - both):
+                    us.append(min(rep[i], rep[j]))
+                    vs.append(max(rep[i], rep[j]))
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=arrow)
+
+    return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(compare, "u long, v long").distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -254,11 +275,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool
         found = landed(confirmed(landed(near_by_sketch(pairs, classes), "near-pairs"), docs, width, lower, percent), "links")
         links = found if links is None else links.union(found)
         labels = components(links)
-    rest = rest_pairs(buckets, labels, classes, percent)
-    rest = landed(rest if tried is None else rest.join(tried, ["u", "v"], "left_anti"), "rest-pairs")
+    rest = landed(rest_links(buckets, labels, classes, docs, width, lower, percent), "links")
     if not rest.isEmpty():
-        links = links.union(landed(confirmed(rest, docs, width, lower, percent), "links"))
-        labels = components(links)
+        labels = components(links.union(rest))
     found = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
         F.col("d1").alias("c1"), F.col("d2").alias("c2"), "class_size", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "d1", "d2").join(found, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n") > 0), "left")
