@@ -2,9 +2,8 @@
 
 Counts and first/latest picks use partial (map-side) aggregation, so a hot
 key costs one row per task before the shuffle.  Text aggregation is the one
-operator that must hold a whole group; it is only run for groups whose text
-is proven to fit the reference's variable size (notice 2,000 chars, SQL text
-4,000, country list 900), measured first with a partial-aggregated length sum.
+operator whose result holds a whole group: its items are gathered in parts and
+meet only in the row of their text; no length is capped.
 """
 
 from __future__ import annotations
@@ -12,19 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
-def count_by_key(df: DataFrame, keys: list[str], out: str, where: Column | None = None) -> DataFrame:
-    d = df if where is None else df.filter(where)
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-
-
-def counts_by_key(df: DataFrame, keys: list[str], counts: dict[str, Column]) -> DataFrame:
-    """Several conditional counts in one pass (A4): ``count(when(cond, 1))``."""
-    return df.groupBy(*keys).agg(*[F.count(F.when(c, F.lit(1))).alias(n) for n, c in counts.items()])
+#: Parts in which the items of one text are gathered first.
+PARTS = 16
 
 
 def count_flag(df: DataFrame, where: Column, when_any: str, when_none: str, out: str,
@@ -52,29 +40,20 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str], values: list
         *keys, *[F.col(f"__pick.{v}").alias(v) for v in values])
 
 
-def bounded_listagg(rows: DataFrame, keys: list[str], item: Column, order: list[Column], sep: str,
-                    max_chars: int, out: str, trailing: bool = False) -> DataFrame:
-    """``LISTAGG(item, sep) WITHIN GROUP (ORDER BY order)`` per key, size-checked.
+def listagg(rows: DataFrame, keys: list[str], item: Column, order: list[Column], sep: str, out: str,
+            trailing: bool = False) -> DataFrame:
+    """``LISTAGG(item, sep) WITHIN GROUP (ORDER BY order)`` per key, whole, whatever its length.
 
-    Returns ``keys, out, <out>_overflow``.  A key whose text would be longer
-    than ``max_chars`` gets NULL text and overflow = true (the reference raises
-    a value error at that point); only keys that fit are gathered, so no task
-    ever holds more than ``max_chars`` characters of one group.  Null items are
-    skipped; ``trailing`` appends the separator after every item (A7).
+    Returns ``keys, out``.  Items of a key are first sorted and gathered in ``PARTS`` parts by a hash of the item, so the
+    rows of a hot key are read, filtered and sorted by many tasks; the parts then meet in the one row that holds the text,
+    which is as long as the text itself.  Null and empty items are skipped; ``trailing`` appends the separator after every
+    item (A7).
     """
-    order_cols = [o.alias(f"__o{i}") for i, o in enumerate(order)]
-    r = rows.select(*keys, item.cast("string").alias("__t"), *order_cols).filter(
+    names = [f"__o{i}" for i in range(len(order))]
+    r = rows.select(*keys, item.cast("string").alias("__t"), *[o.alias(n) for o, n in zip(order, names)]).filter(
         F.col("__t").isNotNull() & (F.length("__t") > 0))
-    sep_len = len(sep)
-    stats = r.groupBy(*keys).agg(
-        (F.sum(F.length("__t") + F.lit(sep_len)) - F.lit(0 if trailing else sep_len)).alias("__len"))
-    fits = stats.filter(F.col("__len") <= max_chars).select(*keys)
-    within = r.join(fits, keys, "left_semi")
-    items = F.sort_array(F.collect_list(F.struct(*[F.col(f"__o{i}") for i in range(len(order))], F.col("__t"))))
-    agg = within.groupBy(*keys).agg(items.alias("__items"))
-    text = F.array_join(F.transform("__items", lambda x: x["__t"]), sep)
-    if trailing:
-        text = F.concat(text, F.lit(sep))
-    agg = agg.select(*keys, text.alias(out))
-    return stats.join(agg, keys, "left").select(
-        *keys, F.col(out), (F.col("__len") > max_chars).alias(f"{out}_overflow"))
+    r = r.select(*keys, F.struct(*names, "__t").alias("__x")).withColumn("__part", F.pmod(F.xxhash64("__x"), F.lit(PARTS)))
+    parts = r.groupBy(*keys, "__part").agg(F.sort_array(F.collect_list("__x")).alias("__xs"))
+    whole = parts.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("__xs"))).alias("__xs"))
+    text = F.array_join(F.transform("__xs", lambda x: x["__t"]), sep)
+    return whole.select(*keys, (F.concat(text, F.lit(sep)) if trailing else text).alias(out))

@@ -94,26 +94,13 @@ def lookups(fact: DataFrame, specs: list[Lookup]) -> DataFrame:
     return fact
 
 
-def narrow_lookups(fact: DataFrame, specs: list[Lookup], key: list[str], needed: list[str]) -> DataFrame:
-    """Run the lookups on a narrow projection (row key + lookup keys) and join
-    the results back once on ``key``.
-
-    A wide row then crosses one join instead of one per lookup, and only
-    the narrow rows travel through the chain of broadcast joins.  ``key``
-    must identify a row of ``fact``.
-    """
-    cols = list(dict.fromkeys(key + needed))
-    narrow = lookups(fact.select(*cols), specs)
-    outs = [c for c in narrow.columns if c not in cols]
-    renamed = narrow.select(*[F.col(k).alias(f"__nk_{k}") for k in key], *outs)
-    cond = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__nk_{k}")) for k in key])
-    return fact.join(renamed, cond, "left").drop(*[f"__nk_{k}" for k in key])
-
-
 def exists_flag(fact: DataFrame, dim: DataFrame, fact_key: str | Column, dim_key: str,
                 out: str, yes="1", no="0") -> DataFrame:
     """Flag '1' when the key exists in ``dim`` (semi-join as a column)."""
     keys = dim.select(F.col(dim_key).alias("__ek")).filter(F.col("__ek").isNotNull()).distinct()
     keys = keys.withColumn("__ex", F.lit(True))
-    j = fact.join(keys, _as_col(fact_key) == F.col("__ek"), "left")
-    return j.withColumn(out, F.when(F.col("__ex"), F.lit(yes)).otherwise(F.lit(no))).drop("__ek", "__ex")
+    key = _as_col(fact_key)
+    # null keys exist nowhere: they pass beside the join instead of meeting in one partition
+    j = fact.filter(key.isNotNull()).join(keys, key == F.col("__ek"), "left")
+    found = j.withColumn(out, F.when(F.col("__ex"), F.lit(yes)).otherwise(F.lit(no))).drop("__ek", "__ex")
+    return found.unionByName(fact.filter(key.isNull()).withColumn(out, F.lit(no)))

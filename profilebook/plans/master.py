@@ -215,10 +215,14 @@ def change_comparison_set(cat: Catalog) -> DataFrame:
     )
 
 
-def directors_sorted(cat: Catalog) -> DataFrame:
-    """D22 (action 14): directors and managers (type <> 3) of each (application, core id)."""
+def directors_sorted(cat: Catalog, application=None, core_id: str | None = None) -> DataFrame:
+    """D22 (action 14): directors and managers (type <> 3) of each (application, core id), or of those given."""
     p = cat.profile().select("ID_SOLICITUD", F.col("CUSTOMER_NO").alias("__local"), "CUSTOMER_NO_FCC").filter(
         F.col("CUSTOMER_NO_FCC").isNotNull())
+    if application is not None:
+        p = p.filter(F.col("ID_SOLICITUD") == F.lit(application))
+    if core_id is not None:
+        p = p.filter(F.col("CUSTOMER_NO_FCC") == F.lit(core_id))
     d = cat.table("wf_directors").filter(F.col("TYPE") != CONTACT_TYPE)
     j = d.join(p, (d.ID_SOLICITUD == p.ID_SOLICITUD) & (d.CUSTOMER_NO == F.col("__local"))).select(
         d.ID_SOLICITUD, "CUSTOMER_NO_FCC", "TYPE", "NAME", "POSITION")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from profilebook.functions import codes, dates
 from profilebook.functions.nulls import ncat
-from profilebook.operators.aggregates import bounded_listagg, first_per_key
+from profilebook.operators.aggregates import first_per_key, listagg
 from profilebook.operators.broadcast import bounded_broadcast
 from profilebook.operators.keys import assign_keys, with_base
 from profilebook.operators.lookups import Lookup, lookups
@@ -209,8 +209,9 @@ def refresh(cat: Catalog, requests: DataFrame, as_of: Column) -> RefreshResult:
                        F.col("DESCRIPCION2")).alias("DESCRIPCION2"),
                    F.col("__n_no").alias("CUSTOMER_NO"), F.col("__n_app").alias("ID_SOLICITUD"))
     children = ch.filter(~((F.col("ID_TIPO_CAMPO") == R.COUNTRY_LIST_TYPE) & F.col("DESCRIPCION2").isNull()))
-    text = bounded_listagg(children.filter(F.col("ID_TIPO_CAMPO") == R.COUNTRY_LIST_TYPE), KEY, F.col("DESCRIPCION1"),
-                           [F.col("DESCRIPCION1")], " ^ ", R.COUNTRY_TEXT_LIMIT - 3, "__countries")
+    # commas inside a name become separators too, as the routine replaces them in the whole text
+    text = listagg(children.filter(F.col("ID_TIPO_CAMPO") == R.COUNTRY_LIST_TYPE), KEY,
+                   F.replace(F.col("DESCRIPCION1"), F.lit(","), F.lit(" ^ ")), [F.col("DESCRIPCION1")], " ^ ", "__countries")
     text = text.select(F.col("ID_SOLICITUD").alias("__t_app"), F.col("CUSTOMER_NO").alias("__t_no"), "__countries")
 
     # carry-forward (M9): the new values are first gathered per candidate on
@@ -285,6 +286,10 @@ def refresh(cat: Catalog, requests: DataFrame, as_of: Column) -> RefreshResult:
     aud_prev = prev.select(F.concat(F.lit(AUDIT_STEPS["P"] + " "), F.col("NEW_NO").cast("string"), F.lit("-"),
                                     F.col("CORE_ID"), F.lit("-"), F.col("PREV_SOLICITUD").cast("string")).alias("X"),
                            F.concat(F.lit(" CUSTOMER ANT. "), F.col("PREV_CUSTOMER_NO").cast("string")).alias("Y"))
-    audit = aud_req.unionByName(aud_prev).withColumn("FECHA", as_of)
+    # step 3: once for each previous application, after its carry-forward
+    aud_carried = prev.select(F.concat(F.lit(AUDIT_STEPS["C"] + " "), F.col("NEW_NO").cast("string"), F.lit("-"),
+                                       F.col("CORE_ID")).alias("X"),
+                              F.concat(F.lit(" CUSTOMER ANT. "), F.col("PREV_CUSTOMER_NO").cast("string")).alias("Y"))
+    audit = aud_req.unionByName(aud_prev).unionByName(aud_carried).withColumn("FECHA", as_of)
     return RefreshResult(cand, prev, loaded.drop("MODE"), rows, snapshot_apps.drop("__p_mode"), slice_stats,
                          children, audit)

@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 
 from profilebook.functions import codes, dates
 from profilebook.functions.nulls import ncat, opt_eq, opt_eq_null
-from profilebook.operators.aggregates import bounded_listagg, latest_per_key
+from profilebook.operators.aggregates import latest_per_key, listagg
 from profilebook.operators.lookups import Lookup, lookups
 from profilebook.session import ensure_checkpoint_dir
 from profilebook.sources.catalog import Catalog
 
-SQL_TEXT_LIMIT = 4000   # a PL/SQL function result used in SQL holds at most 4,000 bytes
 DIRECTORS, MANAGERS = 1, 2
 
 
@@ -43,8 +42,8 @@ def people_texts(cat: Catalog, apps: DataFrame | None = None) -> DataFrame:
     """Directors (type 1) and managers (type 2) text per (application, party)."""
     d = _only(cat.table("wf_directors"), apps).filter(F.col("TYPE").isin(DIRECTORS, MANAGERS))
     item = ncat(F.col("NAME"), " (", F.col("POSITION"), ")")
-    t = bounded_listagg(d.filter(F.col("NAME").isNotNull()), ["ID_SOLICITUD", "CUSTOMER_NO", "TYPE"], item,
-                        [F.col("NAME"), F.col("POSITION")], ", ", SQL_TEXT_LIMIT, "TXT")
+    t = listagg(d.filter(F.col("NAME").isNotNull()), ["ID_SOLICITUD", "CUSTOMER_NO", "TYPE"], item,
+                        [F.col("NAME"), F.col("POSITION")], ", ", "TXT")
     return t.groupBy("ID_SOLICITUD", "CUSTOMER_NO").agg(
         F.max(F.when(F.col("TYPE") == DIRECTORS, F.col("TXT"))).alias("BOARDOFDIRECTORS"),
         F.max(F.when(F.col("TYPE") == MANAGERS, F.col("TXT"))).alias("TOPMANAGEMENT"))
@@ -53,9 +52,8 @@ def people_texts(cat: Catalog, apps: DataFrame | None = None) -> DataFrame:
 def holder_texts(cat: Catalog, apps: DataFrame | None = None) -> DataFrame:
     s = _only(cat.table("wf_shareholders"), apps)
     item = F.concat(F.col("NAME"), F.lit(" "), F.col("PERCENTAGE").cast("string"), F.lit("%"))
-    t = bounded_listagg(s, ["ID_SOLICITUD", "CUSTOMER_NO"], item, [F.col("NAME"), F.col("PERCENTAGE")],
-                        ", ", SQL_TEXT_LIMIT, "SHAREHOLDERS")
-    return t.select("ID_SOLICITUD", "CUSTOMER_NO", "SHAREHOLDERS")
+    return listagg(s, ["ID_SOLICITUD", "CUSTOMER_NO"], item, [F.col("NAME"), F.col("PERCENTAGE")],
+                   ", ", "SHAREHOLDERS")
 
 
 def limit_counts(cat: Catalog, apps: DataFrame | None = None) -> DataFrame:

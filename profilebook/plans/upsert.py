@@ -4,8 +4,7 @@
 updated in place, so every change is a pure function ``old snapshot +
 changes -> new snapshot``: rows not touched pass through, touched rows are
 rebuilt by the column rules, new rows are appended.  The caller writes the
-result (see :mod:`profilebook.sources.sinks`), overwriting only the
-application buckets that changed.
+result.
 """
 
 from __future__ import annotations
@@ -173,7 +172,8 @@ def record_status(profile: DataFrame, events: DataFrame) -> tuple[DataFrame, Dat
                             ["ID_STATUS_FCC", "MSG_ERROR_FCC", "EVENT_TS"])
     ev = latest.select(F.col("ID_CUSTOMER_FCC").alias("__cid"), F.col("ID_STATUS_FCC").alias("__st"),
                        F.col("MSG_ERROR_FCC").alias("__msg"), F.col("EVENT_TS").alias("__ts"))
-    j = profile.join(bounded_broadcast(ev), F.col("ID_CUSTOMER_FCC") == F.col("__cid"), "left")
+    named = profile.filter(F.col("ID_CUSTOMER_FCC").isNotNull())
+    j = named.join(bounded_broadcast(ev), F.col("ID_CUSTOMER_FCC") == F.col("__cid"), "left")
     hit = F.col("__cid").isNotNull()
     schema = profile.schema
     sets = {
@@ -185,7 +185,8 @@ def record_status(profile: DataFrame, events: DataFrame) -> tuple[DataFrame, Dat
     snap = j.select(*[(F.when(hit, sets[f.name]).otherwise(F.col(f.name)) if f.name in sets else F.col(f.name))
                       .alias(f.name) for f in schema.fields], hit.alias("__hit"))
     touched = snap.filter("__hit").drop("__hit")
-    return snap.drop("__hit"), touched
+    # rows without a creation id match no event and never enter the join
+    return snap.drop("__hit").unionByName(profile.filter(F.col("ID_CUSTOMER_FCC").isNull())), touched
 
 
 def copy_main_to_group(cat: Catalog, profile: DataFrame, mains_from: DataFrame | None = None) -> DataFrame:
@@ -214,7 +215,10 @@ def copy_main_to_group(cat: Catalog, profile: DataFrame, mains_from: DataFrame |
 
 
 def _creation_id(n: Column) -> Column:
-    return F.concat(F.lit(CREATION_PREFIX), F.lpad(n.cast("string"), 13, "0"))
+    """The id of counter value ``n``; a counter that needs more than 13 digits fails instead of being cut."""
+    full = F.raise_error(F.concat(F.lit("creation-id counter exceeds 13 digits: "), n.cast("string")))
+    return F.when(n > 10 ** 13 - 1, full.cast("string")).otherwise(
+        F.concat(F.lit(CREATION_PREFIX), F.lpad(n.cast("string"), 13, "0")))
 
 
 def _counter(profile: DataFrame) -> Column:

@@ -83,9 +83,9 @@ def oracle() -> dict[str, str]:
     q["union_distinct"] = _w([created]) + "SELECT ID_SOLICITUD, CLIENTE FROM created"
     groups = (f"grows AS (SELECT ID_SOLICITUD, {item} AS item FROM profile WHERE coalesce(ID_STATUS_FCC, 0) IN (1, 3) "
               "AND LIMIT_EXP_DATE = DATE '1980-01-01' AND customer_no_fcc <> liab_id)")
-    cust = (f"cust AS (SELECT ID_SOLICITUD, {listagg('CLIENTE', 'CLIENTE', '|', 2000, trailing=True)} AS CLIENTES, "
+    cust = (f"cust AS (SELECT ID_SOLICITUD, {listagg('CLIENTE', 'CLIENTE', '|', trailing=True)} AS CLIENTES, "
             "sum(length(CLIENTE) + 1) > 2000 AS ov FROM created GROUP BY 1)")
-    grp = (f"grp AS (SELECT ID_SOLICITUD, {listagg('item', 'item', '|', 2000, trailing=True)} AS GRUPOS, "
+    grp = (f"grp AS (SELECT ID_SOLICITUD, {listagg('item', 'item', '|', trailing=True)} AS GRUPOS, "
            "sum(length(item) + 1) > 2000 AS ov FROM grows GROUP BY 1)")
     q["notice_text"] = _w([created, groups, cust, grp]) + (
         "SELECT a.ID_SOLICITUD, cust.CLIENTES, grp.GRUPOS, coalesce(cust.ov, false) OR coalesce(grp.ov, false) "

@@ -54,7 +54,7 @@ def oracle() -> dict[str, str]:
         "max(CASE WHEN rn = 3 THEN t END) AS H3 FROM (SELECT ID_SOLICITUD, CUSTOMER_NO, NAME || ' ' || CAST(PERCENTAGE AS VARCHAR) "
         "|| '%' AS t, row_number() OVER (PARTITION BY ID_SOLICITUD, CUSTOMER_NO ORDER BY PERCENTAGE DESC, NAME) AS rn "
         "FROM wf_shareholders WHERE PERCENTAGE > 20) GROUP BY 1, 2)",
-        f"dc AS (SELECT ID_SOLICITUD, CUSTOMER_NO, {listagg('item', 'NAME, POSITION, item', ', ', 4000)} AS txt FROM ("
+        f"dc AS (SELECT ID_SOLICITUD, CUSTOMER_NO, {listagg('item', 'NAME, POSITION, item', ', ')} AS txt FROM ("
         f"SELECT *, {dir_item} AS item FROM wf_directors WHERE TYPE = 1 AND NAME IS NOT NULL) GROUP BY 1, 2)",
         "bt AS (SELECT LOV_DESC, min(LOV) AS LOV FROM fcc_lov WHERE FIELD_NAME = 'BANK TYPE' GROUP BY LOV_DESC)",
         "g1 AS (SELECT ID_SOLICITUD AS app, min(GROUP_CODE) AS gc FROM profile WHERE LIMIT_EXP_DATE = DATE '1980-01-01' "

@@ -115,6 +115,9 @@ WHERE CUST.ID_SOLICITUD = SOL.ID_SOLICITUD AND CUST.CUSTOMER_TYPE = CTYPE.CUSTOM
         "SELECT d.ID_SOLICITUD, p.CUSTOMER_NO_FCC, d.TYPE, d.NAME, d.POSITION FROM wf_directors d "
         "JOIN profile p ON p.ID_SOLICITUD = d.ID_SOLICITUD AND p.CUSTOMER_NO = d.CUSTOMER_NO "
         "WHERE p.CUSTOMER_NO_FCC IS NOT NULL AND d.TYPE <> 3 ORDER BY 1, 2, 3, 4, 5")
+    q["directors_by_core"] = with_tables(["wf_directors"], profile=True) + (
+        "SELECT p.ID_SOLICITUD, p.CUSTOMER_NO_FCC, d.TYPE, d.NAME, d.POSITION FROM profile p JOIN wf_directors d "
+        "USING (ID_SOLICITUD, CUSTOMER_NO) WHERE p.CUSTOMER_NO_FCC = 'C00000007' AND d.TYPE <> 3 ORDER BY 1, 2, 3, 4, 5")
     q["master_directors"] = with_tables(["fcc_corp_directors", "fcc_customer"]) + (
         "SELECT DIR.CUSTOMER_NO, DIR.DIRECTOR_NAME, CUST.AUTH_STAT FROM fcc_corp_directors DIR "
         "JOIN fcc_customer CUST ON CUST.CUSTOMER_NO = DIR.CUSTOMER_NO "

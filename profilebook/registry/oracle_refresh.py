@@ -147,7 +147,7 @@ def _ctes() -> list[str]:
         "cp.NEW_NO AS CUSTOMER_NO, cp.ID_SOLICITUD FROM wf_multi_values mv JOIN cp ON mv.ID_SOLICITUD = cp.PREV_SOLICITUD "
         "AND mv.CUSTOMER_NO = cp.PREV_CUSTOMER_NO WHERE mv.ID_TIPO_CAMPO <> 13)",
         "children AS (SELECT * FROM children0 WHERE NOT (ID_TIPO_CAMPO = 12 AND DESCRIPCION2 IS NULL))",
-        f"tx AS (SELECT ID_SOLICITUD, CUSTOMER_NO, {listagg('DESCRIPCION1', 'DESCRIPCION1', ' ^ ', 897)} AS countries "
+        f"tx AS (SELECT ID_SOLICITUD, CUSTOMER_NO, {listagg("replace(DESCRIPCION1, ',', ' ^ ')", 'DESCRIPCION1', ' ^ ')} AS countries "
         "FROM children WHERE ID_TIPO_CAMPO = 12 GROUP BY 1, 2)",
         "base AS (SELECT * FROM kept UNION ALL SELECT * FROM loaded)",
         f"fin AS (SELECT {', '.join(carry_cols)}, b.MODE, cp.MODE AS P_MODE FROM base b "
@@ -189,7 +189,9 @@ def oracle() -> dict[str, str]:
         f"CASE WHEN coalesce(ID_PURPOSE = 6, false) THEN CUSTOMER_NO_FCC END AS Y, {AS_OF} AS FECHA FROM wf_refresh_request "
         f"UNION ALL SELECT '2. DESPUES DE INSERT ' || CAST(NEW_NO AS VARCHAR) || '-' || CORE_ID || '-' || "
         f"CAST(PREV_SOLICITUD AS VARCHAR), ' CUSTOMER ANT. ' || CAST(PREV_CUSTOMER_NO AS VARCHAR), {AS_OF} "
-        "FROM cp WHERE PREV_SOLICITUD IS NOT NULL")
+        "FROM cp WHERE PREV_SOLICITUD IS NOT NULL "
+        f"UNION ALL SELECT '3. DESPUES DE UPDATE ' || CAST(NEW_NO AS VARCHAR) || '-' || CORE_ID, "
+        f"' CUSTOMER ANT. ' || CAST(PREV_CUSTOMER_NO AS VARCHAR), {AS_OF} FROM cp WHERE PREV_SOLICITUD IS NOT NULL")
     q["conditional_child_address"] = w + (
         "SELECT m.CUSTOMER_NO, CASE WHEN m.DEFAULT_MEDIA IN ('FAX', 'SWIFT') THEN a.a1 ELSE m.ADDRESS_LINE1 END AS POSTALALINE1, "
         "CASE WHEN m.DEFAULT_MEDIA IN ('FAX', 'SWIFT') THEN a.a2 ELSE m.ADDRESS_LINE2 END AS POSTALALINE2, "

@@ -19,12 +19,12 @@ def _ctes(bank_key: str) -> list[str]:
     return [
         "mp AS (SELECT ID_SOLICITUD, min(CUSTOMER_NO) AS MAIN_NO FROM profile "
         "WHERE MAIN_CUSTOMER = 1 AND RELACIONADO IS NULL GROUP BY ID_SOLICITUD)",
-        f"dirs AS (SELECT ID_SOLICITUD, CUSTOMER_NO, TYPE, {listagg('item', 'NAME, POSITION, item', ', ', 4000)} AS txt "
+        f"dirs AS (SELECT ID_SOLICITUD, CUSTOMER_NO, TYPE, {listagg('item', 'NAME, POSITION, item', ', ')} AS txt "
         f"FROM (SELECT *, {dir_item} AS item FROM wf_directors WHERE TYPE IN (1, 2) AND NAME IS NOT NULL) "
         "GROUP BY 1, 2, 3)",
         "people AS (SELECT ID_SOLICITUD, CUSTOMER_NO, max(CASE WHEN TYPE = 1 THEN txt END) AS BOARDOFDIRECTORS, "
         "max(CASE WHEN TYPE = 2 THEN txt END) AS TOPMANAGEMENT FROM dirs GROUP BY 1, 2)",
-        f"holders AS (SELECT ID_SOLICITUD, CUSTOMER_NO, {listagg('item', 'NAME, PERCENTAGE, item', ', ', 4000)} "
+        f"holders AS (SELECT ID_SOLICITUD, CUSTOMER_NO, {listagg('item', 'NAME, PERCENTAGE, item', ', ')} "
         f"AS SHAREHOLDERS FROM (SELECT *, {hold_item} AS item FROM wf_shareholders) GROUP BY 1, 2)",
         "lm AS (SELECT ID_SOLICITUD, CUSTOMER_ID, count(*) AS n FROM wf_lmt_customer GROUP BY 1, 2)",
         "lov AS (SELECT FIELD_NAME, LOV, min(LOV_DESC) AS LOV_DESC FROM fcc_lov GROUP BY 1, 2)",

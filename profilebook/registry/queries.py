@@ -156,6 +156,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # export record sets
     "export_customers": _q(lambda c: export.export_customers(c, F.lit(AS_OF).cast("timestamp_ntz"))),
     "export_groups": _q(lambda c: export.export_groups(c, F.lit(AS_OF).cast("timestamp_ntz"))),
+    "directors_by_core": _q(lambda c: master.directors_sorted(c, core_id="C00000007")),
 }
 
 _CAND = ["ID_SOLICITUD", "CORE_ID", "LIABILITY_NO", "GROUP_CODE", "MAIN_ID", "NEW_NO"]

@@ -56,11 +56,7 @@ def number_text(col: str) -> str:
     return f"regexp_replace({s}, '^(-?)0\\.', '\\1.')"
 
 
-def listagg(item: str, order: str, sep: str, limit: int, trailing: bool = False) -> str:
-    """Size-checked string_agg: NULL when longer than ``limit`` chars."""
-    sep_len = len(sep)
-    total = f"sum(length({item}) + {sep_len})" + ("" if trailing else f" - {sep_len}")
-    agg = f"string_agg({item}, '{sep}' ORDER BY {order})"
-    if trailing:
-        agg = f"{agg} || '{sep}'"
-    return f"CASE WHEN {total} <= {limit} THEN {agg} END"
+def listagg(item: str, order: str, sep: str, trailing: bool = False) -> str:
+    """string_agg of the non-empty items, in order, whole."""
+    agg = f"string_agg({item}, '{sep}' ORDER BY {order}) FILTER (WHERE {item} <> '')"
+    return f"{agg} || '{sep}'" if trailing else agg

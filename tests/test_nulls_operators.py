@@ -1,10 +1,11 @@
 """Null model and operator properties (no row multiplication, bounded text, keys)."""
 
 from pyspark.sql import Window
+import pytest
 from pyspark.sql import functions as F
 
 from profilebook.functions.nulls import ncat, opt_eq, opt_eq_null
-from profilebook.operators.aggregates import bounded_listagg, latest_per_key
+from profilebook.operators.aggregates import latest_per_key, listagg
 from profilebook.operators.joins import not_in
 from profilebook.operators.keys import assign_keys, rank_within
 from profilebook.operators.lookups import Lookup, lookups
@@ -33,14 +34,26 @@ def test_lookup_never_multiplies_rows(spark):
     assert [(r.id, r.v) for r in out] == [(1, "x0"), (2, "y"), (3, None)]
 
 
-def test_bounded_listagg_overflow(spark):
-    rows = [(1, "b"), (1, "a"), (2, "x" * 30), (2, "y" * 30), (3, None)]
-    df = spark.createDataFrame(rows, "k int, v string")
-    out = {r.k: (r.t, r.t_overflow) for r in
-           bounded_listagg(df, ["k"], F.col("v"), [F.col("v")], "|", 40, "t", trailing=True).collect()}
-    assert out[1] == ("a|b|", False)
-    assert out[2] == (None, True)
-    assert 3 not in out
+def test_listagg_is_whole(spark):
+    long = [(2, f"name {i:05d}") for i in range(2000)]
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, ""), (3, None), *reversed(long)], "k int, v string")
+    out = {r.k: r.t for r in listagg(df, ["k"], F.col("v"), [F.col("v")], "|", "t", trailing=True).collect()}
+    assert out == {1: "a|b|", 2: "".join(f"{v}|" for _, v in long)}
+
+
+def test_creation_id_is_never_cut(spark):
+    from profilebook.plans.upsert import _creation_id
+    ids = spark.createDataFrame([(7,), (10 ** 13 - 1,)], "n long").select(_creation_id(F.col("n")).alias("i")).collect()
+    assert [r.i for r in ids] == ["CUS0000000000007", "CUS9999999999999"]
+    with pytest.raises(Exception, match="13 digits"):
+        spark.createDataFrame([(10 ** 13,)], "n long").select(_creation_id(F.col("n")).alias("i")).collect()
+
+
+def test_exists_flag_keeps_null_keys(spark):
+    from profilebook.operators.lookups import exists_flag
+    fact = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "id int, k string")
+    dim = spark.createDataFrame([("a",), (None,)], "d string")
+    assert sorted((r.id, r.e) for r in exists_flag(fact, dim, "k", "d", "e").collect()) == [(1, "1"), (2, "0"), (3, "0")]
 
 
 def test_assign_keys_dense_and_ordered(spark):
