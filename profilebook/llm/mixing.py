@@ -37,10 +37,13 @@ def quotas(weights: dict, period: int) -> dict:
     """Whole slots per period for each source, at least 1, proportional by largest remainder; their sum is the period."""
     total = sum(weights.values())
     period = max(period, len(weights))
-    exact = {s: Fraction(w) / Fraction(total) * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + math.floor(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], str(s)))[:period - sum(out.values())]:
+    exact = {s: Fraction(w) / Fraction(total) * period for s, w in weights.items()}
+    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
+    spare = period - sum(out.values())
+    for s in sorted(exact, key=lambda s: (out[s] - exact[s], str(s)))[:max(spare, 0)]:
         out[s] += 1
+    while sum(out.values()) > period:
+        out[max(out, key=lambda s: (out[s] - exact[s] if out[s] > 1 else -1, str(s)))] -= 1
     return out
 
 
@@ -103,7 +106,7 @@ def mix(docs: DataFrame, targets: dict | None = None, block: int = BLOCK, period
     size = {r["source"]: r["n"] for r in counts}
     weights = targets if targets is not None else {s: Fraction(n ** alpha).limit_denominator(10 ** 6) for s, n in size.items()}
     blocks = {s: -(-n // block) for s, n in size.items()}
-    table = phases(blocks, weights, max(len(blocks), min(period, sum(blocks.values()) // 8)))
+    table = phases(blocks, weights, max(len(blocks), min(period, sum(blocks.values()) // 2)))
     spark = docs.sparkSession
     rows = [(s, a, b, q, slots, at, p) for s, a, b, q, slots, at, p in table]
     plan = spark.createDataFrame(rows, "p_source string, first long, last long, quota long, slots array<int>, base long, period long")
