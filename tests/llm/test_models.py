@@ -48,7 +48,7 @@ def test_language_held_out(data):
 
 def test_folding():
     t = toxicity.Folding()
-    assert toxicity.fold_text("1D10T, ідіот! L0$er", t) == toxicity.fold_text("idiot idiot loser", t).replace("idiot idiot", "idiot idiot")
+    assert toxicity.fold_text("1D10T, іdіот! L0$er", t) == toxicity.fold_text("idiot idiot loser", t)
     assert toxicity.fold_text("Pa​the­tic", t) == " pathetic "
     assert toxicity.fold_text("", t) == "  "
 
