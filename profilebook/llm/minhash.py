@@ -10,9 +10,10 @@
 4. First every member of a bucket is paired with one leader of the bucket.  The links found give components; buckets
    whose members all fell into one component are done.  In the others a new leader is drawn, ``ROUNDS`` times in all, and
    paired with the members outside its component.  Buckets that still hold several components are compared in full:
-   every pair of members of different components by size, sketch and then full shingle sets, in blocks of about ``BLOCK``
-   members, so no bucket meets in one task and only confirmed links are emitted.  A pair that shares several buckets is
-   confirmed in the bucket of its first common band.  There is no cap on partners or buckets.
+   their members get a finer odd sketch (``FINE_SAMPLES`` samples), and every pair of members of different components is
+   held against each other by size and fine sketch, in blocks of about ``BLOCK`` members, so no bucket meets in one task.
+   A pair that shares several buckets is compared in the bucket of its first common band.  Pairs that the fine sketch
+   leaves are confirmed on their full shingle sets.  There is no cap on partners or buckets.
 5. Confirmed links of all rounds give the components by smallest-label propagation.
 
 Defined results: a null text is the empty text; a text without words has no shingles, is linked with nothing and stays.
@@ -35,14 +36,18 @@ from profilebook.llm.components import components
 BANDS, ROWS = 40, 5
 ROUNDS = 2
 SKETCH_BITS = 512
-BLOCK = 256
+BLOCK = 1024
 #: A pair whose sketches say less than this is not a link of similarity 0.8 (more than five standard errors).
 SKETCH_FLOOR = 0.6
+#: Finer sketches for the buckets that stay open; their floor lies about five standard errors below 0.8 as well.
+FINE_SAMPLES, FINE_BITS, FINE_FLOOR = 2048, 4096, 0.75
 NO_ID = -(2 ** 63)
 
 _RNG = np.random.RandomState(20240501)
 _MULT = (_RNG.randint(0, 2 ** 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _XOR = _RNG.randint(0, 2 ** 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+_FINE_MULT = (_RNG.randint(0, 2 ** 31, FINE_SAMPLES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
+_FINE_XOR = _RNG.randint(0, 2 ** 32, FINE_SAMPLES, dtype=np.uint64).astype(np.uint32)
 
 
 def key(column: str = "doc_id") -> Column:
@@ -86,10 +91,10 @@ def odd_sketches(sample: np.ndarray) -> np.ndarray:
     return np.packbits((count & 1).astype(np.uint8), axis=1)
 
 
-def estimate(flipped: np.ndarray) -> np.ndarray:
-    """Similarity from the population count of the XOR of two odd sketches."""
-    share = np.minimum(2.0 * flipped / SKETCH_BITS, 1 - 1e-9)
-    return np.maximum(0.0, 1 + SKETCH_BITS / (4.0 * BANDS * ROWS) * np.log1p(-share))
+def estimate(flipped: np.ndarray, bits: int = SKETCH_BITS, drawn: int = BANDS * ROWS) -> np.ndarray:
+    """Similarity from the population count of the XOR of two odd sketches of ``drawn`` samples."""
+    share = np.minimum(2.0 * flipped / bits, 1 - 1e-9)
+    return np.maximum(0.0, 1 + bits / (4.0 * drawn) * np.log1p(-share))
 
 
 _POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
@@ -187,22 +192,56 @@ def star_pairs(buckets: DataFrame, labels: DataFrame | None, classes: DataFrame,
     return both.filter(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")).select("u", "v").distinct()
 
 
+def fine_sketches(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Odd sketches of FINE_BITS over FINE_SAMPLES MinHash samples, one row for each non-empty set; a sample is folded in
+    as soon as it is drawn, so only the bitmaps are held."""
+    full = counts > 0
+    starts = np.concatenate([[0], np.cumsum(counts[full])])[:-1]
+    parity = np.zeros((len(starts), FINE_BITS), dtype=np.uint8)
+    if len(starts):
+        row = np.arange(len(starts))
+        high = (values >> np.uint64(32)).astype(np.uint32)
+        scratch = np.empty_like(high)
+        with np.errstate(over="ignore"):
+            for j, (a, x) in enumerate(zip(_FINE_MULT, _FINE_XOR)):
+                np.bitwise_xor(high, x, out=scratch)
+                np.multiply(scratch, a, out=scratch)
+                least = np.minimum.reduceat(scratch, starts).astype(np.uint64)
+                parity[row, (mix(least + np.uint64(j + 1) * np.uint64(MULT[3])) % np.uint64(FINE_BITS)).astype(np.int64)] ^= 1
+    return np.packbits(parity, axis=1)
+
+
+def fine_table(docs: DataFrame, width: int, lower: bool) -> DataFrame:
+    """s_rep, fine: the fine odd sketch of each text (texts without words have none)."""
+    arrow = pa.schema([("s_rep", pa.int64()), ("fine", pa.binary())])
+
+    def sign(batches):
+        for whole in batches:
+            for batch in pieces(whole, "text", 500_000):
+                flat, counts = split_words(batch.column("text"), lower)
+                values, n = shingles(word_hashes(flat), counts, width)
+                ids = batch.column("doc_id").filter(pa.array(n > 0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in fine_sketches(values, n)], type=pa.binary())], schema=arrow)
+
+    return docs.select("doc_id", "text").mapInArrow(sign, "s_rep long, fine binary")
+
+
 def rest_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, lower: bool, percent: int) -> DataFrame:
     """Confirmed links between members of different components in buckets that hold several components.
 
-    A bucket of n members is dealt to blocks of about BLOCK members; a task compares two blocks.
+    A bucket of n members is dealt to blocks of about BLOCK members; a task compares the fine sketches of two blocks.
     """
     named = buckets.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     several = named.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     rows = landed(named.join(several.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "bucket"), "rest-rows")
     ids = rows.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(key().alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    sets = landed(shingle_sets(texts, width, lower), "shingle-sets").select(F.col("doc_id").alias("s_rep"), "items")
-    known = classes.select(F.col("rep").alias("c_rep"), "sketch", "bands").join(sets, F.col("c_rep") == F.col("s_rep"))
+    fine = fine_table(texts, width, lower)
+    known = landed(classes.select(F.col("rep").alias("c_rep"), "n", "bands").join(fine, F.col("c_rep") == F.col("s_rep")).drop("s_rep"), "fine")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))
     rows = rows.select("bucket", "rep", "component", "block", F.explode(own).alias("p")).select("bucket", "rep", "component", "block", "p.lo", "p.hi")
-    rows = rows.join(known, F.col("rep") == F.col("c_rep")).select("bucket", "lo", "hi", "block", "rep", "component", "sketch", "bands", "items")
+    rows = rows.join(known, F.col("rep") == F.col("c_rep")).select("bucket", "lo", "hi", "block", "rep", "component", "n", "bands", "fine")
     arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def compare(batches):
@@ -225,33 +264,29 @@ def rest_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs:
     def from_group(table):
         table = table.combine_chunks()
         bucket, lo, hi = (table.column(c)[0].as_py() for c in ("bucket", "lo", "hi"))
-        block, rep, component = (table.column(c).to_numpy() for c in ("block", "rep", "component"))
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1)
-        bands = np.stack(table.column("bands").combine_chunks().to_numpy(zero_copy_only=False)) if table.num_rows else None
-        items = table.column("items").combine_chunks().to_numpy(zero_copy_only=False)
-        size = np.array([len(x) for x in items])
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        block, rep, component, size = (table.column(c).to_numpy() for c in ("block", "rep", "component", "n"))
+        bits = np.frombuffer(b"".join(table.column("fine").to_pylist()), dtype=np.uint64).reshape(table.num_rows, -1)
+        bands = np.stack(table.column("bands").combine_chunks().to_numpy(zero_copy_only=False))
+        right = np.flatnonzero(block == hi)
         us, vs = [], []
-        for i in left:
+        for i in np.flatnonzero(block == lo):
             ok = (component[right] != component[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))
             if lo == hi:
                 ok &= rep[right] > rep[i]
             at = right[ok]
             if len(at):
-                at = at[estimate(_POP[bits[at] ^ bits[i]].sum(axis=1, dtype=np.int64)) >= SKETCH_FLOOR]
+                flipped = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                at = at[estimate(flipped, FINE_BITS, FINE_SAMPLES) >= FINE_FLOOR]
             if len(at):
                 common = bands[at] == bands[i]
                 at = at[bands[i][common.argmax(axis=1)] == bucket]
-            for j in at:
-                small, large = (items[i], items[j]) if size[i] <= size[j] else (items[j], items[i])
-                where = np.searchsorted(large, small)
-                both = int((large[np.minimum(where, len(large) - 1)] == small).sum())
-                if 100 * both >= percent * (size[i] + size[j] - both):
-                    us.append(min(rep[i], rep[j]))
-                    vs.append(max(rep[i], rep[j]))
-        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=arrow)
-
-    return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(compare, "u long, v long").distinct()
+                us.append(np.minimum(rep[at], rep[i]))
+                vs.append(np.maximum(rep[at], rep[i]))
+        both = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (us, vs)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in both], schema=arrow)
+
+    pairs = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(compare, "u long, v long").distinct()
+    return confirmed(landed(pairs, "rest-pairs"), docs, width, lower, percent)
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
