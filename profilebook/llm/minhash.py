@@ -41,6 +41,8 @@ BLOCK = 1024
 SKETCH_FLOOR = 0.6
 #: Finer sketches for the buckets that stay open; their floor lies about five standard errors below 0.8 as well.
 FINE_SAMPLES, FINE_BITS, FINE_FLOOR = 2048, 4096, 0.75
+#: Bits of the bitmap of hashed ids that picks texts; in words of 64 it has 262,144 rows at most.
+PICK_BITS = 2 ** 24
 NO_ID = -(2 ** 63)
 
 _RNG = np.random.RandomState(20240501)
@@ -149,6 +151,19 @@ def _signed(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out[np.lexsort((out, np.repeat(np.arange(len(counts)), counts)))]
 
 
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents whose id is in ``ids`` (doc_id), and of few others whose id has the same hash.
+
+    The ids become a bitmap of PICK_BITS, whose bounded number of words is broadcast, so no text is shuffled to be picked.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PICK_BITS))
+    words = ids.select(place.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    rows = docs.select(key().alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("at", place)
+    rows = rows.join(F.broadcast(words), F.shiftright("at", 6) == F.col("word"))
+    return rows.filter("bits & shiftleft(1L, cast(at % 64 as int)) <> 0").select("doc_id", "text")
+
+
 def near_by_sketch(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (u, v) whose odd sketches do not rule a link out."""
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("sketch").alias(f"s_{c}"))
@@ -168,8 +183,7 @@ def near_by_sketch(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, lower: bool, percent: int) -> DataFrame:
     """Those pairs (u, v) with 100 * intersection >= percent * union on the full shingle sets."""
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    rows = docs.select(key().alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    sets = landed(shingle_sets(rows, width, lower), "shingle-sets")
+    sets = landed(shingle_sets(picked(docs, ids), width, lower), "shingle-sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"i_{c}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     common = F.size(F.array_intersect("i_u", "i_v"))
@@ -235,8 +249,7 @@ def rest_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs:
     several = named.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     rows = landed(named.join(several.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "bucket"), "rest-rows")
     ids = rows.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(key().alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    fine = fine_table(texts, width, lower)
+    fine = fine_table(picked(docs, ids), width, lower)
     known = landed(classes.select(F.col("rep").alias("c_rep"), "n", "bands").join(fine, F.col("c_rep") == F.col("s_rep")).drop("s_rep"), "fine")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))
