@@ -98,6 +98,9 @@ def test_odd_sketch_estimates_high_similarity():
         s = minhash.odd_sketches(minhash.samples(np.concatenate([a, b]), np.array([2000, 2000])))
         got = minhash.estimate(np.array([minhash._POP[s[0] ^ s[1]].sum()]))[0]
         assert abs(got - true) < 0.15
+        f = minhash.fine_sketches(np.concatenate([a, b]), np.array([2000, 2000])).view(np.uint64)
+        fine = minhash.estimate(np.bitwise_count(f[0] ^ f[1]).sum(dtype=np.int64), minhash.FINE_BITS, minhash.FINE_SAMPLES)
+        assert abs(fine - true) < 0.06
 
 
 def test_components_of_paths_and_stars(spark):
