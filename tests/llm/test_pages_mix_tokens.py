@@ -8,6 +8,7 @@ import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -114,6 +115,20 @@ def test_tokens_equal_the_library(spark):
     assert all(back[i] == t for i, t in texts.items() if "▁" not in t)
 
 
+def test_words_make_up_the_ids_of_texts():
+    rng = random.Random(5)
+    made = ["".join(rng.choice("ab  \n\té漢<s>▁") for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    texts = ["", " ", "a", " a", "a ", "a  b", "▁", "a ▁b", "\n", "\na b\n", "日本 語", "😀 x", "<s> </s> <unk>", *made]
+    data = spm._bytes(spm.MODEL)
+    tok, starts = spm.build(data), spm.word_starts(data)
+    whole = spm._encode_batch(tok, texts)
+    assert starts is not None
+    assert [x.tolist() for x in spm.encode_texts(tok, starts, pa.array(texts))] == whole
+    assert [x.tolist() for x in spm.encode_texts(tok, None, pa.array(texts))] == whole
+    assert [x.tolist() for x in spm.encode_texts(tok, starts, pa.array(texts).slice(9, 40))] == whole[9:49]
+    assert spm.encode_texts(tok, starts, pa.array([], pa.string())) == []
+
+
 def test_unigram_models_are_rebuilt():
     """A unigram model's protobuf, written here field by field, gives the same ids in both libraries."""
     def varint(n):
