@@ -1,7 +1,7 @@
 """From raw documents to tokens: language identification, line dedup, near-dedup, source mixing, tokenisation.
 
 Every stage takes the documents the stage before kept, written as Parquet and read again, and returns documents; the
-last one returns tokens.
+last one returns tokens and each document's place in the mixed order, which the files of the stage before hold.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilebook.llm import langid, linedup, minhash, mixing, spm
-from profilebook.llm.common import DOCUMENT_COLUMNS, landed, read
+from profilebook.llm.common import DOCUMENT_COLUMNS, landed, placed, read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return spm.token_table(docs)
+    """Tokens of every document; ``place`` numbers the documents 0, 1, ... in the order the stage before wrote them."""
+    return spm.token_table(placed(docs), keep=["place"])
 
 
 STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup),

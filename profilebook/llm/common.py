@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from profilebook.session import ensure_checkpoint_dir
@@ -26,6 +26,22 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` with ``place``: 0, 1, ... in the order its rows were written (part number, row within the file).
+
+    Spark reads files packed by size, so the order is taken from the files themselves.  A frame that is not a plain read
+    of Parquet files is landed first; ``_metadata`` below a query would tell the place in that query's input.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        df = landed(df, "placed")
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = rows.groupBy("__file").agg(F.count("*").alias("__n"))
+    part = F.regexp_extract("__file", r"part-(\d+)-[^/]*$", 1).try_cast("long")
+    # One row per file: the window and the broadcast are bounded by the number of files.
+    before = sizes.select(F.col("__file").alias("__of"), (F.sum("__n").over(Window.orderBy(part, "__file")) - F.col("__n")).alias("__before"))
+    return rows.join(F.broadcast(before), F.col("__file") == F.col("__of")).select(*df.columns, (F.col("__before") + F.col("__row")).alias("place"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
