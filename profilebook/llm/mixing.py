@@ -2,13 +2,14 @@
 
 Every source's documents, in an order drawn by a hash, are cut into blocks of ``BLOCK`` documents.  With target weight w
 the j-th block of a source is released at slot floor(j / w) and due at ceil((j + 1) / w); earliest-deadline-first over
-unit slots then keeps every source within less than one block of w * t at every slot t.  Weights are whole shares of a
-period of slots, so the schedule repeats: only one period is scheduled (on the driver, S sources x PERIOD slots at
-most), and every block finds its slot by its number within the source.  When a source is used up, the weights of the
-others are scaled up and a next phase begins, so no document is left out; the deviation bound holds in each phase.
+unit slots then keeps every source within less than one block of w * t at every slot t.  Weights are exact fractions and
+blocks are counted through, so nothing is rounded and nothing drifts.  The driver runs through the slots once and keeps
+only the number of blocks served by each source at the start of every piece of ``period`` slots; tasks repeat the pieces
+and write the slot of every block.  When a source is used up, the weights of the others are scaled up and a next phase
+begins in the next slot, so no document is left out; the deviation bound holds in each phase.
 
 Target weights: given, or by default each source's share of documents to the power ``ALPHA`` (0.5), which lifts small
-sources.  The number of sources must stay below ``MAX_SOURCES`` (the table of counts per source passes the driver); more
+sources (in millionths).  The number of sources must stay below ``MAX_SOURCES`` (the table of counts per source passes the driver); more
 raise an error.  Documents are numbered within a source by counting (source, hash part) groups first, so a hot source
 never meets in one task.
 
@@ -20,12 +21,16 @@ equal in id and text follow each other.  Extra columns are kept, names may clash
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from profilebook.llm.common import landed
+
 BLOCK = 64
 PERIOD = 1000
 ALPHA = 0.5
@@ -34,7 +39,9 @@ PARTS = 256
 
 
 def quotas(weights: dict, period: int) -> dict:
-    """Whole slots per period for each source, at least 1, proportional by largest remainder; their sum is the period."""
+    """Whole slots per period for each source, at least 1, proportional by largest remainder; their sum is the period.
+
+    ``mix`` does not round its weights by this."""
     total = sum(weights.values())
     period = max(period, len(weights))
     exact = {s: Fraction(w) / Fraction(total) * period for s, w in weights.items()}
@@ -47,42 +54,91 @@ def quotas(weights: dict, period: int) -> dict:
     return out
 
 
-def schedule(quota: dict) -> dict:
-    """Slots of one period for each source by earliest deadline first among the released blocks."""
-    period = sum(quota.values())
-    slots: dict = {s: [] for s in quota}
-    waiting = [(0, str(s), s, 0) for s in quota]
+def whole(weights: list) -> list[int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = [Fraction(w) for w in weights]
+    unit = math.lcm(*(x.denominator for x in exact))
+    return [int(x * unit) for x in exact]
+
+
+def serve(weights: list[int], served: list[int], start: int, end: int):
+    """The source (its number) of each slot from ``start`` to ``end``, the earliest deadline among the released blocks
+    first; ``served`` holds the blocks served before and is counted on."""
+    total = sum(weights)
+    waiting = [(n * total // w, i) for i, (n, w) in enumerate(zip(served, weights))]
     heapq.heapify(waiting)
     ready: list = []
-    for t in range(period):
+    for t in range(start, end):
         while waiting and waiting[0][0] <= t:
-            _, name, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // quota[s]), name, s, j))
-        _, name, s, j = heapq.heappop(ready)
-        slots[s].append(t)
-        if j + 1 < quota[s]:
-            heapq.heappush(waiting, ((j + 1) * period // quota[s], name, s, j + 1))
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(served[i] + 1) * total // weights[i]), i))
+        i = heapq.heappop(ready)[1]
+        served[i] += 1
+        heapq.heappush(waiting, (served[i] * total // weights[i], i))
+        yield i
+
+
+def schedule(quota: dict) -> dict:
+    """Slots of one period for each source with whole quotas."""
+    names = sorted(quota, key=str)
+    slots: dict = {s: [] for s in quota}
+    for t, i in enumerate(serve([quota[s] for s in names], [0] * len(names), 0, sum(quota.values()))):
+        slots[names[i]].append(t)
     return slots
 
 
-def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple]:
-    """(first block, end block, quota, slots, first slot) by phase and source: each phase ends with the period in which a
-    source is used up; a source of weight 0 waits for a last phase."""
+def pieces(blocks: dict, weights: dict, period: int = PERIOD) -> tuple[list, list]:
+    """Phases (sources, whole weights, blocks done before, first slot) and their pieces (phase, start, end, blocks served
+    before), slots counted within the phase.  A phase ends with the last block of a source; a source of weight 0 waits
+    for a last phase."""
     done = dict.fromkeys(blocks, 0)
-    out, at = [], 0
-    while left := {s for s in blocks if done[s] < blocks[s]}:
-        live = {s for s in left if weights.get(s, 0) > 0}
-        quota = quotas({s: weights[s] if live else 1 for s in (live or left)}, period)
-        slots = schedule(quota)
-        whole = min((blocks[s] - done[s]) // quota[s] for s in quota)
-        # A source with fewer blocks left than one period's quota ends within this period; the others give a whole one.
-        rounds = max(whole, 1)
-        for s in quota:
-            end = min(done[s] + rounds * quota[s], blocks[s])
-            out.append((s, done[s], end, quota[s], slots[s], at, sum(quota.values())))
-            done[s] = end
-        at += rounds * sum(quota.values())
-    return out
+    phases: list = []
+    out: list = []
+    at = 0
+    while left := [s for s in blocks if done[s] < blocks[s]]:
+        live = sorted((s for s in left if weights.get(s, 0) > 0), key=str)
+        names = live or sorted(left, key=str)
+        shares = whole([weights[s] if live else 1 for s in names])
+        phases.append((names, shares, [done[s] for s in names], at))
+        room = [blocks[s] - done[s] for s in names]
+        served, t, over = [0] * len(names), 0, False
+        # The state of a piece holds a number per source: pieces are long enough that states stay far fewer than slots.
+        length = max(period, 16 * len(names))
+        slots = serve(shares, served, 0, sum(room))
+        while not over:
+            start, before = t, list(served)
+            for i in itertools.islice(slots, length):
+                t += 1
+                if served[i] == room[i]:
+                    over = True
+                    break
+            out.append((len(phases) - 1, start, t, before))
+        for s, n in zip(names, served):
+            done[s] += n
+        at += t
+    return phases, out
+
+
+def block_slots(spark: SparkSession, blocks: dict, weights: dict, period: int = PERIOD) -> DataFrame:
+    """b_source, b_block, slot for every block."""
+    phases, rows = pieces(blocks, weights, period)
+    shared = spark.sparkContext.broadcast(phases)
+
+    def run(batches):
+        for b in batches:
+            for phase, start, end, before in zip(*(b.column(c).to_pylist() for c in ("phase", "start", "end", "before"))):
+                names, shares, done, at = shared.value[phase]
+                served = list(before)
+                order = list(serve(shares, served, start, end))
+                count, block = list(before), []
+                for i in order:
+                    block.append(done[i] + count[i])
+                    count[i] += 1
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in order], pa.string()), pa.array(block, pa.int64()),
+                                                  pa.array(range(at + start, at + end), pa.int64())], names=["b_source", "b_block", "slot"])
+
+    plan = spark.createDataFrame(rows, "phase int, start long, end long, before array<long>")
+    return plan.mapInArrow(run, "b_source string, b_block long, slot long")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -104,18 +160,13 @@ def mix(docs: DataFrame, targets: dict | None = None, block: int = BLOCK, period
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     size = {r["source"]: r["n"] for r in counts}
-    weights = targets if targets is not None else {s: Fraction(n ** alpha).limit_denominator(10 ** 6) for s, n in size.items()}
+    weights = targets if targets is not None else {s: Fraction(max(round(n ** alpha * 10 ** 6), 1), 10 ** 6) for s, n in size.items()}
     blocks = {s: -(-n // block) for s, n in size.items()}
-    table = phases(blocks, weights, max(len(blocks), min(period, sum(blocks.values()) // 2)))
-    spark = docs.sparkSession
-    rows = [(s, a, b, q, slots, at, p) for s, a, b, q, slots, at, p in table]
-    plan = spark.createDataFrame(rows, "p_source string, first long, last long, quota long, slots array<int>, base long, period long")
+    # Landed, so that the table's size is known: Spark broadcasts it while it is small and shuffles by block beyond that.
+    slots = landed(block_slots(docs.sparkSession, blocks, weights, period), "slots")
     d = numbered(docs).withColumn("block", F.floor(F.col("n") / block))
-    # Broadcast: a phase's slots sum to one period and every phase ends a source, so MAX_SOURCES * PERIOD numbers at most.
-    d = d.join(F.broadcast(plan), F.col("source").cast("string").eqNullSafe(F.col("p_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("last")))
-    k = F.col("block") - F.col("first")
-    slot = F.col("base") + F.floor(k / F.col("quota")) * F.col("period") + F.get("slots", (k % F.col("quota")).cast("int"))
-    return d.select("doc", "source", "block", slot.alias("slot"), (slot * block + F.col("n") % block).alias("place"))
+    d = d.join(slots, F.col("source").cast("string").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
+    return d.select("doc", "source", "block", "slot", (F.col("slot") * block + F.col("n") % block).alias("place"))
 
 
 def mixed(docs: DataFrame, targets: dict | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import corpus_pipeline
 from profilebook.llm import mixing
 from profilebook.llm.common import landed, placed
@@ -35,3 +37,45 @@ def test_place_of_many_files_and_of_frames_that_are_no_files(spark):
     for d in (landed(docs, "test"), docs):
         assert all(r["place"] == r["doc_id"] for r in placed(d).select("doc_id", "place").collect())
     assert placed(landed(docs.filter("false"), "test")).collect() == []
+
+
+def drift(weights, blocks):
+    """The largest |served - w * t| of any source at any slot of the first phase, and the number of its slots."""
+    phases, rows = mixing.pieces(blocks, weights, 50)
+    names, shares, _, _ = phases[0]
+    own = [r for r in rows if r[0] == 0]
+    total, served, worst, n = sum(Fraction(weights[s]) for s in names), [0] * len(names), Fraction(0), 0
+    for _, start, end, before in own:
+        assert before == served and start == n
+        for i in mixing.serve(shares, list(before), start, end):
+            served[i] += 1
+            n += 1
+            worst = max(worst, *(abs(served[k] - Fraction(weights[s]) / total * n) for k, s in enumerate(names)))
+    return worst, n
+
+
+def test_served_stays_within_one_block_of_the_given_targets():
+    three = {s: 1 for s in "abc"}
+    worst, n = drift(three, dict.fromkeys("abc", 4000))
+    assert worst < 1 and n > 11000
+    hot = {"hot": 10, **{f"s{i}": 1.1 + i / 100 for i in range(19)}}
+    worst, n = drift(hot, dict.fromkeys(hot, 3000))
+    assert worst < 1 and n > 6000
+    tiny = {"a": 1, "b": 0.7, "c": 1e-5 * 1.7}
+    worst, n = drift(tiny, {"a": 30000, "b": 30000, "c": 30000})
+    assert worst < 1 and n > 30000
+    many = {f"s{i}": 1 + i % 7 for i in range(300)}
+    worst, n = drift(many, dict.fromkeys(many, 20))
+    assert worst < 1 and n > 300
+
+
+def test_small_weight_is_not_lifted_and_every_block_has_one_slot(spark):
+    blocks = {"a": 9000, "b": 5000, None: 40, "z": 3}
+    got = mixing.block_slots(spark, blocks, {"a": 1, "b": 1, None: 1e-3}, 100).collect()
+    assert sorted(r["slot"] for r in got) == list(range(sum(blocks.values())))
+    assert sorted((str(r["b_source"]), r["b_block"]) for r in got) == sorted((str(s), k) for s, n in blocks.items() for k in range(n))
+    for s in blocks:
+        own = [r["slot"] for r in sorted((r for r in got if r["b_source"] == s), key=lambda r: r["b_block"])]
+        assert own == sorted(own)
+    assert abs(sum(r["b_source"] is None for r in got if r["slot"] < 8000) - 8000 * 1e-3 / 2.001) < 1
+    assert {r["slot"] for r in got if r["b_source"] == "z"} == set(range(14040, 14043))
