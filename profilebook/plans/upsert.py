@@ -76,6 +76,53 @@ def match_requests(profile: DataFrame, changes: DataFrame) -> DataFrame:
     return m.select("REQ_ID", "ID_SOLICITUD", "CUSTOMER_NO").distinct()
 
 
+def hits_in_order(profile: DataFrame, changes: DataFrame) -> DataFrame:
+    """(REQ_ID, ID_SOLICITUD, CUSTOMER_NO, __ins): every row a request updates when the routine is called once per request
+    in REQ_ID order.  ``__ins`` is the inserting request where the row is one this batch inserts (CUSTOMER_NO null).
+
+    Requests meet only within an application: one that is alone there is matched set-wise.  Where an application has
+    several, an earlier one may change a row's core id or insert the row a later one hits, so its requests are folded in
+    order over the keys of its rows.  Numbers drawn in the batch are not known to its own requests.
+    """
+    app = changes.groupBy(F.col("IN_ID_SOLICITUD").alias("__app")).agg(F.count(F.lit(1)).alias("__n"))
+    several = app.filter((F.col("__n") > 1) & F.col("__app").isNotNull()).select("__app")
+    alone = changes.join(several, F.col("IN_ID_SOLICITUD") == F.col("__app"), "left_anti")
+    single = match_requests(profile, alone).withColumn("__ins", F.lit(None).cast("long"))
+
+    no, fcc = profile.schema["CUSTOMER_NO"].dataType, profile.schema["CUSTOMER_NO_FCC"].dataType
+    req = changes.join(several, F.col("IN_ID_SOLICITUD") == F.col("__app"), "left_semi").groupBy(
+        F.col("IN_ID_SOLICITUD").alias("__app")).agg(F.sort_array(F.collect_list(F.struct(
+            F.col("REQ_ID").cast("long").alias("req"), F.col("IN_CUSTOMER_NO").try_cast(no).alias("no"),
+            F.col("IN_CUSTOMER_NO_FCC").try_cast(fcc).alias("fcc")))).alias("__reqs"))
+    key = F.struct(F.col("CUSTOMER_NO").alias("no"), F.col("CUSTOMER_NO_FCC").alias("fcc"),
+                   F.lit(None).cast("long").alias("ins"))
+    rows = profile.join(several, F.col("ID_SOLICITUD") == F.col("__app"), "left_semi").groupBy("ID_SOLICITUD").agg(
+        F.collect_list(key).alias("__rows"))
+    j = req.join(rows, F.col("__app") == F.col("ID_SOLICITUD"), "left")
+    row_t = f"array<struct<no:{no.simpleString()},fcc:{fcc.simpleString()},ins:bigint>>"
+    log_t = f"array<struct<req:bigint,no:{no.simpleString()},ins:bigint>>"
+
+    def step(acc, r):
+        def hit(x):
+            return F.coalesce(x["no"] == r["no"], F.lit(False)) | F.coalesce(x["fcc"] == r["fcc"], F.lit(False))
+        new = F.struct(F.lit(None).cast(no).alias("no"), r["fcc"].alias("fcc"), r["req"].alias("ins"))
+        updated = F.transform(acc["rows"], lambda x: F.when(hit(x), F.struct(
+            x["no"].alias("no"), r["fcc"].alias("fcc"), x["ins"].alias("ins"))).otherwise(x))
+        log = F.transform(F.filter(acc["rows"], hit), lambda x: F.struct(
+            r["req"].alias("req"), x["no"].alias("no"), x["ins"].alias("ins")))
+        return F.struct(F.when(F.exists(acc["rows"], hit), updated).otherwise(F.concat(acc["rows"], F.array(new)))
+                        .cast(row_t).alias("rows"), F.concat(acc["log"], log).cast(log_t).alias("log"))
+
+    start = F.struct(F.coalesce(F.col("__rows").cast(row_t), F.array().cast(row_t)).alias("rows"),
+                     F.array().cast(log_t).alias("log"))
+    folded = j.select("__app", F.explode(F.aggregate("__reqs", start, step, lambda a: a["log"])).alias("__h"))
+    id_type = profile.schema["ID_SOLICITUD"].dataType
+    return single.unionByName(folded.select(
+        F.col("__h.req").cast(changes.schema["REQ_ID"].dataType).alias("REQ_ID"),
+        F.col("__app").cast(id_type).alias("ID_SOLICITUD"), F.col("__h.no").alias("CUSTOMER_NO"),
+        F.col("__h.ins").alias("__ins")).distinct())
+
+
 def existence(changes: DataFrame, master: DataFrame) -> DataFrame:
     """ID_EXISTE_FCC per request: '1' when the given core id is in the master."""
     c = changes.select("REQ_ID", "IN_CUSTOMER_NO_FCC")
@@ -95,29 +142,38 @@ class UpsertResult:
 def upsert_profiles(profile: DataFrame, changes: DataFrame, master: DataFrame, as_of: Column) -> UpsertResult:
     """Count matches per request; none -> insert, else update all matches.
 
-    Several requests touching one row: the highest REQ_ID is applied (the
-    batch equals calling the routine in REQ_ID order, since every update
-    rewrites the whole column set).
+    Several requests touching one row: the batch equals calling the routine in
+    REQ_ID order.  The last request writes the row; a column that keeps its old
+    value for a null parameter takes the last request that gives one.
     """
     schema = profile.schema
     c = with_parameter_defaults(changes)
     c = c.join(existence(c, master).select("REQ_ID", "__exists"), "REQ_ID")
-    matches = match_requests(profile, c)
-    per_row = latest_per_key(matches, KEY, ["REQ_ID"], ["REQ_ID"])
-
-    # updates: profile rows joined to their winning request
+    hits = hits_in_order(profile, c)
     upd_cols = {r[0]: r for r in UPDATE_RULES}
+    kept = [r for r in UPDATE_RULES if r[2] in ("keep", "keep_upper")]
+    given = c.select("REQ_ID", *[_rule_value(r, schema[r[0]].dataType, F.lit(None), as_of).alias(f"__k_{r[0]}") for r in kept])
+    per_row = hits.join(given, "REQ_ID").groupBy(*KEY, "__ins").agg(
+        F.max("REQ_ID").alias("__req"),
+        *[F.max_by(f"__k_{r[0]}", F.when(F.col(f"__k_{r[0]}").isNotNull(), F.col("REQ_ID"))).alias(f"__k_{r[0]}") for r in kept])
+
+    def rewritten(f):
+        if f.name not in upd_cols:
+            return F.col(f"o.{f.name}")
+        if upd_cols[f.name][2] in ("keep", "keep_upper"):
+            return F.coalesce(F.col(f"__k_{f.name}"), F.col(f"o.{f.name}"))
+        return _rule_value(upd_cols[f.name], f.dataType, None, as_of)
+
+    # updates: profile rows joined to their last request
     old = profile.alias("o")
     # the rows a batch touches grow with the batch, not with the profile:
     # broadcast them when provably small, so the wide profile is not shuffled
-    targets = bounded_broadcast(per_row.withColumnRenamed("REQ_ID", "__req"))
-    hit = old.join(targets, KEY).join(c.withColumnRenamed("REQ_ID", "__req"), "__req")
-    updated = hit.select(*[
-        (_rule_value(upd_cols[f.name], f.dataType, F.col(f"o.{f.name}"), as_of) if f.name in upd_cols
-         else F.col(f"o.{f.name}")).alias(f.name) for f in schema.fields])
+    on_old = per_row.filter(F.col("__ins").isNull()).drop("__ins")
+    hit = old.join(bounded_broadcast(on_old), KEY).join(c.withColumnRenamed("REQ_ID", "__req"), "__req")
+    updated = hit.select(*[rewritten(f).alias(f.name) for f in schema.fields])
 
     # inserts: requests without a match get the next sequence numbers
-    fresh = c.join(matches.select("REQ_ID").distinct(), "REQ_ID", "left_anti")
+    fresh = c.join(hits.select("REQ_ID").distinct(), "REQ_ID", "left_anti")
     fresh = with_base(fresh, profile, "CUSTOMER_NO", "__base")
     fresh = assign_keys(fresh, ["REQ_ID"], F.col("__base"), "__new_no")
     ins_cols = {r[0]: r for r in INSERT_RULES}
@@ -125,9 +181,18 @@ def upsert_profiles(profile: DataFrame, changes: DataFrame, master: DataFrame, a
         (_rule_value(ins_cols[f.name], f.dataType, None, as_of) if f.name in ins_cols
          else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields], "REQ_ID")
 
-    untouched = profile.join(bounded_broadcast(per_row.select(*KEY)), KEY, "left_anti")
-    touched = updated.unionByName(inserted.drop("REQ_ID"))
+    # rows inserted and then updated by later requests of the batch
+    on_new = per_row.filter(F.col("__ins").isNotNull()).drop(*KEY)
+    renewed = inserted.alias("o").join(on_new, F.col("o.REQ_ID") == F.col("__ins")).join(
+        c.withColumnRenamed("REQ_ID", "__req"), "__req").select(*[rewritten(f).alias(f.name) for f in schema.fields])
+    final = inserted.join(on_new.select("__ins"), F.col("REQ_ID") == F.col("__ins"), "left_anti").drop("REQ_ID")
+
+    untouched = profile.join(bounded_broadcast(on_old.select(*KEY)), KEY, "left_anti")
+    touched = updated.unionByName(final).unionByName(renewed)
     snapshot = untouched.unionByName(touched)
+    numbers = inserted.select(F.col("REQ_ID").alias("__ins"), F.col("CUSTOMER_NO").alias("__new"))
+    matches = hits.join(numbers, "__ins", "left").select(
+        "REQ_ID", "ID_SOLICITUD", F.coalesce("CUSTOMER_NO", "__new").alias("CUSTOMER_NO"))
 
     req = c.select("REQ_ID", "IN_CUSTOMER_NO")
     n = matches.groupBy("REQ_ID").agg(F.count(F.lit(1)).alias("__n"))
