@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators, and their SQL where SQL can say the same."""
+"""The registered queries of the operators, and their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from profilebook.llm import exact, fingerprint, html, langid, linedup, minhash, mixing, quality, spm, toxicity
+from profilebook.llm import exact, fingerprint, html, langid, linedup, merkle, minhash, mixing, quality, spm, toxicity
 from profilebook.llm.common import read
 
 
@@ -49,7 +49,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_html_extraction, op4_source_mixing, op5_language_id,
-                                   op6_exact_dedup, op7_line_dedup, op8_sentencepiece, op9_fingerprints, op10_quality)}
+                                   op6_exact_dedup, op7_line_dedup, op8_sentencepiece, op9_fingerprints, op10_quality,
+                                   op13_merkle_manifest)}
 
-ORACLE_SQL = {"op6_exact_dedup": exact.ORACLE, "op7_line_dedup": linedup.ORACLE}
+ORACLE_SQL = {"op6_exact_dedup": exact.ORACLE, "op7_line_dedup": linedup.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
