@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from profilebook.llm import exact, fingerprint, html, langid, linedup, merkle, minhash, mixing, quality, spm, toxicity
+from profilebook.llm import exact, fingerprint, html, langid, linedup, merkle, minhash, mixing, quality, sharding, spm, toxicity, variants
 from profilebook.llm.common import read
 
 
@@ -49,12 +50,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op12_consistent_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the 40 shards are at most one apart."""
+    return sharding.shards_of(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_html_extraction, op4_source_mixing, op5_language_id,
                                    op6_exact_dedup, op7_line_dedup, op8_sentencepiece, op9_fingerprints, op10_quality,
-                                   op13_merkle_manifest)}
+                                   op11_spelling_variants, op12_consistent_sharding, op13_merkle_manifest)}
 
-ORACLE_SQL = {"op6_exact_dedup": exact.ORACLE, "op7_line_dedup": linedup.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
+ORACLE_SQL = {"op6_exact_dedup": exact.ORACLE, "op7_line_dedup": linedup.ORACLE, "op11_spelling_variants": variants.ORACLE,
+              "op12_consistent_sharding": sharding.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
