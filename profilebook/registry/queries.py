@@ -90,9 +90,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "propagate_name": _q(lambda c: upsert.propagate_names(c.table("wf_lmt_customer"),
                                                           upsert.with_parameter_defaults(c.table("wf_profile_changes")),
                                                           _upsert(c).matches)),
-    "status_update": _q(lambda c: upsert.record_status(c.profile(), c.table("wf_status_events"))[1].select(
-        "ID_SOLICITUD", "CUSTOMER_NO", "ID_CUSTOMER_FCC", "ID_STATUS_FCC", "MSG_ERROR_FCC", "FECHA_CREACION_CLIENTE",
-        "INCEPTION_DATE")),
+    "status_update": _q(lambda c: upsert.record_status(c.profile(), c.table("wf_status_events"))[1].select(*_STATUS)),
     "copy_main_to_group": _q(lambda c: upsert.copy_main_to_group(c, c.profile()).filter(
         F.col("LMT_CUSTOMER_TYPE") == "G").select("ID_SOLICITUD", "CUSTOMER_NO", "CUSTOMER_TYPE", "CUSTOMER_CATEGORY",
                                                   "INDUSTRY", "FECHA_KYC")),
@@ -151,7 +149,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "param_broadcast": _q(columns.relation_by_purpose),
     "sort_multi": _q(master.directors_sorted),
     # streams (T1, T2)
-    "stream_status": _q(lambda c: _stream(c).latest()),
+    "stream_status": _q(lambda c: _stream(c).touched().select(*_STATUS)),
     "stream_completeness": _q(lambda c: _stream(c).counts()),
     # export record sets
     "export_customers": _q(lambda c: export.export_customers(c, F.lit(AS_OF).cast("timestamp_ntz"))),
@@ -159,6 +157,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "directors_by_core": _q(lambda c: master.directors_sorted(c, core_id="C00000007")),
 }
 
+_STATUS = ["ID_SOLICITUD", "CUSTOMER_NO", "ID_CUSTOMER_FCC", "ID_STATUS_FCC", "MSG_ERROR_FCC", "FECHA_CREACION_CLIENTE",
+           "INCEPTION_DATE"]
 _CAND = ["ID_SOLICITUD", "CORE_ID", "LIABILITY_NO", "GROUP_CODE", "MAIN_ID", "NEW_NO"]
 
 
@@ -189,6 +189,6 @@ def _stream(c: Catalog):
     base = f"{c.land_dir}/stream-{uuid.uuid4().hex[:8]}"
     events = c.table("wf_status_events")
     deliver(events, f"{base}/source", "EVENT_ID")
-    s = StatusStream(c.spark, c.profile(), base)
+    s = StatusStream(c.spark, c.profile(), creation.at_completion_stage(c), base)
     s.run(f"{base}/source", events.schema)
     return s

@@ -1,124 +1,150 @@
 """Status events keep the profile current (T1) and completeness counts live.
 
-The reference receives one call per status event (action 1) and is polled
-for completeness (actions 6, 7, 16).  As a stream:
-
-* T1: a stateful streaming aggregation keeps, per creation id, the latest
-  event by (event time, event id).  ``max_by`` ignores late and repeated
-  events by construction (an older or identical event never wins), so
-  replays are idempotent; the state lives in Spark's fault-tolerant state
-  store under the query's checkpoint.
-* T2: in update mode each micro-batch carries only the creation ids whose
-  latest status changed.  ``foreachBatch`` looks up their previous status
-  in the changelog written by earlier batches, turns old -> new into
-  per-application count deltas (created / failed), and appends changelog
-  rows and deltas under a path named by the batch id, overwritten on
-  replay, so a re-run batch cannot double count.  Counts are the sum of
-  deltas per application: additive, partial-aggregated, skew-safe.
+The reference receives one call per status event (action 1), which updates the profile rows of a creation id, and is
+polled for completeness per application at an open stage (actions 6, 7, 16).  Here both are one streaming query:
+
+* Events are de-duplicated by event id within the watermark, then ``foreachBatch`` merges the latest event of each
+  creation id into a bucketed snapshot of the profile's status columns (M6); the other columns of the wide profile never
+  change here and are not rewritten.  The snapshot keeps each row's last event (time, id): an older or repeated event
+  never wins, whatever the split into batches.  Ids unknown to the profile match no row and leave no trace.  Only the
+  buckets that hold the batch's ids are read and rewritten.
+* A merged row also keeps the status it had before and the batch that changed it.  The batch's count changes per
+  application are read from the merged buckets, joined to the table of counts, which holds the applications at the
+  stage (static stage table, joined when the counts are set up), and merged there.  The work of a batch grows with the
+  buckets it touches, not with the history of the stream.
+
+Every merge is committed under the batch number.  A batch that is run again, also after a loss between the two merges,
+finds its commit and goes on from there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
+
+from profilebook.sources.snapshots import Snapshot
 
 CREATED = (1, 3)
 FAILED = (0,)
+#: Longest time by which an event may follow a later one before it counts as lost.
+LATENESS = "60 days"
+#: What identifies and classifies a row, and what a status event sets.
+KEPT = ["ID_SOLICITUD", "CUSTOMER_NO", "ID_CUSTOMER_FCC", "CHK_CREATE_FCC", "LMT_CUSTOMER_TYPE"]
+SET = ["ID_STATUS_FCC", "MSG_ERROR_FCC", "FECHA_CREACION_CLIENTE", "INCEPTION_DATE"]
+KEY = KEPT[:2]
 
 
 def latest_status(events: DataFrame) -> DataFrame:
-    """Latest event per creation id (works on a batch or a streaming DataFrame)."""
-    pick = F.max_by(F.struct("ID_STATUS_FCC", "MSG_ERROR_FCC", "EVENT_TS", "EVENT_ID"),
-                    F.struct("EVENT_TS", "EVENT_ID"))
-    return events.groupBy("ID_CUSTOMER_FCC").agg(pick.alias("__l")).select(
-        "ID_CUSTOMER_FCC", F.col("__l.ID_STATUS_FCC").alias("ID_STATUS_FCC"),
-        F.col("__l.MSG_ERROR_FCC").alias("MSG_ERROR_FCC"), F.col("__l.EVENT_TS").alias("EVENT_TS"),
-        F.col("__l.EVENT_ID").alias("EVENT_ID"))
+    """Latest event per creation id by (event time, event id)."""
+    pick = F.max_by(F.struct("ID_STATUS_FCC", "MSG_ERROR_FCC", "EVENT_TS", "EVENT_ID"), F.struct("EVENT_TS", "EVENT_ID"))
+    return events.filter(F.col("ID_CUSTOMER_FCC").isNotNull()).groupBy("ID_CUSTOMER_FCC").agg(pick.alias("__l")).select(
+        "ID_CUSTOMER_FCC", *[F.col(f"__l.{c}").alias(c) for c in ("ID_STATUS_FCC", "MSG_ERROR_FCC", "EVENT_TS", "EVENT_ID")])
+
+
+def _is(status: Column, codes: tuple) -> Column:
+    return F.coalesce(status.isin(*codes), F.lit(False)).cast("int")
 
 
-def _flags(status_col: str) -> tuple:
-    s = F.col(status_col)
-    return (F.when(s.isin(*CREATED), 1).otherwise(0), F.when(s.isin(*FAILED), 1).otherwise(0))
+def _counted(profile: DataFrame) -> DataFrame:
+    """The rows that completeness counts: marked for creation, not a group."""
+    return profile.filter((F.col("CHK_CREATE_FCC") == 1) & (F.col("LMT_CUSTOMER_TYPE") != "G"))
 
 
-def completeness_batch(profile: DataFrame, latest: DataFrame) -> DataFrame:
-    """T2 batch form: per application, rows expected (marked for creation,
-    non-group) and how many of them the latest events mark created / failed."""
-    p = profile.filter((F.col("CHK_CREATE_FCC") == 1) & (F.col("LMT_CUSTOMER_TYPE") != "G")).select(
-        "ID_SOLICITUD", "ID_CUSTOMER_FCC")
-    j = p.join(latest.select(F.col("ID_CUSTOMER_FCC").alias("__id"), F.col("ID_STATUS_FCC").alias("__st")),
-               F.col("ID_CUSTOMER_FCC") == F.col("__id"), "left")
-    created, failed = _flags("__st")
-    return j.groupBy("ID_SOLICITUD").agg(F.count(F.lit(1)).alias("EXPECTED"),
-                                         F.sum(created).cast("long").alias("CREATED"),
-                                         F.sum(failed).cast("long").alias("FAILED"))
+def completeness(profile: DataFrame, at_stage: DataFrame) -> DataFrame:
+    """T2 batch form: per application of ``at_stage`` (ID_SOLICITUD), the rows expected, created and failed."""
+    p = _counted(profile).join(at_stage, "ID_SOLICITUD", "left_semi")
+    s = F.col("ID_STATUS_FCC")
+    return p.groupBy("ID_SOLICITUD").agg(F.count(F.lit(1)).alias("EXPECTED"), F.sum(_is(s, CREATED)).cast("long").alias("CREATED"),
+                                         F.sum(_is(s, FAILED)).cast("long").alias("FAILED"))
 
 
 class StatusStream:
-    """Runs T1 + T2 over a directory of status-event files."""
+    """T1 and T2 over a folder of status-event files.
 
-    def __init__(self, spark: SparkSession, profile: DataFrame, out_dir: str, state_partitions: int | None = None):
-        self.spark = spark
-        # state-store partitions are fixed in the query's checkpoint at its
-        # first start; size them to the cluster, not to a batch default
+    ``profile`` (as before the stream) and ``at_stage`` (the applications at the stage) set up the snapshot and the counts
+    when ``out_dir`` is new; after a restart both are read from ``out_dir``.
+    """
+
+    def __init__(self, spark: SparkSession, profile: DataFrame, at_stage: DataFrame, out_dir: str, buckets: int = 8,
+                 lateness: str = LATENESS, state_partitions: int | None = None):
+        self.spark, self.out_dir, self.lateness = spark, out_dir, lateness
+        # state-store partitions are fixed in the query's checkpoint at its first start: size them to the cluster
         self.state_partitions = state_partitions or 2 * spark.sparkContext.defaultParallelism
-        self.profile = profile.filter((F.col("CHK_CREATE_FCC") == 1) & (F.col("LMT_CUSTOMER_TYPE") != "G")).select(
-            "ID_SOLICITUD", "ID_CUSTOMER_FCC")
-        self.changelog = f"{out_dir}/changelog"
-        self.deltas = f"{out_dir}/deltas"
-        self.checkpoint = f"{out_dir}/_checkpoint"
-
-    def _previous(self, ids: DataFrame, epoch: int) -> DataFrame:
-        if epoch == 0:   # nothing committed before the first batch (also on its replay)
-            return ids.select("ID_CUSTOMER_FCC", F.lit(None).cast("int").alias("PREV_STATUS")).filter(F.lit(False))
-        log = self.spark.read.parquet(self.changelog).filter(F.col("epoch") < epoch)
-        prev = latest_status(log).select("ID_CUSTOMER_FCC", F.col("ID_STATUS_FCC").alias("PREV_STATUS"))
-        return prev.join(ids.select("ID_CUSTOMER_FCC"), "ID_CUSTOMER_FCC", "left_semi")
-
-    def _apply(self, changed: DataFrame, epoch: int) -> None:
-        # the batch's changed keys are written first and read back: the
-        # stateful plan behind ``changed`` then runs once, and the deltas are
-        # computed from a durable table (a replayed epoch rewrites both paths)
-        path = f"{self.changelog}/epoch={epoch}"
-        changed.select("ID_CUSTOMER_FCC", "ID_STATUS_FCC", "MSG_ERROR_FCC", "EVENT_TS", "EVENT_ID") \
-            .write.mode("overwrite").parquet(path)
-        batch = self.spark.read.parquet(path)
-        # only committed epochs before this one are "previous"
-        prev = self._previous(batch, epoch)
-        j = batch.join(prev, "ID_CUSTOMER_FCC", "left")
-        new_c, new_f = _flags("ID_STATUS_FCC")
-        old_c = F.when(F.col("PREV_STATUS").isin(*CREATED), 1).otherwise(0)
-        old_f = F.when(F.col("PREV_STATUS").isin(*FAILED), 1).otherwise(0)
-        d = j.select("ID_CUSTOMER_FCC", (new_c - old_c).alias("D_CREATED"), (new_f - old_f).alias("D_FAILED"))
-        d = d.join(self.profile, "ID_CUSTOMER_FCC").groupBy("ID_SOLICITUD").agg(
-            F.sum("D_CREATED").cast("long").alias("D_CREATED"), F.sum("D_FAILED").cast("long").alias("D_FAILED"))
-        d.write.mode("overwrite").parquet(f"{self.deltas}/epoch={epoch}")
+        self.base = profile
+        rows = profile.filter(F.col("ID_CUSTOMER_FCC").isNotNull()).select(*KEPT, *SET)
+        schema = StructType([*rows.schema.fields, StructField("LAST_EVENT_TS", profile.schema["FECHA_CREACION_CLIENTE"].dataType),
+                             StructField("LAST_EVENT_ID", LongType()), StructField("PREVIOUS_STATUS", profile.schema["ID_STATUS_FCC"].dataType),
+                             StructField("CHANGED_BY", LongType())])
+        self.snapshot = Snapshot(spark, f"{out_dir}/profile", schema, ["ID_CUSTOMER_FCC"], buckets)
+        start = rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[len(rows.columns):]])
+        self.snapshot.overwrite(start, "start")
+        counts = completeness(profile, at_stage)
+        self.totals = Snapshot(spark, f"{out_dir}/counts", counts.schema, ["ID_SOLICITUD"], buckets)
+        self.totals.overwrite(counts, "start")
+
+    def _merged(self, rows: DataFrame, latest: DataFrame, epoch: int) -> DataFrame:
+        """M6 on the rows of the touched buckets."""
+        e = latest.select(F.col("ID_CUSTOMER_FCC").alias("__id"), *[F.col(c).alias(f"__{c}") for c in (
+            "ID_STATUS_FCC", "MSG_ERROR_FCC", "EVENT_TS", "EVENT_ID")])
+        j = rows.join(e, F.col("ID_CUSTOMER_FCC") == F.col("__id"), "left")
+        newer = F.col("__id").isNotNull() & (F.col("LAST_EVENT_TS").isNull() | (
+            F.struct("__EVENT_TS", "__EVENT_ID") > F.struct(F.col("LAST_EVENT_TS").alias("__EVENT_TS"), F.col("LAST_EVENT_ID").alias("__EVENT_ID"))))
+        sets = {"ID_STATUS_FCC": F.col("__ID_STATUS_FCC"), "MSG_ERROR_FCC": F.col("__MSG_ERROR_FCC"),
+                "FECHA_CREACION_CLIENTE": F.col("__EVENT_TS"), "INCEPTION_DATE": F.to_date("__EVENT_TS"),
+                "LAST_EVENT_TS": F.col("__EVENT_TS"), "LAST_EVENT_ID": F.col("__EVENT_ID"),
+                "PREVIOUS_STATUS": F.col("ID_STATUS_FCC"), "CHANGED_BY": F.lit(epoch)}
+        return j.select(*[F.when(newer, sets[f.name].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in sets
+                          else F.col(f.name) for f in self.snapshot.schema.fields])
+
+    def _recount(self, epoch: int, touched: list[int]) -> None:
+        """What the batch's rows were and are, added to the counts of their applications."""
+        now, was = F.col("ID_STATUS_FCC"), F.col("PREVIOUS_STATUS")
+        changed = _counted(self.snapshot.read(touched)).filter(F.col("CHANGED_BY") == epoch)
+        delta = changed.groupBy(F.col("ID_SOLICITUD").alias("__app")).agg(
+            F.sum(_is(now, CREATED) - _is(was, CREATED)).alias("__c"), F.sum(_is(now, FAILED) - _is(was, FAILED)).alias("__f"))
+        delta = delta.filter((F.col("__c") != 0) | (F.col("__f") != 0))
+        self.totals.merge(delta.select(F.col("__app").alias("ID_SOLICITUD")), lambda t: t.join(
+            delta, F.col("ID_SOLICITUD") == F.col("__app"), "left").select(
+            "ID_SOLICITUD", "EXPECTED", (F.col("CREATED") + F.coalesce("__c", F.lit(0))).alias("CREATED"),
+            (F.col("FAILED") + F.coalesce("__f", F.lit(0))).alias("FAILED")), f"batch {epoch}")
+
+    def apply(self, events: DataFrame, epoch: int) -> None:
+        """One batch; running it again changes nothing."""
+        # written and read back: the stateful plan behind ``events`` runs once
+        path = f"{self.out_dir}/batches/latest-{epoch}"
+        latest_status(events).write.mode("overwrite").parquet(path)
+        latest = self.spark.read.parquet(path)
+        self.snapshot.merge(latest.select("ID_CUSTOMER_FCC"), lambda rows: self._merged(rows, latest, epoch), f"batch {epoch}")
+        touched = [r[0] for r in self.snapshot.log().filter(F.col("name") == f"batch {epoch}").select("bucket").collect()]
+        self._recount(epoch, touched)
 
     def run(self, source_dir: str, schema: StructType, files_per_batch: int = 1) -> None:
-        events = (self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-                  .parquet(source_dir))
+        """Process the files that are there, in batches, and return."""
+        events = (self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
+                  .withColumn("event_time", F.col("EVENT_TS").cast("timestamp"))   # a watermark takes no TIMESTAMP_NTZ
+                  .withWatermark("event_time", self.lateness).dropDuplicatesWithinWatermark(["EVENT_ID"]))
         conf = self.spark.conf
         saved = conf.get("spark.sql.shuffle.partitions")
         conf.set("spark.sql.shuffle.partitions", str(self.state_partitions))
         try:
-            q = (latest_status(events).writeStream.outputMode("update")
-                 .option("checkpointLocation", self.checkpoint)
-                 .foreachBatch(lambda df, epoch: self._apply(df, epoch))
-                 .trigger(availableNow=True).start())
+            q = (events.writeStream.outputMode("append").option("checkpointLocation", f"{self.out_dir}/_checkpoint")
+                 .foreachBatch(self.apply).trigger(availableNow=True).start())
             q.awaitTermination()
         finally:
             conf.set("spark.sql.shuffle.partitions", saved)
 
-    def latest(self) -> DataFrame:
-        """T1 result: latest status per creation id."""
-        return latest_status(self.spark.read.parquet(self.changelog).drop("epoch"))
+    def touched(self) -> DataFrame:
+        """T1 result: the status columns of the profile rows that events have reached."""
+        return self.snapshot.read().filter(F.col("LAST_EVENT_TS").isNotNull()).select(*KEPT, *SET)
+
+    def profile(self) -> DataFrame:
+        """The whole profile as of the last batch."""
+        hit = self.touched().select(*[F.col(c).alias(f"__{c}") for c in KEY + SET], F.lit(True).alias("__hit"))
+        j = self.base.join(hit, (F.col("ID_SOLICITUD") == F.col("__ID_SOLICITUD")) & (F.col("CUSTOMER_NO") == F.col("__CUSTOMER_NO")), "left")
+        return j.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in SET else F.col(c)
+                          for c in self.base.columns])
 
     def counts(self) -> DataFrame:
-        """T2 result: per application, expected / created / failed."""
-        expected = self.profile.groupBy("ID_SOLICITUD").agg(F.count(F.lit(1)).alias("EXPECTED"))
-        d = self.spark.read.parquet(self.deltas).drop("epoch").groupBy("ID_SOLICITUD").agg(
-            F.sum("D_CREATED").cast("long").alias("CREATED"), F.sum("D_FAILED").cast("long").alias("FAILED"))
-        out = expected.join(d, "ID_SOLICITUD", "left")
-        return out.select("ID_SOLICITUD", "EXPECTED", F.coalesce("CREATED", F.lit(0)).alias("CREATED"),
-                          F.coalesce("FAILED", F.lit(0)).alias("FAILED"))
+        """T2 result: per application at the stage, the rows expected, created and failed."""
+        return self.totals.read()
