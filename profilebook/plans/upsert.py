@@ -9,17 +9,17 @@ result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from profilebook.functions import codes, dates
 from profilebook.operators.aggregates import latest_per_key
 from profilebook.operators.broadcast import bounded_broadcast
-from profilebook.operators.joins import either_key
 from profilebook.operators.keys import assign_keys, with_base
 from profilebook.operators.lookups import exists_flag
 from profilebook.plans.profile_rules import INSERT_RULES, PARAMETER_DEFAULTS, PARAMETERS, UPDATE_RULES
+from profilebook.session import landed
 from profilebook.sources.catalog import Catalog
 
 KEY = ["ID_SOLICITUD", "CUSTOMER_NO"]
@@ -66,61 +66,79 @@ def _rule_value(rule, dtype, old: Column | None, as_of: Column) -> Column:
     raise ValueError(kind)
 
 
-def match_requests(profile: DataFrame, changes: DataFrame) -> DataFrame:
-    """(REQ_ID, ID_SOLICITUD, CUSTOMER_NO) of every profile row a request
-    hits by local number *or* core id inside its application."""
-    p = profile.select("ID_SOLICITUD", "CUSTOMER_NO", "CUSTOMER_NO_FCC")
-    c = changes.select("REQ_ID", "IN_ID_SOLICITUD", "IN_CUSTOMER_NO", "IN_CUSTOMER_NO_FCC")
-    m = either_key(p, c, ("CUSTOMER_NO", "IN_CUSTOMER_NO"), ("CUSTOMER_NO_FCC", "IN_CUSTOMER_NO_FCC"),
-                   [("ID_SOLICITUD", "IN_ID_SOLICITUD")])
-    return m.select("REQ_ID", "ID_SOLICITUD", "CUSTOMER_NO").distinct()
+def _levels(n: int) -> int:
+    """Levels of dyadic blocks over the numbers 0 to n - 1."""
+    return max(n - 1, 1).bit_length() + 1
 
 
-def hits_in_order(profile: DataFrame, changes: DataFrame) -> DataFrame:
-    """(REQ_ID, ID_SOLICITUD, CUSTOMER_NO, __ins): every row a request updates when the routine is called once per request
-    in REQ_ID order.  ``__ins`` is the inserting request where the row is one this batch inserts (CUSTOMER_NO null).
+def _dyadic_parts(begin: Column, end: Column, levels: int) -> Column:
+    """The dyadic blocks (level, number) that together are [begin, end): at most two a level."""
+    def at(k):
+        size = F.pow(F.lit(2.0), k).cast("long")
+        lo, hi = F.floor((begin + size - 1) / size).cast("long"), F.floor(end / size).cast("long")
+        part = lambda ok, b: F.when(ok & (lo < hi), F.struct(k.alias("level"), b.alias("block")))
+        return F.array(part(lo % 2 == 1, lo), part(hi % 2 == 1, hi - 1))
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+    return F.filter(parts, lambda x: x.isNotNull())
+
 
-    Requests meet only within an application: one that is alone there is matched set-wise.  Where an application has
-    several, an earlier one may change a row's core id or insert the row a later one hits, so its requests are folded in
-    order over the keys of its rows.  Numbers drawn in the batch are not known to its own requests.
+def hits_in_order(profile: DataFrame, changes: DataFrame) -> DataFrame:
+    """J19, (REQ_ID, ID_SOLICITUD, CUSTOMER_NO, __ins): every row a request updates when the routine is called once per
+    request in REQ_ID order.  ``__ins`` is the inserting request where the row is one this batch inserts (CUSTOMER_NO null).
+
+    A request hits the rows of its application with its local number or its core id, and gives them its core id.  So a
+    row's core id changes only by requests that name its local number: it is the core id of the last such request before,
+    or its first one.  That is resolved set-wise, whatever the number of requests on one application:
+
+    * by number: an equi-join;
+    * by core id, rows whose number no request names: an equi-join;
+    * by core id, the other rows: their core ids hold for spans of requests.  Spans are cut into dyadic blocks and
+      requests meet them by the blocks they lie in, so only true hits are paired;
+    * a request that hits none of these inserts a row, unless an earlier one did with the same core id, which it and all
+      later requests of that core id hit.  Numbers drawn in the batch are not known to its requests.
     """
-    app = changes.groupBy(F.col("IN_ID_SOLICITUD").alias("__app")).agg(F.count(F.lit(1)).alias("__n"))
-    several = app.filter((F.col("__n") > 1) & F.col("__app").isNotNull()).select("__app")
-    alone = changes.join(several, F.col("IN_ID_SOLICITUD") == F.col("__app"), "left_anti")
-    single = match_requests(profile, alone).withColumn("__ins", F.lit(None).cast("long"))
-
-    no, fcc = profile.schema["CUSTOMER_NO"].dataType, profile.schema["CUSTOMER_NO_FCC"].dataType
-    req = changes.join(several, F.col("IN_ID_SOLICITUD") == F.col("__app"), "left_semi").groupBy(
-        F.col("IN_ID_SOLICITUD").alias("__app")).agg(F.sort_array(F.collect_list(F.struct(
-            F.col("REQ_ID").cast("long").alias("req"), F.col("IN_CUSTOMER_NO").try_cast(no).alias("no"),
-            F.col("IN_CUSTOMER_NO_FCC").try_cast(fcc).alias("fcc")))).alias("__reqs"))
-    key = F.struct(F.col("CUSTOMER_NO").alias("no"), F.col("CUSTOMER_NO_FCC").alias("fcc"),
-                   F.lit(None).cast("long").alias("ins"))
-    rows = profile.join(several, F.col("ID_SOLICITUD") == F.col("__app"), "left_semi").groupBy("ID_SOLICITUD").agg(
-        F.collect_list(key).alias("__rows"))
-    j = req.join(rows, F.col("__app") == F.col("ID_SOLICITUD"), "left")
-    row_t = f"array<struct<no:{no.simpleString()},fcc:{fcc.simpleString()},ins:bigint>>"
-    log_t = f"array<struct<req:bigint,no:{no.simpleString()},ins:bigint>>"
-
-    def step(acc, r):
-        def hit(x):
-            return F.coalesce(x["no"] == r["no"], F.lit(False)) | F.coalesce(x["fcc"] == r["fcc"], F.lit(False))
-        new = F.struct(F.lit(None).cast(no).alias("no"), r["fcc"].alias("fcc"), r["req"].alias("ins"))
-        updated = F.transform(acc["rows"], lambda x: F.when(hit(x), F.struct(
-            x["no"].alias("no"), r["fcc"].alias("fcc"), x["ins"].alias("ins"))).otherwise(x))
-        log = F.transform(F.filter(acc["rows"], hit), lambda x: F.struct(
-            r["req"].alias("req"), x["no"].alias("no"), x["ins"].alias("ins")))
-        return F.struct(F.when(F.exists(acc["rows"], hit), updated).otherwise(F.concat(acc["rows"], F.array(new)))
-                        .cast(row_t).alias("rows"), F.concat(acc["log"], log).cast(log_t).alias("log"))
-
-    start = F.struct(F.coalesce(F.col("__rows").cast(row_t), F.array().cast(row_t)).alias("rows"),
-                     F.array().cast(log_t).alias("log"))
-    folded = j.select("__app", F.explode(F.aggregate("__reqs", start, step, lambda a: a["log"])).alias("__h"))
-    id_type = profile.schema["ID_SOLICITUD"].dataType
-    return single.unionByName(folded.select(
-        F.col("__h.req").cast(changes.schema["REQ_ID"].dataType).alias("REQ_ID"),
-        F.col("__app").cast(id_type).alias("ID_SOLICITUD"), F.col("__h.no").alias("CUSTOMER_NO"),
-        F.col("__h.ins").alias("__ins")).distinct())
+    no_t, fcc_t = profile.schema["CUSTOMER_NO"].dataType, profile.schema["CUSTOMER_NO_FCC"].dataType
+    app_t = profile.schema["ID_SOLICITUD"].dataType
+    r = changes.select("REQ_ID", F.col("IN_ID_SOLICITUD").cast(app_t).alias("r_app"), F.col("IN_CUSTOMER_NO").try_cast(no_t).alias("r_no"),
+                       F.col("IN_CUSTOMER_NO_FCC").try_cast(fcc_t).alias("r_fcc"))
+    r = assign_keys(r, ["REQ_ID"], F.lit(-1).cast("long"), "at")   # 0, 1, ... in REQ_ID order
+    r = landed(r, "requests")
+    asked = r.filter(F.col("r_app").isNotNull())
+    # rows of the requested applications only; the list grows with the batch
+    apps = bounded_broadcast(asked.select("r_app").distinct())
+    rows = landed(profile.select("ID_SOLICITUD", "CUSTOMER_NO", "CUSTOMER_NO_FCC").join(
+        apps, F.col("ID_SOLICITUD") == F.col("r_app"), "left_semi"), "requested-rows")
+
+    row = ["ID_SOLICITUD", "CUSTOMER_NO"]
+    named = landed(asked.filter(F.col("r_no").isNotNull()).join(
+        rows, (F.col("ID_SOLICITUD") == F.col("r_app")) & (F.col("CUSTOMER_NO") == F.col("r_no"))).select(
+        "REQ_ID", "at", *row, "r_fcc", "CUSTOMER_NO_FCC"), "named-rows")
+    keyed = asked.filter(F.col("r_fcc").isNotNull()).select("REQ_ID", "at", "r_app", "r_fcc")
+    same_fcc = lambda c: (F.col("ID_SOLICITUD") == F.col("r_app")) & (F.col(c) == F.col("r_fcc"))
+    still = rows.join(named.select(*row).distinct(), row, "left_anti")
+    by_still = keyed.join(still, same_fcc("CUSTOMER_NO_FCC")).select("REQ_ID", *row)
+
+    # spans of requests over which a named row keeps one core id (null spans are hit by nobody)
+    n = r.count()
+    first = named.select(*row, F.lit(-1).cast("long").alias("at"), F.col("CUSTOMER_NO_FCC").alias("fcc")).distinct()
+    steps = first.unionByName(named.select(*row, "at", F.col("r_fcc").alias("fcc")))
+    w = Window.partitionBy(*row).orderBy("at")
+    moves = steps.withColumn("was", F.lag("fcc").over(w)).filter((F.col("at") == -1) | ~F.col("fcc").eqNullSafe(F.col("was")))
+    spans = moves.withColumn("end", F.coalesce(F.lead("at").over(w) + 1, F.lit(n))).filter(F.col("fcc").isNotNull())
+    levels = _levels(n)
+    spans = spans.select(*row, "fcc", F.explode(_dyadic_parts(F.col("at") + 1, F.col("end"), levels)).alias("part"))
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(
+        k.alias("r_level"), F.floor(F.col("at") / F.pow(F.lit(2.0), k)).cast("long").alias("r_block")))
+    moving = keyed.join(named.select(F.col("ID_SOLICITUD").alias("r_app")).distinct(), "r_app", "left_semi")
+    moving = moving.select("REQ_ID", "r_app", "r_fcc", F.explode(blocks).alias("b")).select("REQ_ID", "r_app", "r_fcc", "b.*")
+    by_span = moving.join(spans, same_fcc("fcc") & (F.col("part.level") == F.col("r_level")) & (F.col("part.block") == F.col("r_block")))
+    hits = landed(named.select("REQ_ID", *row).unionByName(by_still).unionByName(by_span.select("REQ_ID", *row)).distinct(), "old-hits")
+
+    free = r.join(hits.select("REQ_ID").distinct(), "REQ_ID", "left_anti").filter(F.col("r_app").isNotNull() & F.col("r_fcc").isNotNull())
+    new = free.groupBy(F.col("r_app").alias("n_app"), F.col("r_fcc").alias("n_fcc")).agg(F.min("at").alias("n_at"), F.min_by("REQ_ID", "at").alias("__ins"))
+    again = keyed.join(new, (F.col("r_app") == F.col("n_app")) & (F.col("r_fcc") == F.col("n_fcc")) & (F.col("at") > F.col("n_at")))
+    return landed(hits.withColumn("__ins", F.lit(None).cast("long")).unionByName(again.select(
+        "REQ_ID", F.col("n_app").alias("ID_SOLICITUD"), F.lit(None).cast(no_t).alias("CUSTOMER_NO"), F.col("__ins").cast("long").alias("__ins"))), "hits")
 
 
 def existence(changes: DataFrame, master: DataFrame) -> DataFrame:
@@ -147,8 +165,10 @@ def upsert_profiles(profile: DataFrame, changes: DataFrame, master: DataFrame, a
     value for a null parameter takes the last request that gives one.
     """
     schema = profile.schema
+    # the requests, the rows they hit and what they write there grow with the batch: each is landed once, so that the
+    # plans over the wide profile stay small
     c = with_parameter_defaults(changes)
-    c = c.join(existence(c, master).select("REQ_ID", "__exists"), "REQ_ID")
+    c = landed(c.join(existence(c, master).select("REQ_ID", "__exists"), "REQ_ID"), "changes")
     hits = hits_in_order(profile, c)
     upd_cols = {r[0]: r for r in UPDATE_RULES}
     kept = [r for r in UPDATE_RULES if r[2] in ("keep", "keep_upper")]
@@ -156,6 +176,8 @@ def upsert_profiles(profile: DataFrame, changes: DataFrame, master: DataFrame, a
     per_row = hits.join(given, "REQ_ID").groupBy(*KEY, "__ins").agg(
         F.max("REQ_ID").alias("__req"),
         *[F.max_by(f"__k_{r[0]}", F.when(F.col(f"__k_{r[0]}").isNotNull(), F.col("REQ_ID"))).alias(f"__k_{r[0]}") for r in kept])
+    # each touched row with its last request
+    per_row = landed(per_row.join(c.withColumnRenamed("REQ_ID", "__req"), "__req"), "touched")
 
     def rewritten(f):
         if f.name not in upd_cols:
@@ -164,18 +186,16 @@ def upsert_profiles(profile: DataFrame, changes: DataFrame, master: DataFrame, a
             return F.coalesce(F.col(f"__k_{f.name}"), F.col(f"o.{f.name}"))
         return _rule_value(upd_cols[f.name], f.dataType, None, as_of)
 
-    # updates: profile rows joined to their last request
-    old = profile.alias("o")
     # the rows a batch touches grow with the batch, not with the profile:
     # broadcast them when provably small, so the wide profile is not shuffled
     on_old = per_row.filter(F.col("__ins").isNull()).drop("__ins")
-    hit = old.join(bounded_broadcast(on_old), KEY).join(c.withColumnRenamed("REQ_ID", "__req"), "__req")
+    hit = profile.alias("o").join(bounded_broadcast(on_old), KEY)
     updated = hit.select(*[rewritten(f).alias(f.name) for f in schema.fields])
 
     # inserts: requests without a match get the next sequence numbers
     fresh = c.join(hits.select("REQ_ID").distinct(), "REQ_ID", "left_anti")
     fresh = with_base(fresh, profile, "CUSTOMER_NO", "__base")
-    fresh = assign_keys(fresh, ["REQ_ID"], F.col("__base"), "__new_no")
+    fresh = assign_keys(fresh, ["REQ_ID"], F.col("__base"), "__new_no")   # checkpointed inside
     ins_cols = {r[0]: r for r in INSERT_RULES}
     inserted = fresh.select(*[
         (_rule_value(ins_cols[f.name], f.dataType, None, as_of) if f.name in ins_cols
@@ -183,8 +203,8 @@ def upsert_profiles(profile: DataFrame, changes: DataFrame, master: DataFrame, a
 
     # rows inserted and then updated by later requests of the batch
     on_new = per_row.filter(F.col("__ins").isNotNull()).drop(*KEY)
-    renewed = inserted.alias("o").join(on_new, F.col("o.REQ_ID") == F.col("__ins")).join(
-        c.withColumnRenamed("REQ_ID", "__req"), "__req").select(*[rewritten(f).alias(f.name) for f in schema.fields])
+    renewed = inserted.alias("o").join(on_new, F.col("o.REQ_ID") == F.col("__ins")).select(
+        *[rewritten(f).alias(f.name) for f in schema.fields])
     final = inserted.join(on_new.select("__ins"), F.col("REQ_ID") == F.col("__ins"), "left_anti").drop("REQ_ID")
 
     untouched = profile.join(bounded_broadcast(on_old.select(*KEY)), KEY, "left_anti")

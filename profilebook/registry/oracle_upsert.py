@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from profilebook.plans.profile_rules import INSERT_RULES, PARAMETER_DEFAULTS, PARAMETERS, UPDATE_RULES
-from profilebook.registry.sqlkit import with_tables
+from profilebook.registry.sqlkit import recursive, with_tables
 from profilebook.sources import standins
 
 AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -58,33 +58,53 @@ def _ctes() -> list[str]:
     chg = "chg0 AS (SELECT *, " + ", ".join(extra) + " FROM wf_profile_changes)"
     ex = ("chg AS (SELECT c.*, CASE WHEN c.IN_CUSTOMER_NO_FCC IS NOT NULL AND EXISTS (SELECT 1 FROM fcc_customer f "
           "WHERE f.CUSTOMER_NO = c.IN_CUSTOMER_NO_FCC) THEN '1' ELSE '0' END AS EXISTE FROM chg0 c)")
-    m = ("m AS (SELECT DISTINCT c.REQ_ID, p.ID_SOLICITUD, p.CUSTOMER_NO FROM chg c JOIN profile p "
-         "ON p.ID_SOLICITUD = c.IN_ID_SOLICITUD AND (p.CUSTOMER_NO = c.IN_CUSTOMER_NO OR p.CUSTOMER_NO_FCC = c.IN_CUSTOMER_NO_FCC))")
-    upd = "upd AS (SELECT ID_SOLICITUD, CUSTOMER_NO, max(REQ_ID) AS REQ_ID FROM m GROUP BY 1, 2)"
+    # the routine called once per request, application by application, in REQ_ID order: the state of an application is the
+    # list of its rows' keys; ins is the request that inserted a row (its number is not known to the requests)
+    rq = ("rq AS MATERIALIZED (SELECT REQ_ID, IN_ID_SOLICITUD AS app, IN_CUSTOMER_NO AS no, IN_CUSTOMER_NO_FCC AS fcc, "
+          "row_number() OVER (PARTITION BY IN_ID_SOLICITUD ORDER BY REQ_ID) AS k FROM chg0 WHERE IN_ID_SOLICITUD IS NOT NULL)")
+    hit = "(coalesce(x.no = r.no, false) OR coalesce(x.fcc = r.fcc, false))"
+    call = ("call AS (SELECT a.app, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS REQ_ID, coalesce(list({'no': p.CUSTOMER_NO, "
+            "'fcc': p.CUSTOMER_NO_FCC, 'ins': CAST(NULL AS BIGINT)}) FILTER (p.CUSTOMER_NO IS NOT NULL), []) AS state, "
+            "CAST([] AS STRUCT(no BIGINT, fcc VARCHAR, ins BIGINT)[]) AS hit "
+            "FROM (SELECT DISTINCT app FROM rq) a LEFT JOIN profile p ON p.ID_SOLICITUD = a.app GROUP BY a.app "
+            f"UNION ALL SELECT c.app, r.k, r.REQ_ID, CASE WHEN len(list_filter(c.state, lambda x: {hit})) = 0 "
+            "THEN list_append(c.state, {'no': CAST(NULL AS BIGINT), 'fcc': r.fcc, 'ins': r.REQ_ID}) "
+            f"ELSE list_transform(c.state, lambda x: CASE WHEN {hit} THEN {{'no': x.no, 'fcc': r.fcc, 'ins': x.ins}} ELSE x END) END, "
+            f"list_filter(c.state, lambda x: {hit}) FROM call c JOIN rq r ON r.app = c.app AND r.k = c.k + 1)")
+    hits = ("hits AS MATERIALIZED (SELECT REQ_ID, app, h.no AS no, h.ins AS ins FROM (SELECT REQ_ID, app, unnest(hit) AS h FROM call))")
     ins = ("ins AS (SELECT c.*, (SELECT coalesce(max(CUSTOMER_NO), 0) FROM profile) + row_number() OVER (ORDER BY c.REQ_ID) "
-           "AS NEW_NO FROM chg c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.REQ_ID = c.REQ_ID))")
-    return [chg, ex, m, upd, ins]
+           "AS NEW_NO FROM chg c WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.REQ_ID = c.REQ_ID))")
+    m = ("m AS (SELECT h.REQ_ID, h.app AS ID_SOLICITUD, coalesce(h.no, i.NEW_NO) AS CUSTOMER_NO FROM hits h "
+         "LEFT JOIN ins i ON i.REQ_ID = h.ins)")
+    return [chg, ex, rq, call, hits, ins, m]
 
 
 def _touched() -> str:
+    """The rows as the calls leave them: the last call writes the row, a kept column takes the last value given."""
     upd = {r[0]: r for r in UPDATE_RULES}
     ins = {r[0]: r for r in INSERT_RULES}
-    ucols = ", ".join(f"{_val(upd[col], 'o.' + col) if col in upd else 'o.' + col} AS {col}"
-                      for col in standins.PROFILE_COLUMNS)
+    kept = [c for c, r in upd.items() if r[2] in ("keep", "keep_upper")]
     icols = ", ".join(f"{_val(ins[col], None) if col in ins else 'CAST(NULL AS ' + _t(col) + ')'} AS {col}"
                       for col in standins.PROFILE_COLUMNS)
-    return (f"SELECT {ucols} FROM profile o JOIN upd u ON u.ID_SOLICITUD = o.ID_SOLICITUD AND u.CUSTOMER_NO = o.CUSTOMER_NO "
-            f"JOIN chg c ON c.REQ_ID = u.REQ_ID UNION ALL SELECT {icols} FROM ins c")
+    before = f"before AS (SELECT {', '.join(standins.PROFILE_COLUMNS)} FROM profile UNION ALL SELECT {icols} FROM ins c)"
+    given = ", ".join(f"arg_max({_val(upd[col], 'NULL')}, c.REQ_ID) FILTER ({_val(upd[col], 'NULL')} IS NOT NULL) AS g_{col}" for col in kept)
+    last = f"last AS (SELECT m.ID_SOLICITUD, m.CUSTOMER_NO, max(m.REQ_ID) AS REQ_ID, {given} FROM m JOIN chg c ON c.REQ_ID = m.REQ_ID GROUP BY 1, 2)"
+    ucols = ", ".join((f"coalesce(u.g_{col}, o.{col})" if col in kept else _val(upd[col], None) if col in upd else f"o.{col}") + f" AS {col}"
+                      for col in standins.PROFILE_COLUMNS)
+    names = ", ".join("o." + col for col in standins.PROFILE_COLUMNS)
+    return (f", {before}, {last} SELECT {ucols} FROM before o JOIN last u ON u.ID_SOLICITUD = o.ID_SOLICITUD AND u.CUSTOMER_NO = o.CUSTOMER_NO "
+            f"JOIN chg c ON c.REQ_ID = u.REQ_ID UNION ALL SELECT {names} FROM before o JOIN ins i ON i.NEW_NO = o.CUSTOMER_NO "
+            "WHERE NOT EXISTS (SELECT 1 FROM last u WHERE u.ID_SOLICITUD = o.ID_SOLICITUD AND u.CUSTOMER_NO = o.CUSTOMER_NO)")
 
 
 def oracle() -> dict[str, str]:
     q: dict[str, str] = {}
-    w = with_tables(["wf_profile_changes", "fcc_customer"], _ctes(), profile=True)
+    w = recursive(with_tables(["wf_profile_changes", "fcc_customer"], _ctes(), profile=True))
     q["upsert_profiles"] = w + (
         "SELECT c.REQ_ID, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.REQ_ID = c.REQ_ID) THEN 'ACTUALIZADO' ELSE 'INSERTADO' END "
         "AS RESULTADO, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.REQ_ID = c.REQ_ID) THEN CAST(c.IN_CUSTOMER_NO AS BIGINT) "
         "ELSE (SELECT i.NEW_NO FROM ins i WHERE i.REQ_ID = c.REQ_ID) END AS CUSTOMER_NO FROM chg c")
-    q["upsert_null_preserving"] = w + _touched()
+    q["upsert_null_preserving"] = w.rstrip() + _touched()
     q["either_key_match"] = w + "SELECT REQ_ID, ID_SOLICITUD, CUSTOMER_NO FROM m"
     q["exists_flag"] = w + "SELECT REQ_ID, IN_CUSTOMER_NO_FCC, EXISTE AS ID_EXISTE_FCC FROM chg"
     q["assign_keys"] = w + "SELECT REQ_ID, NEW_NO AS CUSTOMER_NO FROM ins"
@@ -95,7 +115,7 @@ def oracle() -> dict[str, str]:
         "FROM u GROUP BY 1, 2)",
         "b AS (SELECT IN_ID_SOLICITUD, IN_CUSTOMER_NO_FCC, arg_max(IN_CUSTOMER_NAME1, REQ_ID) AS n2, max(REQ_ID) * 2 + 1 AS o2 "
         "FROM u GROUP BY 1, 2)"], profile=True)
-    q["propagate_name"] = lm + (
+    q["propagate_name"] = recursive(lm) + (
         "SELECT l.ID_SOLICITUD, l.CUSTOMER_ID, l.CUSTOMER_NO, CASE WHEN a.o1 IS NULL AND b.o2 IS NULL THEN l.CUSTOMER_NAME "
         "WHEN coalesce(b.o2, -1) > coalesce(a.o1, -1) THEN b.n2 ELSE a.n1 END AS CUSTOMER_NAME, l.CUSTOMER_TYPE "
         "FROM wf_lmt_customer l LEFT JOIN a ON a.IN_ID_SOLICITUD = l.ID_SOLICITUD AND a.IN_CUSTOMER_NO = l.CUSTOMER_ID "

@@ -28,6 +28,11 @@ def with_tables(names: list[str], extra_ctes: list[str] | None = None, profile:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def recursive(head: str) -> str:
+    """A WITH clause whose tables may refer to themselves."""
+    return head.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def ncat(*parts: str) -> str:
     """Oracle ``||`` (NULL as '') with '' -> NULL; bare strings are SQL expressions."""
     return "nullif(concat(" + ", ".join(f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts) + "), '')"

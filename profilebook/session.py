@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the plans are designed for.  They are Spark's own
 # adaptive-execution switches: runtime re-planning, partition coalescing,
@@ -59,3 +60,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="profilebook-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return path
+
+
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back.
+
+    Lineage ends there, any executor can read it, and plans over it know its true size (a checkpoint keeps an estimate).
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

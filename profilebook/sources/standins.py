@@ -625,15 +625,33 @@ FROM {{orders}} WHERE o_orderstatus = 'O'
 # Profile form submissions (one call of the insert-or-update routine each).
 # Urgent open applications edit their main party by local number, high ones
 # by core id; medium ones add a new party (a group id that exists in the
-# master, or an id the master does not know).  Dates arrive as dd/mm/yyyy
-# text, some of them invalid.
+# master, or an id the master does not know).  Every eighth application is
+# submitted four more times: its main party moves to another core id, is met
+# there, left without one, and its old core id comes back as a new party.  One
+# application gets a share of all submissions (hot), which move its main party
+# between five core ids, meet it there, and add and meet new parties.  Dates
+# arrive as dd/mm/yyyy text, some of them invalid.
+HOT_APPLICATION = 1
+_SUBMISSIONS = f"""(
+SELECT o_orderkey AS o_key, o_orderkey AS req, o_orderkey AS app, CAST(0 AS BIGINT) AS v, CAST(0 AS BIGINT) AS k FROM {{orders}}
+WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
+UNION ALL
+SELECT o_orderkey, t.v * 1000000000000 + o_orderkey, o_orderkey, t.v, CAST(0 AS BIGINT)
+FROM {{orders}} JOIN (SELECT CAST(1 AS BIGINT) AS v UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) t ON o_orderkey % 8 = 0
+UNION ALL
+SELECT l_orderkey, 10000000000000 + l_orderkey * 10 + l_linenumber,
+  CAST({HOT_APPLICATION} AS BIGINT), 5 + l_linenumber % 4, min(l_suppkey) % 5
+FROM {{lineitem}} WHERE l_partkey % 25 = 0 GROUP BY l_orderkey, l_linenumber)"""
 _DMY = ("lpad(CAST(dayofmonth(o.o_orderdate) AS STRING), 2, '0') || '/' || "
         "lpad(CAST(month(o.o_orderdate) AS STRING), 2, '0') || '/' || CAST(year(o.o_orderdate) AS STRING)")
 STANDINS["wf_profile_changes"] = f"""
-SELECT o.o_orderkey AS REQ_ID, o.o_orderkey AS IN_ID_SOLICITUD,
-  CASE WHEN o.o_orderpriority = '1-URGENT' THEN o.o_orderkey * {PARTY_STRIDE} ELSE NULL END AS IN_CUSTOMER_NO,
-  CASE o.o_orderpriority WHEN '1-URGENT' THEN NULL WHEN '2-HIGH' THEN {_core('C', 'o.o_custkey')}
-       ELSE CASE WHEN o.o_custkey % 2 = 0 THEN {_core('G', 'c.c_nationkey')} ELSE {_core('X', 'o.o_orderkey')} END END
+SELECT s.req AS REQ_ID, s.app AS IN_ID_SOLICITUD,
+  CASE WHEN s.v = 0 AND o.o_orderpriority = '1-URGENT' THEN s.app * {PARTY_STRIDE}
+       WHEN s.v IN (1, 3, 5, 8) THEN s.app * {PARTY_STRIDE} ELSE NULL END AS IN_CUSTOMER_NO,
+  CASE WHEN s.v = 1 OR s.v = 2 THEN {_core('Y', 'o.o_orderkey')} WHEN s.v = 3 THEN NULL WHEN s.v = 4 THEN {_core('C', 'o.o_custkey')}
+       WHEN s.v = 8 AND s.k = 0 THEN NULL WHEN s.v IN (5, 6, 8) THEN {_core('Z', 's.k')} WHEN s.v = 7 THEN {_core('W', 's.k')}
+       WHEN o.o_orderpriority = '1-URGENT' THEN NULL WHEN o.o_orderpriority = '2-HIGH' THEN {_core('C', 'o.o_custkey')}
+       WHEN o.o_custkey % 2 = 0 THEN {_core('G', 'c.c_nationkey')} ELSE {_core('X', 'o.o_orderkey')} END
     AS IN_CUSTOMER_NO_FCC,
   lower(c.c_name) || ' ltd' AS IN_CUSTOMER_NAME1, c.c_name || ' holding' AS IN_FULLNAME,
   CASE WHEN o.o_custkey % 2 = 0 THEN NULL ELSE 'short ' || CAST(o.o_custkey AS STRING) END AS IN_SHORT_NAME,
@@ -651,6 +669,5 @@ SELECT o.o_orderkey AS REQ_ID, o.o_orderkey AS IN_ID_SOLICITUD,
   CAST(CASE WHEN o.o_orderpriority = '3-MEDIUM' THEN 0 ELSE NULL END AS BIGINT) AS IN_MAIN_CUSTOMER,
   CAST(1 AS BIGINT) AS IN_CHK_CREATE_FCC, 'TC' || CAST(c.c_nationkey % 5 AS STRING) AS IN_TIPO_DE_CLIENTE,
   CAST(o.o_orderkey % 13 AS BIGINT) AS IN_GROUP_EXPIRATION_MONTH
-FROM {{orders}} o JOIN {{customer}} c ON c.c_custkey = o.o_custkey
-WHERE o.o_orderstatus = 'O' AND o.o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
+FROM {_SUBMISSIONS} s JOIN {{orders}} o ON o.o_orderkey = s.o_key JOIN {{customer}} c ON c.c_custkey = o.o_custkey
 """
