@@ -26,8 +26,8 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def placed(df: DataFrame) -> DataFrame:
-    """``df`` with ``place``: 0, 1, ... in the order its rows were written (part number, row within the file).
+def placed(df: DataFrame, name: str = "place") -> DataFrame:
+    """``df`` with ``name``: 0, 1, ... in the order its rows were written (part number, row within the file).
 
     Spark reads files packed by size, so the order is taken from the files themselves.  A frame that is not a plain read
     of Parquet files is landed first; ``_metadata`` below a query would tell the place in that query's input.
@@ -39,7 +39,7 @@ def placed(df: DataFrame) -> DataFrame:
     part = F.regexp_extract("__file", r"part-(\d+)-[^/]*$", 1).try_cast("long")
     # One row per file: the window and the broadcast are bounded by the number of files.
     before = sizes.select(F.col("__file").alias("__of"), (F.sum("__n").over(Window.orderBy(part, "__file")) - F.col("__n")).alias("__before"))
-    return rows.join(F.broadcast(before), F.col("__file") == F.col("__of")).select(*df.columns, (F.col("__before") + F.col("__row")).alias("place"))
+    return rows.join(F.broadcast(before), F.col("__file") == F.col("__of")).select(*df.columns, (F.col("__before") + F.col("__row")).alias(name))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def sample_bound(n: int, limit: int) -> int:
+    """Rows whose 62-bit hash is below this are about nine tenths of ``limit`` of ``n`` rows, whatever ``n``."""
+    return (9 * limit << 62) // (10 * n)
+
+
+def _hash62(key: str, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 2)
+
+
 def bounded_sample(df: DataFrame, key: str, limit: int, seed: int = 17) -> DataFrame:
     """At most ``limit`` rows, chosen by a hash of ``key``: the same rows whatever the partitioning.
 
@@ -65,5 +74,25 @@ def bounded_sample(df: DataFrame, key: str, limit: int, seed: int = 17) -> DataF
     n = df.count()
     if n <= limit:
         return df
-    share = int(0.9 * limit / n * 1_000_000)
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < share).limit(limit)
+    return df.filter(_hash62(key, seed) < F.lit(sample_bound(n, limit))).limit(limit)
+
+
+def shares(sizes: dict, limit: int) -> dict:
+    """How many rows each group may give: all of a small group, the same number of every larger one, ``limit`` together."""
+    out, left = {}, limit
+    for k, (group, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], str(x[0])))):
+        out[group] = min(n, left // (len(sizes) - k))
+        left -= out[group]
+    return out
+
+
+def even_sample(df: DataFrame, key: str, group: str, limit: int, most_groups: int = 200, seed: int = 17) -> DataFrame:
+    """At most ``limit`` rows, as evenly as may be from the groups (the ``most_groups`` largest), chosen by a hash of ``key``."""
+    sizes = {r[0]: r["n"] for r in df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(most_groups).collect()}
+    if not sizes:
+        return df
+    given = shares(sizes, limit)
+    rows = [(g, 1 << 62 if given[g] == n else sample_bound(n, given[g])) for g, n in sizes.items() if given[g]]
+    bounds = df.sparkSession.createDataFrame(rows, df.select(F.col(group).alias("__group")).schema.add("__bound", "long"))
+    hit = df.join(F.broadcast(bounds), F.col(group) == F.col("__group"))  # at most ``most_groups`` rows
+    return hit.filter(_hash62(key, seed) < F.col("__bound")).select(*df.columns).limit(limit)

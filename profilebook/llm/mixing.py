@@ -2,16 +2,17 @@
 
 Every source's documents, in an order drawn by a hash, are cut into blocks of ``BLOCK`` documents.  With target weight w
 the j-th block of a source is released at slot floor(j / w) and due at ceil((j + 1) / w); earliest-deadline-first over
-unit slots then keeps every source within less than one block of w * t at every slot t.  Weights are exact fractions and
-blocks are counted through, so nothing is rounded and nothing drifts.  The driver runs through the slots once and keeps
-only the number of blocks served by each source at the start of every piece of ``period`` slots; tasks repeat the pieces
-and write the slot of every block.  When a source is used up, the weights of the others are scaled up and a next phase
-begins in the next slot, so no document is left out; the deviation bound holds in each phase.
+unit slots then keeps every source within less than one block of w * t at every slot t.  Weights are whole numbers in the
+targets' exact proportion; after as many slots as their sum every source has exactly its share and the schedule repeats.
+So the driver runs through one such round at most (and through nothing behind the last block), and keeps the number of
+blocks served by each source at the start of every piece of ``period`` slots; tasks repeat the pieces and write the slot
+of every block.  When a source is used up, the weights of the others are scaled up and a next phase begins in the next
+slot, so no document is left out; the deviation bound holds in each phase.
 
 Target weights: given, or by default each source's share of documents to the power ``ALPHA`` (0.5), which lifts small
-sources (in millionths).  The number of sources must stay below ``MAX_SOURCES`` (the table of counts per source passes the driver); more
-raise an error.  Documents are numbered within a source by counting (source, hash part) groups first, so a hot source
-never meets in one task.
+sources, in millionths of the sum, so that a round has about a million slots.  The number of sources must stay below
+``MAX_SOURCES`` (the table of counts per source passes the driver); more raise an error.  Documents are numbered within
+their source by one range sort of narrow rows, which cuts a hot source over many parts; texts are not shuffled for it.
 
 Defined results: a null source is a source of its own (its target weight is looked up under None).  A source without a
 given target weight has weight 0 and comes after all others.  Null texts and ids take part like others.  Rows that are
@@ -26,16 +27,16 @@ import math
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilebook.llm.common import landed
+from profilebook.llm.common import landed, placed
 
 BLOCK = 64
 PERIOD = 1000
 ALPHA = 0.5
 MAX_SOURCES = 1_000
-PARTS = 256
+MOST_PIECES = 100_000
 
 
 def quotas(weights: dict, period: int) -> dict:
@@ -95,30 +96,51 @@ def pieces(blocks: dict, weights: dict, period: int = PERIOD) -> tuple[list, lis
     phases: list = []
     out: list = []
     at = 0
+    # The state of a piece holds a number per source: pieces are long enough that states stay far fewer than slots.
+    least = max(period, 16 * len(blocks), sum(blocks.values()) // MOST_PIECES)
     while left := [s for s in blocks if done[s] < blocks[s]]:
         live = sorted((s for s in left if weights.get(s, 0) > 0), key=str)
         names = live or sorted(left, key=str)
         shares = whole([weights[s] if live else 1 for s in names])
+        shares = [w * -(-least // sum(shares)) for w in shares]  # a round holds at least one piece
         phases.append((names, shares, [done[s] for s in names], at))
         room = [blocks[s] - done[s] for s in names]
-        served, t, over = [0] * len(names), 0, False
-        # The state of a piece holds a number per source: pieces are long enough that states stay far fewer than slots.
-        length = max(period, 16 * len(names))
-        slots = serve(shares, served, 0, sum(room))
-        while not over:
-            start, before = t, list(served)
-            for i in itertools.islice(slots, length):
-                t += 1
-                if served[i] == room[i]:
-                    over = True
+        end, states = one_round(shares, room, least)
+        cycle = sum(shares)
+        for start in range(0, end, cycle):
+            times = start // cycle
+            for k, before in states:
+                if start + k >= end:
                     break
-            out.append((len(phases) - 1, start, t, before))
+                out.append((len(phases) - 1, start + k, min(start + min(k + least, cycle), end), [times * w + n for w, n in zip(shares, before)]))
+        last = out[-1]
+        served = list(last[3])
+        for _ in serve(shares, served, last[1], last[2]):
+            pass
         for s, n in zip(names, served):
             done[s] += n
-        at += t
+        at += end
     return phases, out
 
 
+def one_round(shares: list[int], room: list[int], least: int) -> tuple[int, list]:
+    """The slot after which the first source has no block left, and (slot, blocks served before) every ``least`` slots of
+    the first round.  A round has as many slots as the sum of the shares; each further one repeats it."""
+    cycle, served, states = sum(shares), [0] * len(shares), []
+    # In a round source i has shares[i] blocks; its last one of all is number (room - 1) % shares of a round.
+    wanted = {(i, (r - 1) % w): (r - 1) // w for i, (r, w) in enumerate(zip(room, shares))}
+    end = None
+    for t, i in enumerate(serve(shares, served, 0, cycle)):
+        if t % least == 0:
+            states.append((t, [n - (k == i) for k, n in enumerate(served)]))
+        if (i, served[i] - 1) in wanted:
+            over = wanted[i, served[i] - 1] * cycle + t + 1
+            end = over if end is None else min(end, over)
+            if end <= t + 1:
+                break
+    return end, states
+
+
 def block_slots(spark: SparkSession, blocks: dict, weights: dict, period: int = PERIOD) -> DataFrame:
     """b_source, b_block, slot for every block."""
     phases, rows = pieces(blocks, weights, period)
@@ -141,32 +163,43 @@ def block_slots(spark: SparkSession, blocks: dict, weights: dict, period: int =
     return plan.mapInArrow(run, "b_source string, b_block long, slot long")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc (the row), source, n: the documents of each source numbered 0, 1, ... in hash order."""
-    d = docs.select(F.struct("*").alias("doc")).withColumn("source", F.col("doc.source"))
-    d = d.withColumn("h", F.xxhash64("doc.doc_id", "doc.text")).withColumn("part", F.pmod(F.shiftright("h", 40), F.lit(PARTS)).cast("int"))
-    sizes = d.groupBy("source", "part").agg(F.count("*").alias("size"))
-    before = sizes.select(F.col("source").alias("b_source"), F.col("part").alias("b_part"),
-                          (F.sum("size").over(Window.partitionBy("source").orderBy("part")) - F.col("size")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("source", "part").orderBy("h", F.col("doc.doc_id"))) - 1
-    d = d.withColumn("inside", inside)
-    return d.join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("part") == F.col("b_part"))).select(
-        "doc", "source", (F.col("before") + F.col("inside")).alias("n"))
+def source_key(source: Column) -> Column:
+    """The source as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def mix(docs: DataFrame, targets: dict | None = None, block: int = BLOCK, period: int = PERIOD, alpha: float = ALPHA) -> DataFrame:
-    """doc (the row), source, block (number within the source), slot (place of the block), place (order of the documents)."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """row_no (the row's number in ``placed(docs)``), doc_id, source, n: the documents of each source numbered 0, 1, ... in
+    hash order."""
+    rows = placed(docs, "__row_no").select(F.col("__row_no").alias("row_no"), "doc_id", "source", F.xxhash64("doc_id", "text").alias("h"))
+    # Landed before the range sort, whose sampling would read the texts a second time.
+    order = ["source", "h", "doc_id", "row_no"]
+    ranked = placed(landed(landed(rows, "mix-rows").repartitionByRange(*order).sortWithinPartitions(*order), "mix-order"))
+    first = ranked.groupBy(source_key(F.col("source")).alias("f_source")).agg(F.min("place").alias("first"))
+    return ranked.join(F.broadcast(first), source_key(F.col("source")) == F.col("f_source")).select(  # at most MAX_SOURCES rows
+        "row_no", "doc_id", "source", (F.col("place") - F.col("first")).alias("n"))
+
+
+def places(docs: DataFrame, targets: dict | None = None, block: int = BLOCK, period: int = PERIOD, alpha: float = ALPHA) -> DataFrame:
+    """row_no, doc_id, source, block (number within the source), slot (place of the block), place (order of the documents)."""
     counts = docs.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     size = {r["source"]: r["n"] for r in counts}
-    weights = targets if targets is not None else {s: Fraction(max(round(n ** alpha * 10 ** 6), 1), 10 ** 6) for s, n in size.items()}
+    total = sum(n ** alpha for n in size.values())
+    weights = targets if targets is not None else {s: max(round(n ** alpha / total * 10 ** 6), 1) for s, n in size.items()}
     blocks = {s: -(-n // block) for s, n in size.items()}
-    # Landed, so that the table's size is known: Spark broadcasts it while it is small and shuffles by block beyond that.
     slots = landed(block_slots(docs.sparkSession, blocks, weights, period), "slots")
     d = numbered(docs).withColumn("block", F.floor(F.col("n") / block))
-    d = d.join(slots, F.col("source").cast("string").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
-    return d.select("doc", "source", "block", "slot", (F.col("slot") * block + F.col("n") % block).alias("place"))
+    d = d.join(slots, (source_key(F.col("source")) == source_key(F.col("b_source"))) & (F.col("block") == F.col("b_block")))
+    return d.select("row_no", "doc_id", "source", "block", "slot", (F.col("slot") * block + F.col("n") % block).alias("place"))
+
+
+def mix(docs: DataFrame, targets: dict | None = None, block: int = BLOCK, period: int = PERIOD, alpha: float = ALPHA) -> DataFrame:
+    """doc (the row), source, block, slot, place: the whole rows join their places once."""
+    p = places(docs, targets, block, period, alpha).drop("doc_id")
+    rows = placed(docs, "__row_no").select(F.struct(*docs.columns).alias("doc"), "__row_no")
+    return rows.join(p, F.col("__row_no") == F.col("row_no")).select("doc", "source", "block", "slot", "place")
 
 
 def mixed(docs: DataFrame, targets: dict | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).select("doc.doc_id", "source", "block", "slot", "place")
+    return mixing.places(read(spark, sf_dir, "documents")).drop("row_no")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
