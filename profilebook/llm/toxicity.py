@@ -10,7 +10,8 @@ toxic ones cancel the matches inside them.  A text's evidence is the largest wei
 weights normalised by length; a logistic over both gives the score.
 
 Fitted on a bounded sample: at most ``TOXIC_SAMPLE`` texts of label 1 and ``CLEAN_SAMPLE`` of label 0 (all, when there
-are fewer), chosen by a hash of doc_id.  Scoring covers every row and whole texts; labels, lang, source and doc_id are no
+are fewer), chosen by a hash of doc_id.  Of the entries seen in at least ``MIN_DOCS`` toxic ones the 20 x ``MAX_TERMS``
+most frequent are candidates; the lexicon holds at most ``MAX_TERMS`` entries and as many exception phrases.  Scoring covers every row and whole texts; labels, lang, source and doc_id are no
 inputs.
 
 Defined results: a null text is the empty text; a text without matches gets the score of no evidence.  Null labels are
@@ -20,6 +21,8 @@ labels).  Extra columns are ignored.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import unicodedata
 import zlib
 
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilebook.llm.common import bounded_sample, fold, text_of
+from profilebook.llm.common import bounded_sample, fold, landed, text_of
 
 TOXIC_SAMPLE, CLEAN_SAMPLE = 6_000, 12_000
 MIN_DOCS, MIN_WEIGHT, STRONG, MAX_TERMS = 3, 2.5, 22.0, 2_000
@@ -96,7 +99,9 @@ def evidence(folded: str, automaton) -> tuple[float, float]:
             hits[begin] = max(weight, hits.get(begin, 0.0))
         else:
             spared.append((begin, end))
-    kept = [w for at, w in hits.items() if not any(b <= at < e for b, e in spared)]
+    spared.sort()
+    begins, furthest = [b for b, _ in spared], list(itertools.accumulate((e for _, e in spared), max))
+    kept = [w for at, w in hits.items() if not ((k := bisect.bisect_right(begins, at)) and furthest[k - 1] > at)]
     return max(kept, default=0.0), sum(kept) / np.log2(2 + folded.count(" "))
 
 
@@ -227,7 +232,9 @@ def _evidence_table(docs: DataFrame, lexicon: Lexicon, extra: str) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon:
     """Learn entries, exceptions and the logistic from labelled documents."""
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(_sample(labels, label)), "doc_id").select("y", "text")  # bounded sample
+    sample = F.broadcast(_sample(labels, label))  # at most TOXIC_SAMPLE + CLEAN_SAMPLE narrow rows
+    # Landed: the passes below read the sampled texts, not the corpus.
+    texts = landed(docs.select("doc_id", text_of().alias("text")).join(sample, "doc_id").select("y", "text"), "labelled")
     n = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
