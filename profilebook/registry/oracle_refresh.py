@@ -159,6 +159,11 @@ def _ctes() -> list[str]:
     ]
 
 
+#: Columns by which written tables are read back.
+WRITTEN = ["ID_SOLICITUD", "CUSTOMER_NO", "CUSTOMER_NO_FCC", "CUSTOMER_NAME1", "MAIN_CUSTOMER", "SHORT_NAME", "LIAB_ID",
+           "COUNTRIES_WHERE_OFFERS", "FECHA_KYC"]
+
+
 def oracle() -> dict[str, str]:
     w = with_tables(_T, _ctes(), profile=True)
     cols = ", ".join(standins.PROFILE_COLUMNS)
@@ -192,6 +197,13 @@ def oracle() -> dict[str, str]:
         "FROM cp WHERE PREV_SOLICITUD IS NOT NULL "
         f"UNION ALL SELECT '3. DESPUES DE UPDATE ' || CAST(NEW_NO AS VARCHAR) || '-' || CORE_ID, "
         f"' CUSTOMER ANT. ' || CAST(PREV_CUSTOMER_NO AS VARCHAR), {AS_OF} FROM cp WHERE PREV_SOLICITUD IS NOT NULL")
+    written = ", ".join(WRITTEN)
+    q["slice_overwrite"] = w + (f"SELECT {written} FROM fin UNION ALL SELECT {written} FROM profile p WHERE NOT EXISTS ("
+                                "SELECT 1 FROM apps WHERE apps.app = p.ID_SOLICITUD)")
+    q["append_children"] = w + (
+        "SELECT ID_CAMPO, ID_TIPO_CAMPO, nullif(DESCRIPCION1, '') AS DESCRIPCION1, nullif(DESCRIPCION2, '') AS DESCRIPCION2, "
+        "CUSTOMER_NO, ID_SOLICITUD FROM wf_multi_values UNION ALL "
+        "SELECT ID_CAMPO, ID_TIPO_CAMPO, DESCRIPCION1, DESCRIPCION2, CUSTOMER_NO, ID_SOLICITUD FROM children")
     q["conditional_child_address"] = w + (
         "SELECT m.CUSTOMER_NO, CASE WHEN m.DEFAULT_MEDIA IN ('FAX', 'SWIFT') THEN a.a1 ELSE m.ADDRESS_LINE1 END AS POSTALALINE1, "
         "CASE WHEN m.DEFAULT_MEDIA IN ('FAX', 'SWIFT') THEN a.a2 ELSE m.ADDRESS_LINE2 END AS POSTALALINE2, "

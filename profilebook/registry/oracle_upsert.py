@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from profilebook.plans.profile_rules import INSERT_RULES, PARAMETER_DEFAULTS, PARAMETERS, UPDATE_RULES
+from profilebook.registry.oracle_refresh import WRITTEN
 from profilebook.registry.sqlkit import recursive, with_tables
 from profilebook.sources import standins
 
@@ -79,8 +80,8 @@ def _ctes() -> list[str]:
     return [chg, ex, rq, call, hits, ins, m]
 
 
-def _touched() -> str:
-    """The rows as the calls leave them: the last call writes the row, a kept column takes the last value given."""
+def _touched() -> tuple[str, str]:
+    """Tables, and the select over them, of the rows as the calls leave them: the last call writes the row, a kept column takes the last value given."""
     upd = {r[0]: r for r in UPDATE_RULES}
     ins = {r[0]: r for r in INSERT_RULES}
     kept = [c for c, r in upd.items() if r[2] in ("keep", "keep_upper")]
@@ -92,7 +93,7 @@ def _touched() -> str:
     ucols = ", ".join((f"coalesce(u.g_{col}, o.{col})" if col in kept else _val(upd[col], None) if col in upd else f"o.{col}") + f" AS {col}"
                       for col in standins.PROFILE_COLUMNS)
     names = ", ".join("o." + col for col in standins.PROFILE_COLUMNS)
-    return (f", {before}, {last} SELECT {ucols} FROM before o JOIN last u ON u.ID_SOLICITUD = o.ID_SOLICITUD AND u.CUSTOMER_NO = o.CUSTOMER_NO "
+    return f", {before}, {last}", (f"SELECT {ucols} FROM before o JOIN last u ON u.ID_SOLICITUD = o.ID_SOLICITUD AND u.CUSTOMER_NO = o.CUSTOMER_NO "
             f"JOIN chg c ON c.REQ_ID = u.REQ_ID UNION ALL SELECT {names} FROM before o JOIN ins i ON i.NEW_NO = o.CUSTOMER_NO "
             "WHERE NOT EXISTS (SELECT 1 FROM last u WHERE u.ID_SOLICITUD = o.ID_SOLICITUD AND u.CUSTOMER_NO = o.CUSTOMER_NO)")
 
@@ -104,7 +105,12 @@ def oracle() -> dict[str, str]:
         "SELECT c.REQ_ID, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.REQ_ID = c.REQ_ID) THEN 'ACTUALIZADO' ELSE 'INSERTADO' END "
         "AS RESULTADO, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.REQ_ID = c.REQ_ID) THEN CAST(c.IN_CUSTOMER_NO AS BIGINT) "
         "ELSE (SELECT i.NEW_NO FROM ins i WHERE i.REQ_ID = c.REQ_ID) END AS CUSTOMER_NO FROM chg c")
-    q["upsert_null_preserving"] = w.rstrip() + _touched()
+    tables, select = _touched()
+    q["upsert_null_preserving"] = f"{w.rstrip()}{tables} {select}"
+    written = ", ".join(WRITTEN)
+    q["upsert_written"] = f"{w.rstrip()}{tables}, after AS ({select}) SELECT {written} FROM after UNION ALL SELECT {written} FROM profile p " + (
+        "WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.ID_SOLICITUD = p.ID_SOLICITUD AND m.CUSTOMER_NO = p.CUSTOMER_NO)")
+    q["append_results"] = q["upsert_profiles"]
     q["either_key_match"] = w + "SELECT REQ_ID, ID_SOLICITUD, CUSTOMER_NO FROM m"
     q["exists_flag"] = w + "SELECT REQ_ID, IN_CUSTOMER_NO_FCC, EXISTE AS ID_EXISTE_FCC FROM chg"
     q["assign_keys"] = w + "SELECT REQ_ID, NEW_NO AS CUSTOMER_NO FROM ins"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from profilebook.plans import catalog as catplan
 from profilebook.plans import basics, columns, creation, export, master, refresh, search, upsert
+from profilebook.plans.writes import ProfileTables
 from profilebook.sources.catalog import Catalog
 from pyspark.sql import functions as F
 
@@ -115,7 +116,12 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         (F.col("ID_SOLICITUD") == F.col("__a")) & (F.col("CUSTOMER_NO_FCC") == F.col("__c")), "left_semi").select(
         "ID_SOLICITUD", "CUSTOMER_NO", "COUNTRIES_WHERE_OFFERS")),
     "append_rows": _q(lambda c: _refresh(c).snapshot_apps.select("ID_SOLICITUD", "CUSTOMER_NO", "CUSTOMER_NO_FCC", "MODE")),
-    "audit_rows": _q(lambda c: _refresh(c).audit),
+    # tables written by the jobs, each run twice under one name, read back
+    "audit_rows": _q(lambda c: _refreshed_tables(c).audit.read()),
+    "slice_overwrite": _q(lambda c: _refreshed_tables(c).profile.read().select(*_WRITTEN)),
+    "append_children": _q(lambda c: _refreshed_tables(c).values.read()),
+    "upsert_written": _q(lambda c: _upserted_tables(c).profile.read().select(*_WRITTEN)),
+    "append_results": _q(lambda c: _upserted_tables(c).results.read()),
     "conditional_child_address": _q(refresh.master_addresses),
     # generic operators
     "project_rename": _q(basics.project_rename),
@@ -159,6 +165,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _STATUS = ["ID_SOLICITUD", "CUSTOMER_NO", "ID_CUSTOMER_FCC", "ID_STATUS_FCC", "MSG_ERROR_FCC", "FECHA_CREACION_CLIENTE",
            "INCEPTION_DATE"]
+_WRITTEN = ["ID_SOLICITUD", "CUSTOMER_NO", "CUSTOMER_NO_FCC", "CUSTOMER_NAME1", "MAIN_CUSTOMER", "SHORT_NAME", "LIAB_ID",
+            "COUNTRIES_WHERE_OFFERS", "FECHA_KYC"]
 _CAND = ["ID_SOLICITUD", "CORE_ID", "LIABILITY_NO", "GROUP_CODE", "MAIN_ID", "NEW_NO"]
 
 
@@ -181,6 +189,20 @@ def _upsert(c: Catalog):
 
 
 
+def _refreshed_tables(c: Catalog) -> ProfileTables:
+    t = ProfileTables(c, f"{c.land_dir}/refreshed")
+    for _ in range(2):
+        t.refresh(c.table("wf_refresh_request"), F.lit(AS_OF).cast("timestamp_ntz"), "refresh 1")
+    return t
+
+
+def _upserted_tables(c: Catalog) -> ProfileTables:
+    t = ProfileTables(c, f"{c.land_dir}/upserted")
+    for _ in range(2):
+        t.upsert(c.table("wf_profile_changes"), F.lit(AS_OF).cast("timestamp_ntz"), "upsert 1")
+    return t
+
+
 def _stream(c: Catalog):
     """Run T1 + T2 over the status events delivered as files (out of order, with re-sends)."""
     import uuid

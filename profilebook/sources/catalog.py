@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +88,12 @@ class Catalog:
             self._tables[name] = raw if self.land else normalise_empty(raw)
         return self._tables[name]
 
+    def replaced(self, **tables: DataFrame) -> Catalog:
+        """A catalog that answers these tables with the given frames and all others as this one."""
+        out = copy.copy(self)
+        out._tables = {**self._tables, **tables}
+        return out
+
     def land_all(self) -> None:
         for name in standins.STANDINS:
             self.table(name)
