@@ -8,12 +8,15 @@ functions inline; here each runs alone so it can be checked and timed.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilebook.functions import dates
 from profilebook.functions.nulls import ne_or_null, nvl_in
 from profilebook.operators.aggregates import first_per_key
+from profilebook.operators.guards import ROWS_FOUND, scalar_lookup
 from profilebook.operators.joins import not_in
 from profilebook.operators.lookups import Lookup, lookups
 from profilebook.plans import creation
@@ -153,14 +156,9 @@ def lookup_prefer(cat: Catalog) -> DataFrame:
 
 
 def lookup_scalar(cat: Catalog) -> DataFrame:
-    """Correlated scalar lookup; a key with two rows is an error in the
-    reference, so uniqueness is asserted before joining."""
-    lang = cat.table("fcc_language")
-    dup = lang.groupBy("LANG_CODE").count().filter("count > 1").limit(1).count()
-    if dup:
-        raise ValueError("SMTB_LANGUAGE has a language code on more than one row")
+    """Correlated scalar lookup; the plan raises when a row asks for a key with several rows, as the reference does."""
     p = cat.profile().select(*KEY, "LANGUAGEID")
-    return lookups(p, [Lookup(lang, ["LANGUAGEID"], ["LANG_CODE"], {"LANGUAGEID_DESC": "LANG_NAME"})])
+    return scalar_lookup(p, "LANGUAGEID", cat.table("fcc_language"), "LANG_CODE", {"LANGUAGEID_DESC": "LANG_NAME"}).drop(ROWS_FOUND)
 
 
 def lookup_fallback(cat: Catalog) -> DataFrame:
@@ -233,6 +231,10 @@ def first_of_many(cat: Catalog) -> DataFrame:
 
 
 def add_columns(cat: Catalog) -> DataFrame:
-    """A profile written before the two schema changes, read with the new columns."""
-    old = cat.profile().drop(*schema.PROFILE_ADDED_COLUMNS)
-    return schema.evolve(old, schema.PROFILE_ADDED_COLUMNS).select(*KEY, *schema.PROFILE_ADDED_COLUMNS)
+    """A table whose first files were written before the two schema changes, and others after."""
+    p = cat.profile().select(*KEY, *schema.PROFILE_ADDED_COLUMNS)
+    early = F.col("ID_SOLICITUD") % 2 == 0
+    with schema.EvolvingTable(cat.spark, p.filter(early).select(*KEY), f"{cat.land_dir}/evolving-{uuid.uuid4().hex}") as t:
+        t.add_columns(schema.PROFILE_ADDED_COLUMNS)
+        t.append(p.filter(~early))
+        return t.read()

@@ -92,9 +92,9 @@ def oracle() -> dict[str, str]:
     q["sort_main_first"] = _p(f"SELECT {K}, MAIN_CUSTOMER FROM profile ORDER BY MAIN_CUSTOMER DESC NULLS FIRST, {K}")
     q["first_of_many"] = _p("SELECT ID_SOLICITUD, min(CUSTOMER_NO) AS CUSTOMER_NO, arg_min(CUSTOMER_NO_FCC, CUSTOMER_NO) "
                             "AS CUSTOMER_NO_FCC FROM profile WHERE MAIN_CUSTOMER = 1 GROUP BY 1")
-    q["add_columns"] = _p(f"SELECT {K}, CAST(NULL AS INT) AS GROUP_EXPIRATION_MONTH, CAST(NULL AS VARCHAR) AS PROJECT_FINANCE, "
-                          "CAST(NULL AS DECIMAL(38,10)) AS PROBABILITY_DEFAULT, CAST(NULL AS DECIMAL(38,10)) AS LOSS_GIVEN_DEFAULT "
-                          "FROM profile")
+    added = ", ".join(f"CASE WHEN ID_SOLICITUD % 2 = 0 THEN NULL ELSE {c} END AS {c}" for c in (
+        "GROUP_EXPIRATION_MONTH", "PROJECT_FINANCE", "PROBABILITY_DEFAULT", "LOSS_GIVEN_DEFAULT"))
+    q["add_columns"] = _p(f"SELECT {K}, {added} FROM profile")
     q["param_broadcast"] = _p(
         "SELECT p.ID_SOLICITUD, p.CUSTOMER_NO, CASE WHEN coalesce(i.PURPOSE_ID, 0) = 7 THEN 'NA' ELSE p.RELATIONTYPE END "
         "AS RELATION_TYPE FROM profile p LEFT JOIN (SELECT ID_SOLICITUD, min(PURPOSE_ID) AS PURPOSE_ID FROM "

@@ -7,21 +7,26 @@ from profilebook.registry.sqlkit import listagg, ncat, with_tables
 AS_OF_DATE = "DATE '2024-02-01'"
 
 
-def _ids(scope_cte: str, src: str = "profile") -> list[str]:
-    """W2 + W3 over the applications of ``scope`` (CTE with column app)."""
-    return [
-        f"base AS (SELECT coalesce(max(CASE WHEN regexp_full_match(ID_CUSTOMER_FCC, 'CUS[0-9]{{13}}') "
-        f"THEN CAST(substr(ID_CUSTOMER_FCC, 4) AS BIGINT) END), 0) AS b FROM profile)",
-        f"n1 AS (SELECT p.ID_SOLICITUD, p.CUSTOMER_NO, (SELECT b FROM base) + row_number() OVER (ORDER BY p.ID_SOLICITUD, "
-        f"p.CUSTOMER_NO) AS n FROM {src} p JOIN {scope_cte} s ON s.app = p.ID_SOLICITUD WHERE p.ID_CUSTOMER_FCC IS NULL)",
-        f"p1 AS (SELECT p.* REPLACE (coalesce('CUS' || lpad(CAST(n1.n AS VARCHAR), 13, '0'), p.ID_CUSTOMER_FCC) "
-        f"AS ID_CUSTOMER_FCC) FROM {src} p LEFT JOIN n1 USING (ID_SOLICITUD, CUSTOMER_NO))",
-        f"n2 AS (SELECT p.ID_SOLICITUD, p.CUSTOMER_NO, coalesce((SELECT max(n) FROM n1), (SELECT b FROM base)) + "
-        f"row_number() OVER (ORDER BY p.ID_SOLICITUD, p.CUSTOMER_NO) AS n FROM p1 p JOIN {scope_cte} s ON s.app = p.ID_SOLICITUD "
-        f"WHERE p.ID_EXISTE_FCC = '0' AND coalesce(p.ID_STATUS_FCC, 0) = 0 AND p.CHK_CREATE_FCC = 1)",
-        "ready AS (SELECT p.* REPLACE (coalesce('CUS' || lpad(CAST(n2.n AS VARCHAR), 13, '0'), p.ID_CUSTOMER_FCC) "
-        "AS ID_CUSTOMER_FCC) FROM p1 p LEFT JOIN n2 USING (ID_SOLICITUD, CUSTOMER_NO))",
-    ]
+def ids_cte(scope: str = "true") -> str:
+    """W2 + W3 in one pass over the keys: ``ids`` (ID_SOLICITUD, CUSTOMER_NO, FIRST_ID after W2, NEW_ID after W3).
+
+    Numbers go on from the largest issued one, first for rows without an id, then for failed ones, each in key order."""
+    failed = "ID_EXISTE_FCC = '0' AND coalesce(ID_STATUS_FCC, 0) = 0 AND CHK_CREATE_FCC = 1"
+    number = "'CUS' || lpad(CAST({} AS VARCHAR), 13, '0')"
+    return (
+        "ids AS MATERIALIZED (SELECT ID_SOLICITUD, CUSTOMER_NO, "
+        f"CASE WHEN missing THEN {number.format('issued + m_before')} ELSE ID_CUSTOMER_FCC END AS FIRST_ID, "
+        f"CASE WHEN failed THEN {number.format('issued + m_all + f_before')} WHEN missing THEN {number.format('issued + m_before')} "
+        "ELSE ID_CUSTOMER_FCC END AS NEW_ID FROM (SELECT *, count(*) FILTER (missing) OVER so_far AS m_before, "
+        "count(*) FILTER (failed) OVER so_far AS f_before, count(*) FILTER (missing) OVER () AS m_all, "
+        "coalesce(max(CASE WHEN regexp_full_match(ID_CUSTOMER_FCC, 'CUS[0-9]{13}') THEN CAST(substr(ID_CUSTOMER_FCC, 4) AS BIGINT) END) OVER (), 0) AS issued "
+        f"FROM (SELECT ID_SOLICITUD, CUSTOMER_NO, ID_CUSTOMER_FCC, ({scope}) AND ID_CUSTOMER_FCC IS NULL AS missing, "
+        f"({scope}) AND coalesce({failed}, false) AS failed FROM profile) "
+        "WINDOW so_far AS (ORDER BY ID_SOLICITUD, CUSTOMER_NO)))")
+
+
+def _ready(src: str = "profile") -> str:
+    return f"ready AS (SELECT p.* REPLACE (ids.NEW_ID AS ID_CUSTOMER_FCC) FROM {src} p JOIN ids USING (ID_SOLICITUD, CUSTOMER_NO))"
 
 
 def _td(col: str) -> str:
@@ -43,7 +48,7 @@ def oracle() -> dict[str, str]:
     dir_item = ncat("NAME", "' ('", "POSITION", "')'")
     ctes = [
         "info AS (SELECT ID_SOLICITUD AS app, min(coalesce(PURPOSE_ID, 0)) AS purpose FROM wf_lmt_customer_info GROUP BY 1)",
-        *_ids("info"),
+        ids_cte("ID_SOLICITUD IN (SELECT app FROM info)"), _ready(),
         "mc AS (SELECT ID_SOLICITUD, arg_min(CUSTOMER_NO_FCC, CUSTOMER_NO) AS core FROM profile "
         "WHERE MAIN_CUSTOMER = 1 AND RELACIONADO IS NULL GROUP BY 1)",
         "ct AS (SELECT ID_SOLICITUD, CUSTOMER_NO, max(CASE WHEN rn = 1 THEN t END) AS C1, max(CASE WHEN rn = 2 THEN t END) AS C2, "
@@ -119,7 +124,7 @@ WHERE (CUST.ID_EXISTE_FCC = '0' OR CUST.ID_EXISTE_FCC IS NULL) AND coalesce(CUST
         "AS CUSTOMER_CATEGORY, CASE WHEN p.LMT_CUSTOMER_TYPE = 'G' AND tm.ID_SOLICITUD IS NOT NULL THEN tm.i ELSE p.INDUSTRY END "
         "AS INDUSTRY, CASE WHEN p.LMT_CUSTOMER_TYPE = 'G' AND tm.ID_SOLICITUD IS NOT NULL THEN DATE '1990-01-01' ELSE p.FECHA_KYC END "
         "AS FECHA_KYC) FROM profile p LEFT JOIN tm ON tm.ID_SOLICITUD = p.ID_SOLICITUD)",
-        *_ids("scope", src="copied"),
+        ids_cte("ID_SOLICITUD IN (SELECT app FROM scope)"), _ready("copied"),
         "mv AS (SELECT ID_SOLICITUD, arg_min(ACCOUNT_OFFICERID, CUSTOMER_NO) AS o, arg_min(LOCATIONID, CUSTOMER_NO) AS l, "
         "arg_min(RESIDENCELOCATIONID, CUSTOMER_NO) AS r FROM profile WHERE MAIN_CUSTOMER = 1 GROUP BY 1)",
     ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from profilebook.plans.profile_rules import INSERT_RULES, PARAMETER_DEFAULTS, PARAMETERS, UPDATE_RULES
+from profilebook.registry.oracle_export import ids_cte
 from profilebook.registry.oracle_refresh import WRITTEN
 from profilebook.registry.sqlkit import recursive, with_tables
 from profilebook.sources import standins
@@ -98,6 +99,13 @@ def _touched() -> tuple[str, str]:
             "WHERE NOT EXISTS (SELECT 1 FROM last u WHERE u.ID_SOLICITUD = o.ID_SOLICITUD AND u.CUSTOMER_NO = o.CUSTOMER_NO)")
 
 
+def after_sql() -> str:
+    """Tables of the calls and ``after``: the rows they leave."""
+    tables, select = _touched()
+    head = recursive(with_tables(["wf_profile_changes", "fcc_customer"], _ctes(), profile=True)).rstrip()
+    return f"{head}{tables}, after AS ({select}) "
+
+
 def oracle() -> dict[str, str]:
     q: dict[str, str] = {}
     w = recursive(with_tables(["wf_profile_changes", "fcc_customer"], _ctes(), profile=True))
@@ -108,7 +116,7 @@ def oracle() -> dict[str, str]:
     tables, select = _touched()
     q["upsert_null_preserving"] = f"{w.rstrip()}{tables} {select}"
     written = ", ".join(WRITTEN)
-    q["upsert_written"] = f"{w.rstrip()}{tables}, after AS ({select}) SELECT {written} FROM after UNION ALL SELECT {written} FROM profile p " + (
+    q["upsert_written"] = f"{after_sql()}SELECT {written} FROM after UNION ALL SELECT {written} FROM profile p " + (
         "WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.ID_SOLICITUD = p.ID_SOLICITUD AND m.CUSTOMER_NO = p.CUSTOMER_NO)")
     q["append_results"] = q["upsert_profiles"]
     q["either_key_match"] = w + "SELECT REQ_ID, ID_SOLICITUD, CUSTOMER_NO FROM m"
@@ -141,18 +149,7 @@ def oracle() -> dict[str, str]:
         "CASE WHEN mn.ID_SOLICITUD IS NOT NULL THEN mn.i ELSE p.INDUSTRY END AS INDUSTRY, "
         "CASE WHEN mn.ID_SOLICITUD IS NOT NULL THEN DATE '1990-01-01' ELSE p.FECHA_KYC END AS FECHA_KYC "
         "FROM profile p LEFT JOIN mn ON mn.ID_SOLICITUD = p.ID_SOLICITUD WHERE p.LMT_CUSTOMER_TYPE = 'G'")
-    base = ("base AS (SELECT coalesce(max(CASE WHEN regexp_full_match(ID_CUSTOMER_FCC, 'CUS[0-9]{13}') "
-            "THEN CAST(substr(ID_CUSTOMER_FCC, 4) AS BIGINT) END), 0) AS b FROM profile)")
-    n1 = ("n1 AS (SELECT ID_SOLICITUD, CUSTOMER_NO, (SELECT b FROM base) + row_number() OVER (ORDER BY ID_SOLICITUD, CUSTOMER_NO) "
-          "AS n FROM profile WHERE ID_CUSTOMER_FCC IS NULL)")
-    p1 = ("p1 AS (SELECT p.*, coalesce('CUS' || lpad(CAST(n1.n AS VARCHAR), 13, '0'), p.ID_CUSTOMER_FCC) AS NEW_ID "
-          "FROM profile p LEFT JOIN n1 USING (ID_SOLICITUD, CUSTOMER_NO))")
-    n2 = ("n2 AS (SELECT ID_SOLICITUD, CUSTOMER_NO, coalesce((SELECT max(n) FROM n1), (SELECT b FROM base)) + "
-          "row_number() OVER (ORDER BY ID_SOLICITUD, CUSTOMER_NO) AS n FROM p1 WHERE ID_EXISTE_FCC = '0' "
-          "AND coalesce(ID_STATUS_FCC, 0) = 0 AND CHK_CREATE_FCC = 1)")
-    q["fill_missing_ids"] = with_tables([], [base, n1, p1], profile=True) + (
-        "SELECT ID_SOLICITUD, CUSTOMER_NO, NEW_ID AS ID_CUSTOMER_FCC FROM p1")
-    q["reissue_failed_ids"] = with_tables([], [base, n1, p1, n2], profile=True) + (
-        "SELECT p1.ID_SOLICITUD, p1.CUSTOMER_NO, coalesce('CUS' || lpad(CAST(n2.n AS VARCHAR), 13, '0'), p1.NEW_ID) "
-        "AS ID_CUSTOMER_FCC FROM p1 LEFT JOIN n2 USING (ID_SOLICITUD, CUSTOMER_NO)")
+    ids = with_tables([], [ids_cte()], profile=True)
+    q["fill_missing_ids"] = ids + "SELECT ID_SOLICITUD, CUSTOMER_NO, FIRST_ID AS ID_CUSTOMER_FCC FROM ids"
+    q["reissue_failed_ids"] = ids + "SELECT ID_SOLICITUD, CUSTOMER_NO, NEW_ID AS ID_CUSTOMER_FCC FROM ids"
     return q

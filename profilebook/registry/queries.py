@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from profilebook.plans import catalog as catplan
-from profilebook.plans import basics, columns, creation, export, master, refresh, search, upsert
+from profilebook.plans import basics, checks, columns, creation, export, master, refresh, search, upsert
 from profilebook.plans.writes import ProfileTables
 from profilebook.sources.catalog import Catalog
 from pyspark.sql import functions as F
@@ -154,6 +154,14 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "add_columns": _q(basics.add_columns),
     "param_broadcast": _q(columns.relation_by_purpose),
     "sort_multi": _q(master.directors_sorted),
+    # rejects, changes and action codes
+    "date_rejects": _q(checks.date_rejects),
+    "date_checked": _q(checks.date_checked),
+    "main_rejects": _q(lambda c: checks.main_rejects(_upsert(c).snapshot)),
+    "lookup_scalar_rejects": _q(checks.several_field_records),
+    "description_rejects": _q(checks.description_rejects),
+    "profile_changes": _q(checks.profile_changes),
+    "action_rows": _q(lambda c: checks.action_rows(c, F.lit(AS_OF).cast("timestamp_ntz"))),
     # streams (T1, T2)
     "stream_status": _q(lambda c: _stream(c).touched().select(*_STATUS)),
     "stream_completeness": _q(lambda c: _stream(c).counts()),

@@ -62,11 +62,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
+def landed(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder (in folders by the columns ``by``) and read back.
 
     Lineage ends there, any executor can read it, and plans over it know its true size (a checkpoint keeps an estimate).
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*(by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,9 @@
-"""Schema helpers: projection with renames, schema evolution (S8), snapshot writes."""
+"""Schema helpers: projection with renames, schema evolution."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +30,30 @@ def evolve(df: DataFrame, added: dict[str, str]) -> DataFrame:
     return out
 
 
-def alter_add_columns(spark: SparkSession, table: str, added: dict[str, str]) -> None:
-    """S8 on a catalog table: ``ALTER TABLE t ADD COLUMNS (...)`` (parquet supports it)."""
-    cols = ", ".join(f"{n} {t}" for n, t in added.items())
-    spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({cols})")
+class EvolvingTable:
+    """S8 on a table of the session's catalog: ``ALTER TABLE ... ADD COLUMNS`` over files that stay as they are.
+
+    Files written before read NULL in the new columns.  The name is dropped on exit; the files stay.
+    """
 
+    def __init__(self, spark: SparkSession, rows: DataFrame, path: str):
+        self.spark, self.path, self.name = spark, path, f"evolving_{uuid.uuid4().hex}"
+        rows.write.parquet(path)
 
-def write_snapshot(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write a new table snapshot partitioned by an application bucket.
+    def __enter__(self) -> EvolvingTable:
+        self.spark.catalog.createTable(self.name, self.path, "parquet")
+        return self
 
-    Changed applications only rewrite their buckets when the session uses
-    ``spark.sql.sources.partitionOverwriteMode=dynamic``.
-    """
-    (df.withColumn("APP_BUCKET", F.pmod(F.xxhash64("ID_SOLICITUD"), F.lit(buckets)))
-       .repartition("APP_BUCKET").write.mode("overwrite").partitionBy("APP_BUCKET").parquet(path))
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+
+    def add_columns(self, added: dict[str, str]) -> None:
+        cols = ", ".join(f"{n} {t}" for n, t in added.items())
+        self.spark.sql(f"ALTER TABLE {self.name} ADD COLUMNS ({cols})")
+
+    def append(self, rows: DataFrame) -> None:
+        rows.select(*self.spark.table(self.name).columns).write.mode("append").insertInto(self.name)
+
+    def read(self) -> DataFrame:
+        """The whole table: the catalog's schema over all files."""
+        return self.spark.read.schema(self.spark.table(self.name).schema).parquet(self.path)

@@ -666,7 +666,7 @@ SELECT s.req AS REQ_ID, s.app AS IN_ID_SOLICITUD,
   {_DMY} AS IN_FECHA_KYC,
   CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) AS STRING) AS IN_NETWORTH, 'NYR-' || c.c_mktsegment AS IN_AML_RATINGID_NY,
   CASE WHEN o.o_custkey % 2 = 0 THEN '1' ELSE '0' END AS IN_NY_AGENCY,
-  CAST(CASE WHEN o.o_orderpriority = '3-MEDIUM' THEN 0 ELSE NULL END AS BIGINT) AS IN_MAIN_CUSTOMER,
+  CAST(CASE WHEN s.v IN (4, 7) THEN 1 WHEN o.o_orderpriority = '3-MEDIUM' THEN 0 ELSE NULL END AS BIGINT) AS IN_MAIN_CUSTOMER,
   CAST(1 AS BIGINT) AS IN_CHK_CREATE_FCC, 'TC' || CAST(c.c_nationkey % 5 AS STRING) AS IN_TIPO_DE_CLIENTE,
   CAST(o.o_orderkey % 13 AS BIGINT) AS IN_GROUP_EXPIRATION_MONTH
 FROM {_SUBMISSIONS} s JOIN {{orders}} o ON o.o_orderkey = s.o_key JOIN {{customer}} c ON c.c_custkey = o.o_custkey
