@@ -1,9 +1,8 @@
 """Core-banking master views (actions 9, 11-15, 17; D17, D19-D23, D25).
 
 The master and its satellites (corporate data, user fields, MIS defaults)
-are all keyed by the 9-character core id, so the star joins co-partition on
-that one key: each large side is shuffled once and the joins chain without
-re-shuffling; code lists join by checked broadcast.
+are all keyed by the 9-character core id and landed in buckets of it, so the
+star joins need no shuffle; code lists join by checked broadcast.
 """
 
 from __future__ import annotations
@@ -30,13 +29,15 @@ def field_catalogue(cat: Catalog, function_id: str = CIF_FUNCTION) -> DataFrame:
 
 def cif_fields(cat: Catalog) -> DataFrame:
     """User-field record of each core id (function STDCIF, 9-char key prefix, J4)."""
-    u = cat.table("fcc_userdef").filter(F.col("FUNCTION_ID") == CIF_FUNCTION)
-    return u.withColumn("__udf_core", F.substring("REC_KEY", 1, 9))
+    return cat.cif_fields().withColumnRenamed("CORE_ID", "__udf_core")
 
 
-def _star(cat: Catalog, auth: tuple[str, ...]) -> DataFrame:
-    """Master + corporate + user fields + MIS defaults, all by core id."""
+def _star(cat: Catalog, auth: tuple[str, ...], cores: DataFrame | None = None) -> DataFrame:
+    """Master + corporate + user fields + MIS defaults, all by core id; only the customers of ``cores`` (CORE_ID) when
+    given.  The landed tables are bucketed by that id: nothing is shuffled."""
     m = cat.master().filter(F.col("AUTH_STAT").isin(*auth) & (F.col("RECORD_STAT") == "O"))
+    if cores is not None:
+        m = m.join(bounded_broadcast(cores), F.col("CUSTOMER_NO") == F.col("CORE_ID"), "left_semi")
     corp = cat.table("fcc_corporate").withColumnRenamed("CUSTOMER_NO", "__corp_no")
     mit = cat.table("fcc_mis_default")
     j = m.join(corp, F.col("CUSTOMER_NO") == F.col("__corp_no"), "left")

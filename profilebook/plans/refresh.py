@@ -29,6 +29,7 @@ from profilebook.operators.lookups import Lookup, lookups
 from profilebook.plans import refresh_rules as R
 from profilebook.plans.master import _star, cif_fields
 from profilebook.plans.search import latest_application
+from profilebook.session import landed
 from profilebook.sources.catalog import Catalog
 
 KEY = ["ID_SOLICITUD", "CUSTOMER_NO"]
@@ -78,14 +79,16 @@ def master_addresses(cat: Catalog) -> DataFrame:
                                      ((1, "POSTALALINE1"), (2, "POSTALALINE2"), (3, "POSTALALINE3"), (4, "POSTALACITY"))])
 
 
-def _load_star(cat: Catalog) -> DataFrame:
-    star = _star(cat, ("U", "A"))
+def _load_star(cat: Catalog, cores: DataFrame) -> DataFrame:
+    """The master star of the customers in ``cores``, restricted before its satellites are joined."""
+    star = _star(cat, ("U", "A"), cores)
     cp = cat.table("fcc_personal").select(F.col("CUSTOMER_NO").alias("__cp_no"), "TELEPHONE", "FAX", "E_MAIL")
     star = star.join(cp, F.col("CUSTOMER_NO") == F.col("__cp_no"), "left")
     star = star.join(mail_addresses(cat), F.col("CUSTOMER_NO") == F.col("__addr_no"), "left")
-    iclass = cat.table("fcc_userdef").select(F.col("REC_KEY").alias("__ic_key"), F.col("FIELD_VAL_1").alias("__iclass"))
-    iclass = iclass.groupBy("__ic_key").agg(F.min("__iclass").alias("__iclass"))
-    star = star.join(iclass, F.concat(F.col("CUSTOMER_NO"), F.lit("~")) == F.col("__ic_key"), "left")
+    # the record keyed "<core id>~", by its core id: the star keeps its partitioning
+    u = cat.table("fcc_userdef").filter(F.col("REC_KEY").endswith("~"))
+    iclass = u.groupBy(F.expr("left(REC_KEY, length(REC_KEY) - 1)").alias("__ic_core")).agg(F.min("FIELD_VAL_1").alias("__iclass"))
+    star = star.join(iclass, F.col("CUSTOMER_NO") == F.col("__ic_core"), "left")
     return lookups(star, [
         Lookup(cat.table("fcc_group_code"), ["GROUP_CODE"], ["GROUP_CODE"], {"__grp": "DESCRIPTION"}),
         Lookup(cat.table("fcc_lov"), ["FIELD_VAL_7"], ["LOV"], {"__bank": "LOV_DESC"},
@@ -159,7 +162,7 @@ def refresh(cat: Catalog, requests: DataFrame, as_of: Column) -> RefreshResult:
     # (un)authorised loads nothing but keeps its consumed number, as a sequence would
     c_cols = [F.col(c).alias(f"__cand_{c}") for c in ("CORE_ID", "LIABILITY_NO", "GROUP_CODE", "MAIN_ID")]
     cj = cand.select(F.col("ID_SOLICITUD").alias("__req_ID_SOLICITUD"), "MODE", F.col("NEW_NO").alias("__new_no"), *c_cols)
-    star = _load_star(cat)
+    star = _load_star(cat, cand.select("CORE_ID").distinct())
     j = cj.join(star, F.col("__cand_CORE_ID") == F.col("CUSTOMER_NO"))
     single_cols = {c: t for c, t in R.LOAD_COMMON + R.LOAD_SINGLE_ONLY}
     group_cols = {c: t for c, t in R.LOAD_COMMON + R.LOAD_GROUP_ONLY}
@@ -194,7 +197,8 @@ def refresh(cat: Catalog, requests: DataFrame, as_of: Column) -> RefreshResult:
     latest = latest_application(cat).select(F.col("CUSTOMER_NO_FCC").alias("__lcore"),
                                             F.col("ID_SOLICITUD").alias("PREV_SOLICITUD"),
                                             F.col("CUSTOMER_NO").alias("PREV_CUSTOMER_NO"))
-    cand_prev = cand.join(latest, F.col("CORE_ID") == F.col("__lcore"), "left").drop("__lcore")
+    # one narrow row per candidate, landed: four of the steps below read it
+    cand_prev = landed(cand.join(latest, F.col("CORE_ID") == F.col("__lcore"), "left").drop("__lcore"), "candidates")
     prev = cand_prev.filter(F.col("PREV_SOLICITUD").isNotNull())
 
     # child rows (M12, M11, D44) and the country text (A11, M13), per candidate

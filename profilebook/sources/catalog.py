@@ -6,6 +6,7 @@ import copy
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from profilebook.functions.nulls import normalise_empty
 from profilebook.session import ensure_checkpoint_dir
@@ -17,16 +18,22 @@ from profilebook.sources import standins
 # lists stay in one file.  The driver's tables are single files, so without
 # this every scan of a derived table would run in one task.
 _BY_APPLICATION = {
-    "wf_customer_info": ["ID_SOLICITUD", "CUSTOMER_NO"], "wf_application": ["ID_SOLICITUD"],
-    "wf_directors": ["ID_SOLICITUD", "CUSTOMER_NO"], "wf_shareholders": ["ID_SOLICITUD", "CUSTOMER_NO"],
-    "wf_multi_values": ["ID_SOLICITUD", "CUSTOMER_NO"], "wf_lmt_customer": ["ID_SOLICITUD"],
+    "wf_application": ["ID_SOLICITUD"], "wf_lmt_customer": ["ID_SOLICITUD"],
     "wf_lmt_customer_info": ["ID_SOLICITUD"], "wf_ec_rc_limits": ["ID_SOLICITUD"],
     "wf_refresh_request": ["ID_SOLICITUD"], "wf_risk_request": ["ID_SOLICITUD"],
     "wf_profile_changes": ["IN_ID_SOLICITUD"],
 }
-_SPREAD = {"fcc_parties", "fcc_customer", "fcc_corporate", "fcc_personal", "fcc_userdef", "fcc_mis_default",
-           "fcc_cust_address", "fcc_corp_directors", "fcc_shareholders", "wf_stage_history", "wf_contracts",
+_SPREAD = {"fcc_parties", "fcc_userdef", "fcc_corp_directors", "fcc_shareholders", "wf_stage_history", "wf_contracts",
            "wf_status_events", "wf_completion_cif"}
+# Tables that are joined with each other row by row are landed in buckets of that key, all in the same number, and sorted
+# within: the joins and groupings on the key need no shuffle (J22, J24, D34).  The key is the whole row key, never the
+# application alone: a busy application would be one bucket.
+_BUCKETS = {
+    "wf_customer_info": ["ID_SOLICITUD", "CUSTOMER_NO"], "wf_multi_values": ["ID_SOLICITUD", "CUSTOMER_NO"],
+    "wf_directors": ["ID_SOLICITUD", "CUSTOMER_NO"], "wf_shareholders": ["ID_SOLICITUD", "CUSTOMER_NO"],
+    "fcc_customer": ["CUSTOMER_NO"], "fcc_corporate": ["CUSTOMER_NO"], "fcc_personal": ["CUSTOMER_NO"],
+    "fcc_mis_default": ["CUSTOMER"], "fcc_cust_address": ["CUSTOMER_NO"], "cif_fields": ["CORE_ID"],
+}
 
 
 class Catalog:
@@ -67,21 +74,35 @@ class Catalog:
             frames = {d: self.raw(d) for d in standins.dependencies(name)}
             df = self.spark.sql(standins.spark_text(name), **frames)
             if self.land:
-                df = normalise_empty(df)
-                path = f"{self.land_dir}/{name}"
-                n = self.spark.sparkContext.defaultParallelism * 2
-                if name in _BY_APPLICATION:
-                    keys = _BY_APPLICATION[name]
-                    df = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-                elif name in _SPREAD:
-                    df = df.repartition(n)
-                else:
-                    df = df.coalesce(1)
-                df.write.mode("overwrite").parquet(path)
-                df = self.spark.read.parquet(path)
+                df = self._landed(name, normalise_empty(df))
             self._raw[name] = df
         return self._raw[name]
 
+    def _landed(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.land_dir}/{name}"
+        n = self.spark.sparkContext.defaultParallelism * 2
+        if name in _BUCKETS:
+            keys = _BUCKETS[name]
+            table = f"landed_{self.land_dir.rsplit('-', 1)[1]}_{name}"
+            df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
+            return self.spark.table(table)
+        if name in _BY_APPLICATION:
+            keys = _BY_APPLICATION[name]
+            df = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+        elif name in _SPREAD:
+            df = df.repartition(n)
+        else:
+            df = df.coalesce(1)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def cif_fields(self) -> DataFrame:
+        """The user-field records of the customers (function STDCIF) with CORE_ID, the 9-character key prefix."""
+        if "cif_fields" not in self._tables:
+            u = self.table("fcc_userdef").filter(F.col("FUNCTION_ID") == "STDCIF").withColumn("CORE_ID", F.substring("REC_KEY", 1, 9))
+            self._tables["cif_fields"] = self._landed("cif_fields", u) if self.land else u
+        return self._tables["cif_fields"]
+
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             raw = self.raw(name)
@@ -97,6 +118,7 @@ class Catalog:
     def land_all(self) -> None:
         for name in standins.STANDINS:
             self.table(name)
+        self.cif_fields()
 
     # Shorthands used throughout the plans.
     def profile(self) -> DataFrame:
