@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilebook.llm.common import landed, text_of
+from profilebook.llm.common import landed, placed, text_of
 
 #: A chunk: 256 to 4,096 characters up to a line break or sentence end, else 4,096, else the rest.
 CHUNK = r"(?s).{255,4095}?(?:\n|[.!?](?=\s))|.{1,4096}"
@@ -66,9 +66,13 @@ def exact_groups(docs: DataFrame, identify=chunk_id) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    keep = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep_id")), "left_semi")
+    """The documents that stay, with all their columns: one row of each group, that of the largest doc_id (null last; of
+    rows that repeat it, the last written).  Groups are found by row number, so rows may repeat ids."""
+    rows = placed(docs, "__row_no")
+    groups = exact_groups(rows.select(F.col("__row_no").alias("doc_id"), "text")).select(F.col("doc_id").alias("__g_row"), "keep_id")
+    last = groups.join(rows.select("__row_no", "doc_id"), F.col("__g_row") == F.col("__row_no")).groupBy("keep_id").agg(
+        F.max(F.struct("doc_id", "__row_no")).alias("__last"))
+    return rows.join(last.select(F.col("__last.__row_no").alias("__keep")), F.col("__row_no") == F.col("__keep"), "left_semi").select(*docs.columns)
 
 
 ORACLE = """

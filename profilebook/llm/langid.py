@@ -32,6 +32,8 @@ TRAIN_WORDS = 100_000
 BUCKETS = 2 ** 17
 ORDERS = 4
 BLOCK = 32
+#: Bytes of text whose words a task holds in arrays at once (a longer text is alone).
+PIECE = 1_000_000
 EPOCHS, RATE = 25, 0.3
 MARK = 1
 UNKNOWN = "und"
@@ -260,7 +262,7 @@ def label_words(docs: DataFrame, model: Crf) -> DataFrame:
         letter, lower = letter_table()
         crf = Crf(**shared.value)
         for whole in batches:
-            for b in pieces(whole, "text"):
+            for b in pieces(whole, "text", PIECE):
                 flat, counts, posterior, _ = _label_batch(b.column("text"), crf, letter, lower)
                 best = posterior.argmax(axis=1)
                 names = crf.languages or [UNKNOWN]
@@ -280,7 +282,7 @@ def _predict_batches(shared, batches):
     letter, lower = letter_table()
     crf = Crf(**shared.value)
     for whole in batches:
-        for b in pieces(whole, "text"):
+        for b in pieces(whole, "text", PIECE):
             _, counts, posterior, has = _label_batch(b.column("text"), crf, letter, lower)
             owner = np.repeat(np.arange(len(counts)), counts)[has]
             sums = np.stack([np.bincount(owner, posterior[has, c], len(counts)) for c in range(posterior.shape[1])], axis=1)
@@ -302,9 +304,14 @@ def predict(docs: DataFrame, model: Crf) -> DataFrame:
 def predict_rows(docs: DataFrame, model: Crf) -> DataFrame:
     """doc (the whole row), lang_pred, score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
-    rows = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct("*").alias("doc"))
     schema = rows.select("doc").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(lambda it: _predict_batches(shared, it), schema)
+
+    def run(batches):
+        # The text is taken from the row, so that it reaches the task once.
+        return _predict_batches(shared, (pa.RecordBatch.from_arrays([d, d.field("text")], names=["doc", "text"]) for d in (b.column("doc") for b in batches)))
+
+    return rows.mapInArrow(run, schema)
 
 
 def languages(docs: DataFrame) -> DataFrame:

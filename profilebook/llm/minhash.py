@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profilebook.llm.words import MULT, mix, pieces, shingles, split_words, word_hashes
-from profilebook.llm.common import landed
+from profilebook.llm.common import landed, placed
 from profilebook.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -336,6 +336,10 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool
 
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay (one of each group, the smallest doc_id), with all their columns."""
-    keep = near_groups(docs, width, percent).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_keep")).distinct()
-    return docs.select(F.struct("*").alias("doc")).join(keep, F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(NO_ID)) == F.col("_keep"), "left_semi").select("doc.*")
+    """The documents that stay, with all their columns: one row of each group, that of the smallest doc_id (null first; of
+    rows that repeat it, the first written).  Groups are found by row number, so rows may repeat ids."""
+    rows = placed(docs, "__row_no")
+    groups = near_groups(rows.select(F.col("__row_no").alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("__g_row"), "component_id")
+    first = groups.join(rows.select("__row_no", "doc_id"), F.col("__g_row") == F.col("__row_no")).groupBy("component_id").agg(
+        F.min(F.struct("doc_id", "__row_no")).alias("__first"))
+    return rows.join(first.select(F.col("__first.__row_no").alias("__keep")), F.col("__row_no") == F.col("__keep"), "left_semi").select(*docs.columns)

@@ -5,10 +5,10 @@ the library's precompiled character map, white space collapsed and trimmed where
 marker, and the pieces as a unigram model with its scores or, when the model says so, as byte pair merges ordered by
 score, both with byte fallback.  Batches are encoded by the library's own threads; where no piece can cross a blank, each
 distinct word of a batch is encoded once and the texts' ids are put together from them.  Parity with the ``sentencepiece``
-library is verified: a share of ``PARITY`` of the texts, chosen by a hash, is encoded by both (all with ``parity=1.0``)
-and a difference raises an error.  Byte pair pieces of equal score (runs of blanks) have no merge order of their own, and
-a text may hold the marker itself; texts with two neighbouring blanks or a marker are therefore always encoded by both
-and have the sentencepiece library's ids where the two differ (column ``same`` false).
+library is verified for every text: where words are parted by single blanks each distinct word of a batch is encoded by
+both, else the whole text.  Byte pair pieces of equal score (runs of blanks) have no merge order of their own, and a text
+may hold the marker itself; where the two libraries differ the row has the sentencepiece library's ids and ``same`` is
+false.
 
 The model file's path is a parameter; the driver reads it (its size is checked against ``MAX_MODEL``) and sends its
 bytes with the job, so executors need no file.
@@ -20,10 +20,10 @@ result.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import struct
-import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -37,7 +37,8 @@ from profilebook.llm.words import pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL = 64_000_000
-PARITY = 0.02
+#: Bytes of text whose ids a task holds at once (a longer text is alone).
+PIECE = 1_000_000
 THREADS = "2"
 MARK = "▁"
 #: Distinct words that are encoded as one text.
@@ -135,6 +136,10 @@ def _encode_batch(tok, texts: list[str]) -> list[list[int]]:
     return [e.ids if t else [] for t, e in zip(texts, tok.encode_batch_fast(texts, add_special_tokens=False))]
 
 
+def _decode_batch(tok, ids: list[list[int]]) -> list[str]:
+    return tok.decode_batch(ids, skip_special_tokens=False)
+
+
 def word_starts(data: bytes) -> np.ndarray | None:
     """For each id whether its piece begins with the marker; None if ids of words do not make up the ids of texts."""
     model = parse_model(data)
@@ -144,42 +149,92 @@ def word_starts(data: bytes) -> np.ndarray | None:
     return np.array([t.startswith(MARK) for t in texts])
 
 
-def _encode_words(tok, starts: np.ndarray, texts: pa.Array) -> list[np.ndarray] | None:
-    """The ids of texts whose words are parted by single blanks, each distinct word encoded once; None if a word has no
-    piece that begins with the marker, or more than one."""
-    parts = pc.split_pattern(texts, " ")
-    coded = parts.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    chunks = _encode_batch(tok, [" ".join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)])
-    flat = np.concatenate([np.array(c, dtype=np.int32) for c in chunks])
-    begin = np.flatnonzero(starts[flat])
-    if len(begin) != len(words) or begin[0]:
-        return None
-    index = coded.indices.to_numpy()
-    n = np.diff(begin, append=len(flat))[index]
-    end = np.cumsum(n)
-    ids = flat[np.arange(end[-1]) + np.repeat(begin[index] - (end - n), n)]
-    cuts = np.concatenate([[0], end])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
-    return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+class Words:
+    """Both libraries for one model, and encoding word by word."""
+
+    def __init__(self, tok, check, starts: np.ndarray | None):
+        self.tok, self.check, self.starts = tok, check, starts
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """The words' ids one after the other, where each word's begin, whether they are those of the sentencepiece
+        library, whose ids count where the two differ, and whether they decode to the word.
+
+        No piece crosses a blank, so ``JOINED`` words are encoded and decoded as one text; if both libraries give the same
+        ids for it, and these decode to it, that holds for each of its words, else they are looked at one by one.  None if
+        a word has no piece that begins with the marker, or more than one."""
+        joined = [" ".join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)]
+        chunks = _encode_batch(self.tok, joined)
+        flat = np.fromiter(itertools.chain.from_iterable(chunks), dtype=np.int32)
+        begin = np.flatnonzero(self.starts[flat])
+        if len(begin) != len(words) or begin[0]:
+            return None
+        agree = np.ones(len(words), dtype=bool)
+        within = lambda ks: [i for k in ks for i in range(k * JOINED, min((k + 1) * JOINED, len(words)))]
+        back = np.ones(len(words), dtype=bool)
+        failed = within(k for k, (a, b) in enumerate(zip(joined, _decode_batch(self.tok, chunks))) if a != b)
+        if odd := within(k for k, (a, b) in enumerate(zip(chunks, self.check.encode(joined, num_threads=1) if self.check else chunks)) if a != b):
+            own = np.split(flat, begin[1:])
+            for i, expected in zip(odd, self.check.encode([words[i] for i in odd], num_threads=1)):
+                if own[i].tolist() != expected:
+                    own[i], agree[i] = np.array(expected, dtype=np.int32), False
+            flat, begin = np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])[:-1]
+        if look := sorted({*odd, *failed}):
+            own = np.split(flat, begin[1:])
+            back[look] = [words[i] == t for i, t in zip(look, _decode_batch(self.tok, [own[i].tolist() for i in look]))]
+        return flat, begin, agree, back
+
+    def encode(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray] | None:
+        """The ids of texts whose words are parted by single blanks, whether they are the sentencepiece library's and whether
+        they decode to the text; each distinct word is encoded and decoded once."""
+        parts = pc.split_pattern(texts, " ")
+        coded = parts.flatten().dictionary_encode()
+        got = self.ids(coded.dictionary.to_pylist())
+        if got is None:
+            return None
+        flat, begin, agree, back = got
+        index = coded.indices.to_numpy()
+        n = np.diff(begin, append=len(flat))[index]
+        end = np.cumsum(n)
+        ids = flat[np.arange(end[-1]) + np.repeat(begin[index] - (end - n), n)]
+        offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        cuts = np.concatenate([[0], end])[offsets]
+        every = lambda x: np.logical_and.reduceat(x[index], offsets[:-1])
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])], every(agree), every(back)
 
 
 def encode_texts(tok, starts: np.ndarray | None, texts: pa.Array) -> list[np.ndarray]:
     """The ids of every text."""
+    return checked_texts(Words(tok, None, starts), texts)[0]
+
+
+def checked_texts(words: Words, texts: pa.Array) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+    """The ids of every text, whether they are those of the library ``words.check`` (True throughout without one), and whether
+    they decode to the text."""
+    tok, check = words.tok, words.check
     out: list = [None] * len(texts)
-    if starts is not None and len(texts):
+    same, back = [True] * len(texts), [True] * len(texts)
+    if words.starts is not None and len(texts):
         other = pc.match_substring_regex(texts, f"^$|^ | $|  |{MARK}").to_numpy(zero_copy_only=False)
         plain = np.flatnonzero(~other)
-        if len(plain):
-            for i, x in zip(plain, _encode_words(tok, starts, texts.take(pa.array(plain))) or []):
-                out[i] = x
+        if len(plain) and (got := words.encode(texts.take(pa.array(plain)))):
+            for i, ids, agree, whole in zip(plain, *got):
+                out[i], same[i], back[i] = ids, bool(agree), bool(whole)
     rest = [i for i, x in enumerate(out) if x is None]
-    for i, x in zip(rest, _encode_batch(tok, texts.take(pa.array(rest, pa.int64())).to_pylist()) if rest else []):
-        out[i] = np.array(x, dtype=np.int32)
-    return out
+    if rest:
+        whole = texts.take(pa.array(rest, pa.int64())).to_pylist()
+        for i, own, expected in zip(rest, _encode_batch(tok, whole), check.encode(whole, num_threads=1) if check else itertools.repeat(None)):
+            same[i] = expected is None or own == expected
+            out[i] = np.array(own if same[i] else expected, dtype=np.int32)
+        for i, text, t in zip(rest, whole, _decode_batch(tok, [out[i].tolist() for i in rest])):
+            back[i] = text == t
+    return out, same, back
+
 
+def encode(docs: DataFrame, path: str = MODEL, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, ids (array of int), same, roundtrip for every whole text, and the columns ``keep`` (long) as they are.
 
-def encode(docs: DataFrame, path: str = MODEL, parity: float = PARITY, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, ids (array of int), same, roundtrip for every whole text, and the columns ``keep`` (long) as they are."""
+    ``same``: the tokenizers library's ids are the sentencepiece library's, compared for every text (word by word where
+    words are parted by single blanks).  Where they differ the row holds the sentencepiece library's."""
     shared = docs.sparkSession.sparkContext.broadcast(_bytes(path))
     arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("same", pa.bool_()), ("roundtrip", pa.bool_()), *((c, pa.int64()) for c in keep)])
 
@@ -188,24 +243,14 @@ def encode(docs: DataFrame, path: str = MODEL, parity: float = PARITY, keep: Seq
 
         os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        tok, check, starts = build(shared.value), sentencepiece.SentencePieceProcessor(model_proto=shared.value), word_starts(shared.value)
+        tok = build(shared.value)
+        words = Words(tok, sentencepiece.SentencePieceProcessor(model_proto=shared.value), word_starts(shared.value))
         for whole in batches:
-            for b in pieces(whole, "text"):
-                ids = encode_texts(tok, starts, b.column("text"))
-                texts = b.column("text").to_pylist()
-                odd = [MARK in t or "  " in t for t in texts]
-                tested = [i for i, t in enumerate(texts) if odd[i] or zlib.crc32(t.encode("utf-8", "surrogatepass")) < parity * 2 ** 32]
-                same = [True] * len(texts)
-                for i, expected in zip(tested, check.encode([texts[i] for i in tested], num_threads=1) if tested else []):
-                    if ids[i].tolist() != expected:
-                        if not odd[i]:
-                            raise ValueError(f"doc_id {b.column('doc_id')[i]}: ids differ from the sentencepiece library")
-                        ids[i], same[i] = np.array(expected, dtype=np.int32), False
-                back = tok.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+            for b in pieces(whole, "text", PIECE, 10_000):
+                ids, same, back = checked_texts(words, b.column("text"))
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(same), pa.array([x == t for x, t in zip(back, texts)]),
-                                                  *(b.column(c) for c in keep)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(same), pa.array(back), *(b.column(c) for c in keep)], schema=arrow)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *(F.col(c).cast("long").alias(c) for c in keep))
     return rows.mapInArrow(run, ", ".join(["doc_id long, ids array<int>, same boolean, roundtrip boolean", *(f"{c} long" for c in keep)]))
@@ -218,7 +263,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches):
         tok = build(shared.value)
         for b in batches:
-            texts = tok.decode_batch([x or [] for x in b.column("ids").to_pylist()], skip_special_tokens=False)
+            texts = _decode_batch(tok, [x or [] for x in b.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")

@@ -77,12 +77,12 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.nda
     return value[new], np.bincount(owner[new], minlength=len(counts)).astype(np.int64)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
-    """Row ranges of a batch that hold about ``most`` bytes of text each (a longer text is alone)."""
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1_000_000, most_rows: int = 2_000):
+    """Row ranges of a batch that hold about ``most`` bytes of text (a longer text is alone) and at most ``most_rows`` rows."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     begin, total = 0, 0
     for i, size in enumerate(sizes):
-        if i > begin and total + size > most:
+        if i > begin and (total + size > most or i - begin >= most_rows):
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
         total += int(size)
