@@ -39,7 +39,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spm.token_table(read(spark, sf_dir, "documents"))
+    return spm.token_table(read(spark, sf_dir, "documents"), piece=3_000_000)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

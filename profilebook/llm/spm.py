@@ -37,7 +37,7 @@ from profilebook.llm.words import pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL = 64_000_000
-#: Bytes of text whose ids a task holds at once (a longer text is alone).
+#: Bytes of text whose ids a task holds at once (a longer text is alone); larger pieces meet fewer words twice.
 PIECE = 1_000_000
 THREADS = "2"
 MARK = "▁"
@@ -230,7 +230,7 @@ def checked_texts(words: Words, texts: pa.Array) -> tuple[list[np.ndarray], list
     return out, same, back
 
 
-def encode(docs: DataFrame, path: str = MODEL, keep: Sequence[str] = ()) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, keep: Sequence[str] = (), piece: int = PIECE) -> DataFrame:
     """doc_id, ids (array of int), same, roundtrip for every whole text, and the columns ``keep`` (long) as they are.
 
     ``same``: the tokenizers library's ids are the sentencepiece library's, compared for every text (word by word where
@@ -246,7 +246,7 @@ def encode(docs: DataFrame, path: str = MODEL, keep: Sequence[str] = ()) -> Data
         tok = build(shared.value)
         words = Words(tok, sentencepiece.SentencePieceProcessor(model_proto=shared.value), word_starts(shared.value))
         for whole in batches:
-            for b in pieces(whole, "text", PIECE, 10_000):
+            for b in pieces(whole, "text", piece, 10_000):
                 ids, same, back = checked_texts(words, b.column("text"))
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
@@ -269,6 +269,6 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def token_table(docs: DataFrame, path: str = MODEL, keep: Sequence[str] = ()) -> DataFrame:
+def token_table(docs: DataFrame, path: str = MODEL, keep: Sequence[str] = (), piece: int = PIECE) -> DataFrame:
     """doc_id, n_tokens, ids, same, roundtrip, and the columns ``keep``."""
-    return encode(docs, path, keep=keep).select("doc_id", F.size("ids").alias("n_tokens"), "ids", "same", "roundtrip", *keep)
+    return encode(docs, path, keep, piece).select("doc_id", F.size("ids").alias("n_tokens"), "ids", "same", "roundtrip", *keep)
