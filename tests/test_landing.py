@@ -74,3 +74,13 @@ def test_files_grow_with_the_input(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalog, "ROWS_PER_FILE", 0.25)
     assert cat._files("wf_customer_info") == cat._files("wf_directors") == max(least, lines * 4)
     assert cat._files("fcc_customer") == cat._files("cif_fields") == max(least, len(TABLES["customer"][1]) * 4)
+
+
+def test_busy_application_fills_several_files(spark, tmp_path):
+    orders = [(k, 1, "O", 1.0, None, "1-URGENT") for k in range(1, 41)]
+    lines = [(k, 25, 7, n, 1.0, "N", "F", None) for k in range(1, 41) for n in range(1, 6)]
+    cat = Catalog(spark, _data(spark, tmp_path, orders=orders, lineitem=lines))
+    hot = cat.table("wf_profile_changes").filter(F.col("IN_ID_SOLICITUD") == standins.HOT_APPLICATION)
+    per_file = [r["count"] for r in hot.groupBy(F.input_file_name()).count().collect()]
+    assert sum(per_file) >= 200
+    assert len(per_file) > 1 and max(per_file) < 150
