@@ -68,15 +68,18 @@ class Split:
 def split_faults(rows: DataFrame, faults: dict[str, tuple[Column, Column]], name: str) -> Split:
     """Split ``rows`` by ``faults`` (label -> (value, reason or NULL)) in one pass.
 
-    The rows are written once, good and rejected ones apart, and counted on the way; ``faults`` has a row for each fault:
+    The rows are written once, marked as good or rejected, and counted on the way; ``faults`` has a row for each fault:
     the columns of ``rows``, COLUMN_NAME, VALUE, REASON.
     """
-    found = F.array(*[F.when(why.isNotNull(), F.struct(F.lit(label).alias("COLUMN_NAME"), value.cast("string").alias("VALUE"),
-                                                       why.alias("REASON"))) for label, (value, why) in faults.items()])
-    marked = rows.withColumn("__faults", F.filter(found, lambda x: x.isNotNull()))
+    # the reasons in a step of their own: a text is parsed once.  Marked, not in folders: those would sort the wide rows.
+    whys = {f"__why_{i}": why for i, (_, why) in enumerate(faults.values())}
+    found = F.array(*[F.when(F.col(w).isNotNull(), F.struct(F.lit(label).alias("COLUMN_NAME"), value.cast("string").alias("VALUE"),
+                                                            F.col(w).alias("REASON")))
+                      for w, (label, (value, _)) in zip(whys, faults.items(), strict=True)])
+    marked = rows.withColumns(whys).withColumn("__faults", F.filter(found, lambda x: x.isNotNull())).drop(*whys)
     seen = Observation(name)
     marked = marked.observe(seen, F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("__faults") > 0, 1)).alias("bad"))
-    written = landed(marked.withColumn("__rejected", F.size("__faults") > 0), name, ["__rejected"])
+    written = landed(marked.withColumn("__rejected", F.size("__faults") > 0), name)
     bad = written.filter("__rejected").select(*rows.columns, F.explode("__faults").alias("__f"))
     counts = seen.get
     return Split(written.filter("NOT __rejected").select(*rows.columns), bad.select(*rows.columns, "__f.*"), counts["n"], counts["bad"])

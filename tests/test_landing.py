@@ -1,9 +1,13 @@
 """Landed tables: the narrow profile computes what its SQL says, files grow with the input, no request fills one file."""
 
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from profilebook.functions.nulls import normalise_empty
 from profilebook.sources import catalog, standins
+from profilebook.session import DROP_SHUFFLES, landed
 from profilebook.sources.catalog import Catalog
 
 TABLES = {
@@ -84,3 +88,66 @@ def test_busy_application_fills_several_files(spark, tmp_path):
     per_file = [r["count"] for r in hot.groupBy(F.input_file_name()).count().collect()]
     assert sum(per_file) >= 200
     assert len(per_file) > 1 and max(per_file) < 150
+
+
+def _shuffle_files(spark) -> int:
+    return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+
+
+def _settles_at(spark, files: int) -> bool:
+    """Whether the shuffle files go down to ``files``: Spark removes them in the background."""
+    for _ in range(40):
+        if _shuffle_files(spark) <= files:
+            return True
+        time.sleep(0.25)
+    return False
+
+
+def test_landing_leaves_no_shuffle_files(spark, tmp_path):
+    cat = Catalog(spark, _data(spark, tmp_path))
+    cat._files("wf_directors")
+    before = _shuffle_files(spark)
+    assert cat.table("wf_directors").select("NAME").collect()
+    spread = landed(spark.range(100).repartition(5, "id"), "some")
+    assert len(spread.collect()) == 100
+    assert spark.conf.get(DROP_SHUFFLES) == "false"
+    assert _settles_at(spark, before)
+
+
+def _written(cat, monkeypatch) -> list:
+    parts = []
+    bucketed = Catalog._bucketed
+    monkeypatch.setattr(Catalog, "_bucketed", lambda self, name, *dfs: parts.extend(dfs) or bucketed(self, name, *dfs))
+    return parts
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_grouped_where_they_are_dealt(spark, tmp_path, monkeypatch):
+    cat = Catalog(spark, _data(spark, tmp_path))
+    parts = _written(cat, monkeypatch)
+    cat.profile()
+    assert len(parts) == 2   # written one after the other
+    assert not re.search(r"hashpartitioning\(l_orderkey#\d+L?, l_suppkey", _plan(parts[0]))
+    assert "hashpartitioning(ID_SOLICITUD" in _plan(parts[0])
+
+
+def test_copies_of_an_order_keep_their_related_parties(spark, tmp_path):
+    orders = [(1, 1, "O", 1.0, None, "5-LOW")] * 3 + [(1, 2, "O", 1.0, None, "5-LOW")]
+    lines = [(1, 1, 7, n, 1.0, f, "F", None) for n, f in ((1, "A"), (2, "R"), (3, "N"))]
+    data = _data(spark, tmp_path, orders=orders, lineitem=lines)
+    got = Catalog(spark, data).profile().filter("RELACIONADO = '1'")
+    assert _rows(got) == _rows(_by_sql(Catalog(spark, data, land=False)).filter("RELACIONADO = '1'"))
+    assert got.count() == 5   # three copies with customer 1, one with each of the two customers 2
+
+
+def test_submissions_are_dealt_as_their_sources(spark, tmp_path, monkeypatch):
+    cat = Catalog(spark, _data(spark, tmp_path))
+    parts = _written(cat, monkeypatch)
+    got = cat.table("wf_profile_changes")
+    below = parts[0]._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)[1]
+    assert "IN_FULLNAME" not in below and "holding" not in below
+    plain = Catalog(spark, cat.data_dir, land=False).table("wf_profile_changes")
+    assert got.dtypes == plain.dtypes and got.count() > 5 and _rows(got) == _rows(plain)
