@@ -6,9 +6,11 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from profilebook.plans import upsert
 from profilebook.plans.upsert import hits_in_order
+from profilebook.session import landed
 
 PROFILE = "ID_SOLICITUD long, CUSTOMER_NO long, CUSTOMER_NO_FCC string"
 CHANGES = "REQ_ID long, IN_ID_SOLICITUD long, IN_CUSTOMER_NO long, IN_CUSTOMER_NO_FCC string"
@@ -68,3 +70,22 @@ def test_spans_are_cut_into_their_blocks(spark):
     for r in d.select("a", "b", upsert._dyadic_parts(d.a, d.b, levels).alias("parts")).collect():
         cover = sorted(x for p in r["parts"] for x in range(p["block"] << p["level"], p["block"] + 1 << p["level"]))
         assert cover == list(range(r["a"], r["b"])) and len(r["parts"]) <= 2 * levels
+
+
+def test_blocks_grow_with_the_requests_of_an_application(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(upsert, "landed", lambda df, name: kept.setdefault(name, landed(df, name)))
+    requests = [(10 + i, i, None, "B") for i in range(64)] + [(5, 7, 70, "C"), (1, None, None, None)]
+    h = hits_in_order(spark.createDataFrame([(i, i * 10, "B") for i in range(64)], PROFILE), spark.createDataFrame(requests, CHANGES))
+    assert {(r.REQ_ID, r.CUSTOMER_NO) for r in h.collect()} == {(5, 70)} | {(10 + i, i * 10) for i in range(64) if i != 7}
+    assert {(r.r_app, r.at, r.r_count) for r in kept["requests"].filter("r_app = 7 or r_app = 8").collect()} == {(7, 0, 2), (7, 1, 2), (8, 0, 1)}
+    n = spark.range(1, 200).select("id", upsert._levels(F.col("id")).alias("l")).collect()
+    assert all(r.l == upsert._levels(r.id) for r in n)
+
+
+def test_numbers_of_inserted_rows_land_no_wide_rows(spark, cat, monkeypatch):
+    names = []
+    monkeypatch.setattr(upsert, "landed", lambda df, name: names.append(name) or landed(df, name))
+    made = upsert.upsert_profiles(cat.profile(), cat.table("wf_profile_changes"), cat.master(), F.lit("2024-02-01").cast("timestamp_ntz"))
+    assert made.inserted.count() and "touched" not in names
+    assert made.touched.count() and made.snapshot.columns and names.count("touched") == 1
