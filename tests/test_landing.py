@@ -151,3 +151,18 @@ def test_submissions_are_dealt_as_their_sources(spark, tmp_path, monkeypatch):
     assert "IN_FULLNAME" not in below and "holding" not in below
     plain = Catalog(spark, cat.data_dir, land=False).table("wf_profile_changes")
     assert got.dtypes == plain.dtypes and got.count() > 5 and _rows(got) == _rows(plain)
+
+
+def test_related_parties_of_a_large_input_land_in_passes(spark, tmp_path, monkeypatch):
+    data = _data(spark, tmp_path)
+    expected = _by_sql(Catalog(spark, data, land=False))
+    monkeypatch.setattr(catalog, "FILES_AT_ONCE", 1)
+    for few in (catalog.MAX_SUPPLIERS, 0):
+        monkeypatch.setattr(catalog, "MAX_SUPPLIERS", few)
+        cat = Catalog(spark, data)
+        with monkeypatch.context() as m:
+            parts = _written(cat, m)
+            got = cat.profile()
+        assert len(parts) == catalog.LINE_PASSES + 1
+        assert sum(p.count() for p in parts[:-1]) == expected.filter("RELACIONADO = '1'").count()
+        assert _rows(got) == _rows(expected)
