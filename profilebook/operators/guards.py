@@ -59,30 +59,54 @@ def date_fault(text: Column, parsed: Column, shape: str) -> Column:
 
 
 class Split:
-    """Rows without and with faults, written once, and their counts."""
+    """Rows without and with faults, and their counts.
 
-    def __init__(self, good: DataFrame, faults: DataFrame, read: int, rejected: int):
-        self.good, self.faults, self.read, self.rejected = good, faults, read, rejected
+    ``faults`` is computed from the columns it is asked for; ``good``, ``read`` and ``rejected`` are those of the whole rows,
+    which are written once when the first of them is asked for.
+    """
+
+    def __init__(self, found: DataFrame, columns: list[str], faults: dict[str, tuple[Column, str]], name: str):
+        self._found, self._columns, self._faults, self._name = found, columns, faults, name
+
+    @functools.cached_property
+    def _written(self) -> tuple[DataFrame, dict]:
+        bad = functools.reduce(lambda a, b: a | b, [F.col(why).isNotNull() for _, why in self._faults.values()])
+        seen = Observation(self._name)
+        # marked, not in folders: those would sort the wide rows
+        marked = self._found.select(*self._columns, bad.alias("__rejected"))
+        marked = marked.observe(seen, F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("__rejected"), 1)).alias("bad"))
+        return landed(marked, self._name), seen.get
+
+    @property
+    def good(self) -> DataFrame:
+        return self._written[0].filter("NOT __rejected").select(*self._columns)
+
+    @property
+    def faults(self) -> DataFrame:
+        cells = [F.struct(F.lit(label).alias("COLUMN_NAME"), value.cast("string").alias("VALUE"), F.col(why).alias("REASON"))
+                 for label, (value, why) in self._faults.items()]
+        # filtered behind the explode: a filter of the array would be pushed below it, where every text is parsed again
+        return self._found.select(*self._columns, F.explode(F.array(*cells)).alias("__f")).filter("__f.REASON IS NOT NULL").select(
+            *self._columns, "__f.*")
+
+    @property
+    def read(self) -> int:
+        return self._written[1]["n"]
+
+    @property
+    def rejected(self) -> int:
+        return self._written[1]["bad"]
 
 
 def split_faults(rows: DataFrame, faults: dict[str, tuple[Column, Column]], name: str) -> Split:
     """Split ``rows`` by ``faults`` (label -> (value, reason or NULL)) in one pass.
 
-    The rows are written once, marked as good or rejected, and counted on the way; ``faults`` has a row for each fault:
-    the columns of ``rows``, COLUMN_NAME, VALUE, REASON.
+    Where the rows are asked for, they are written once, marked as good or rejected, and counted on the way; ``faults`` has a
+    row for each fault: the columns of ``rows``, COLUMN_NAME, VALUE, REASON.
     """
-    # the reasons in a step of their own: a text is parsed once.  Marked, not in folders: those would sort the wide rows.
-    whys = {f"__why_{i}": why for i, (_, why) in enumerate(faults.values())}
-    found = F.array(*[F.when(F.col(w).isNotNull(), F.struct(F.lit(label).alias("COLUMN_NAME"), value.cast("string").alias("VALUE"),
-                                                            F.col(w).alias("REASON")))
-                      for w, (label, (value, _)) in zip(whys, faults.items(), strict=True)])
-    marked = rows.withColumns(whys).withColumn("__faults", F.filter(found, lambda x: x.isNotNull())).drop(*whys)
-    seen = Observation(name)
-    marked = marked.observe(seen, F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("__faults") > 0, 1)).alias("bad"))
-    written = landed(marked.withColumn("__rejected", F.size("__faults") > 0), name)
-    bad = written.filter("__rejected").select(*rows.columns, F.explode("__faults").alias("__f"))
-    counts = seen.get
-    return Split(written.filter("NOT __rejected").select(*rows.columns), bad.select(*rows.columns, "__f.*"), counts["n"], counts["bad"])
+    # the reasons in a step of their own: a text is parsed once
+    found = rows.withColumns({f"__why_{i}": why for i, (_, why) in enumerate(faults.values())})
+    return Split(found, rows.columns, {label: (value, f"__why_{i}") for i, (label, (value, _)) in enumerate(faults.items())}, name)
 
 
 def column_changes(old: DataFrame, new: DataFrame, on: Column, keys: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:

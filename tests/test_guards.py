@@ -4,11 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from profilebook.functions import dates
+from profilebook.operators import guards
 from profilebook.operators.guards import ROWS_FOUND, column_changes, date_fault, rejected, scalar_lookup, split_faults
 from profilebook.plans import basics, checks
 from profilebook.plans.actions import ACTIONS, run_action
 from profilebook.plans.refresh import refresh
 from profilebook.registry.queries import AS_OF
+from profilebook.session import landed
 from profilebook.sources import schema
 
 
@@ -49,6 +51,20 @@ def test_dates_are_split_in_one_pass(spark):
     assert (none.read, none.rejected, none.good.count(), none.faults.count()) == (0, 0, 0, 0)
 
 
+def test_faults_write_no_rows_and_parse_a_text_once(spark, monkeypatch):
+    """The rows are written when the good ones or the counts are asked for, once; their faults need no more than their texts."""
+    written = []
+    monkeypatch.setattr(guards, "landed", lambda df, name: written.append(name) or landed(df, name))
+    rows = spark.createDataFrame([(0, "1/2/2024", "x", "wide"), (1, "31/02/2024", None, "wide")], "id int, t string, u string, w string")
+    split = split_faults(rows, {c: (F.col(c), date_fault(F.col(c), dates.parse_dmy(F.col(c)), checks.DMY)) for c in ("t", "u")}, "texts")
+    found = split.faults.select("id", "COLUMN_NAME", "REASON")
+    assert sorted(map(tuple, found.collect())) == [(0, "u", "FORMAT"), (1, "t", "CALENDAR")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("gettimestamp(") == 2
+    assert written == []
+    assert (split.read, split.rejected, split.good.count(), split.read) == (2, 2, 0, 2)
+    assert written == ["texts"]
+
+
 def test_column_changes_are_null_safe(spark):
     old = spark.createDataFrame([(1, "a", None, 3), (2, "a", "b", 3), (9, "z", "z", 0)], "k int, x string, `y 1` string, z int")
     new = spark.createDataFrame([("r", 1, "a", None, 4), ("s", 2, None, "B", 3), ("t", 3, "q", "q", 1)], "id string, core int, x2 string, y2 string, z2 int")

@@ -153,6 +153,15 @@ def test_submissions_are_dealt_as_their_sources(spark, tmp_path, monkeypatch):
     assert got.dtypes == plain.dtypes and got.count() > 5 and _rows(got) == _rows(plain)
 
 
+def test_submissions_land_their_sources_only(spark, tmp_path):
+    cat = Catalog(spark, _data(spark, tmp_path))
+    changes = cat.table("wf_profile_changes")
+    landed = spark.read.parquet(f"{cat.land_dir}/wf_profile_changes").columns
+    assert "REQ_ID" in landed and len(landed) < len(changes.columns) and not [c for c in landed if c.startswith("IN_")]
+    plan = _plan(changes.groupBy("REQ_ID").agg(F.count(F.lit(1))))
+    assert "Exchange" not in plan
+
+
 def test_related_parties_of_a_large_input_land_in_passes(spark, tmp_path, monkeypatch):
     data = _data(spark, tmp_path)
     expected = _by_sql(Catalog(spark, data, land=False))
