@@ -2,6 +2,9 @@
 
 Every stage takes the documents the stage before kept, written as Parquet and read again, and returns documents; the
 last one returns tokens and each document's place in the mixed order, which the files of the stage before hold.
+
+Whole texts go to Python in batches of ``BATCH`` bytes (set in the session by the stages that send them): the operators work
+on pieces of a megabyte anyway, and an executor keeps the buffers of its largest batch, in the JVM and in each Python worker.
 """
 
 from __future__ import annotations
@@ -12,9 +15,16 @@ from pyspark.sql import functions as F
 from profilebook.llm import langid, linedup, minhash, mixing, spm
 from profilebook.llm.common import DOCUMENT_COLUMNS, landed, placed, read
 
+BATCH = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a known language; ``lang`` is the predicted one.  Texts without letters go."""
+    small_batches(spark)
     return langid.known(docs).select("doc.doc_id", "doc.text", F.col("lang_pred").alias("lang"), "doc.source", "doc.n_chars")
 
 
@@ -27,6 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five-word shingles, similarity 0.8 or more)."""
+    small_batches(spark)
     return minhash.drop_near(docs, width=5, percent=80).select(*DOCUMENT_COLUMNS)
 
 
@@ -37,6 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every document; ``place`` numbers the documents 0, 1, ... in the order the stage before wrote them."""
+    small_batches(spark)
     return spm.token_table(placed(docs), keep=["place"])
 
 

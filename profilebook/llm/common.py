@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from profilebook.session import ensure_checkpoint_dir
 
@@ -46,6 +48,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def local_frame(spark: SparkSession, rows: list, schema: StructType) -> DataFrame:
+    """A few rows of the driver as a frame.  They go as an Arrow table: a list of rows would pass through Python workers of
+    their own kind, which stay beside those of the operators in the memory of every executor."""
+    columns = [list(c) for c in zip(*rows)] or [[] for _ in schema]
+    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
@@ -93,6 +102,6 @@ def even_sample(df: DataFrame, key: str, group: str, limit: int, most_groups: in
         return df
     given = shares(sizes, limit)
     rows = [(g, 1 << 62 if given[g] == n else sample_bound(n, given[g])) for g, n in sizes.items() if given[g]]
-    bounds = df.sparkSession.createDataFrame(rows, df.select(F.col(group).alias("__group")).schema.add("__bound", "long"))
+    bounds = local_frame(df.sparkSession, rows, df.select(F.col(group).alias("__group")).schema.add("__bound", "long"))
     hit = df.join(F.broadcast(bounds), F.col(group) == F.col("__group"))  # at most ``most_groups`` rows
     return hit.filter(_hash62(key, seed) < F.col("__bound")).select(*df.columns).limit(limit)

@@ -29,8 +29,9 @@ from fractions import Fraction
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from profilebook.llm.common import landed, placed
+from profilebook.llm.common import landed, local_frame, placed
 
 BLOCK = 64
 PERIOD = 1000
@@ -159,7 +160,7 @@ def block_slots(spark: SparkSession, blocks: dict, weights: dict, period: int =
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in order], pa.string()), pa.array(block, pa.int64()),
                                                   pa.array(range(at + start, at + end), pa.int64())], names=["b_source", "b_block", "slot"])
 
-    plan = spark.createDataFrame(rows, "phase int, start long, end long, before array<long>")
+    plan = local_frame(spark, rows, StructType.fromDDL("phase int, start long, end long, before array<long>"))
     return plan.mapInArrow(run, "b_source string, b_block long, slot long")
 
 

@@ -6,10 +6,12 @@ import itertools
 import random
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from profilebook.llm import mixing, toxicity
+import corpus_pipeline
+from profilebook.llm import common, mixing, toxicity
 from profilebook.llm.common import even_sample, sample_bound, shares
 
 
@@ -90,3 +92,29 @@ def test_a_hot_source_and_clashing_columns(spark):
     got = mixing.mix(d, block=4).select("doc.doc_id", "place").collect()
     assert sorted(r["place"] for r in got) and len({r["place"] for r in got}) == len({r["doc_id"] for r in got}) == 3_000
     assert mixing.mixed(d).columns == d.columns
+
+
+def test_rows_of_the_driver_start_no_python_workers(spark):
+    """A list of rows would pass through Python workers of its own, which stay in every executor's memory."""
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, "b")], "doc_id long, lang string")
+    local = common.local_frame(spark, [("a", 1), (None, 2)], df.select("lang").schema.add("n", "long"))
+    assert sorted(map(tuple, local.collect()), key=str) == [("a", 1), (None, 2)]
+    assert common.local_frame(spark, [], local.schema).collect() == []
+    slots = mixing.block_slots(spark, {"a": 3, None: 2}, {"a": 2, None: 1})
+    for frame in (local, slots, mixing.block_slots(spark, {}, {})):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+    assert sorted((r["slot"], r["b_source"], r["b_block"]) for r in slots.collect()) == [
+        (0, "a", 0), (1, None, 0), (2, "a", 1), (3, "a", 2), (4, None, 1)]
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        corpus_pipeline.small_batches(spark)
+        texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("abcdefgh "), 200).alias("text"))
+        rows = texts.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in it), "n long").collect()
+        assert len(rows) > 1 and max(r["n"] for r in rows) < 5_000_000
+    finally:
+        spark.conf.set(setting, before)
