@@ -49,6 +49,40 @@ def test_creation_id_is_never_cut(spark):
         spark.createDataFrame([(10 ** 13,)], "n long").select(_creation_id(F.col("n")).alias("i")).collect()
 
 
+def test_creation_ids_go_on_with_free_numbers(spark, monkeypatch):
+    from profilebook.plans import upsert
+    schema = "ID_SOLICITUD long, CUSTOMER_NO long, ID_CUSTOMER_FCC string, ID_EXISTE_FCC string, ID_STATUS_FCC int, CHK_CREATE_FCC int"
+    last = 10 ** 13 - 1
+    issued = [0, 1, 2, 3, 5, 6, 9, 9, 12, last - 2]
+    rows = [(1, i, f"CUS{n:013d}", "0" if n in (3, 9) else "1", 0, 1) for i, n in enumerate(issued)]
+    rows += [(2, i, None, "0" if i < 2 else "1", None, 1) for i in range(5)] + [(3, 0, "other", "1", 0, 1)]
+    profile = spark.createDataFrame(rows, schema)
+    free = [last - 1, last] + [n for n in range(1, 50) if n not in issued]
+    failed = [(1, 3), (1, 6), (1, 7), (2, 0), (2, 1)]
+    first = dict(zip([(2, i) for i in range(5)], free))
+    both = first | dict(zip(failed, free[5:]))
+    for block in (1, 2, 3, 1 << 20):
+        monkeypatch.setattr(upsert, "FREE_BLOCK", block)
+        for passes, expected in ((1, first), (2, both)):
+            got = {(r.ID_SOLICITUD, r.CUSTOMER_NO): r.NEW_ID for r in upsert.creation_ids(profile, passes=passes).collect()}
+            assert got == {k: f"CUS{n:013d}" for k, n in expected.items()}
+
+
+def test_creation_ids_fail_when_no_number_is_left(spark, monkeypatch):
+    from profilebook.plans import upsert
+    monkeypatch.setattr(upsert, "LAST_NUMBER", 4)
+    schema = "ID_SOLICITUD long, CUSTOMER_NO long, ID_CUSTOMER_FCC string, ID_EXISTE_FCC string, ID_STATUS_FCC int, CHK_CREATE_FCC int"
+    held = [(1, n, f"CUS{n:013d}", "1", 0, 1) for n in (1, 3)]
+    for missing, fits in ((2, True), (3, False)):
+        profile = spark.createDataFrame(held + [(2, i, None, "1", 0, 1) for i in range(missing)], schema)
+        ids = upsert.creation_ids(profile).select("NEW_ID")
+        if fits:
+            assert sorted(r.NEW_ID for r in ids.collect()) == ["CUS0000000000002", "CUS0000000000004"]
+        else:
+            with pytest.raises(Exception, match="13 digits"):
+                ids.collect()
+
+
 def test_exists_flag_keeps_null_keys(spark):
     from profilebook.operators.lookups import exists_flag
     fact = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "id int, k string")
