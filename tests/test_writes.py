@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -105,3 +106,21 @@ def test_columns_added_between_commits_are_null_in_older_files(spark, cat):
     new.merge(spark.createDataFrame([(3,)], "k long"), lambda cur: cur.withColumn("extra", F.lit(1)), "c1")
     got = new.read()
     assert got.count() == 40 and 0 < got.filter("extra = 1").count() < 40 and got.filter("extra IS NULL").count() > 0
+
+
+def test_wide_snapshots_are_written_without_a_shuffle(spark, cat, monkeypatch):
+    """The tasks that have the rows write them, each row once, whatever the number of files a task may keep open."""
+    rows = spark.range(0, 300, 1, 3).selectExpr("id AS k", "concat('v', id % 7) AS v").unionByName(
+        spark.createDataFrame([(None, "n"), (5, "twice")], SCHEMA))
+    hinted = []
+    hint = DataFrame.hint
+    monkeypatch.setattr(type(rows), "hint", lambda self, *a: hinted.append(a) or hint(self, *a))
+    for buckets in (4, 100):
+        s = Snapshot(spark, folder(cat), SCHEMA, ["k"], buckets=buckets, wide=True)
+        assert s.overwrite(rows, "start") and not hinted
+        assert same(s.read(), rows)
+        in_bucket = s.read().groupBy(F.input_file_name().alias("f")).agg(F.countDistinct(F.pmod(F.xxhash64(
+            F.col("k").cast("string")), F.lit(buckets))).alias("n"))
+        assert in_bucket.filter("n > 1").isEmpty()
+        touched = s.merge(spark.createDataFrame([(5,)], "k long"), lambda cur: cur.filter("k IS NULL OR k <> 5"), "c1")
+        assert len(touched) == 1 and same(s.read(), rows.filter("k IS NULL OR k <> 5"))
