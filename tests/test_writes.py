@@ -124,3 +124,19 @@ def test_wide_snapshots_are_written_without_a_shuffle(spark, cat, monkeypatch):
         assert in_bucket.filter("n > 1").isEmpty()
         touched = s.merge(spark.createDataFrame([(5,)], "k long"), lambda cur: cur.filter("k IS NULL OR k <> 5"), "c1")
         assert len(touched) == 1 and same(s.read(), rows.filter("k IS NULL OR k <> 5"))
+
+
+def test_refresh_meets_carried_values_before_rows_are_wide(cat, as_of):
+    """The carried values join kept rows as the landed profile stores them, and candidates before their customer's star."""
+    r = refresh(cat, cat.table("wf_refresh_request"), as_of)
+    plan = r.snapshot_apps._jdf.queryExecution().optimizedPlan()
+    widths = []
+
+    def visit(node):
+        if node.nodeName() == "Join" and all(k in node.condition().toString() for k in ("__p_app", "__p_core")) and "LeftOuter" in node.joinType().toString():
+            widths.append(node.left().output().size())
+        for i in range(node.children().size()):
+            visit(node.children().apply(i))
+
+    visit(plan)
+    assert len(widths) == 2 and max(widths) < len(cat.profile().columns) / 2
